@@ -99,6 +99,12 @@ def declare(spark: SparkSession, name: str, root: str, producer: str, schema: T.
     if known is not None:
         if merge_schemas(known, schema).simpleString() == known.simpleString():
             return
+    data = f"{gate_path(root, name)}/data"
+    if not storage.exists(spark, data):
+        # An empty file, so that a stream that starts first finds the folder's partitions.
+        full = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType())])
+        empty = spark.createDataFrame([], full).coalesce(1)
+        empty.write.mode("overwrite").parquet(f"{data}/ingest_date=1970-01-01/producer=none/batch=none")
     text = spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1)
     text.write.mode("overwrite").text(f"{gate_path(root, name)}/schema/{safe_id(producer)}-{uuid.uuid4().hex}")
 
