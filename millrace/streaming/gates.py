@@ -224,7 +224,7 @@ def drop_duplicates(
         )
         keys = ["x:sender", "x:id"]
     if df.isStreaming:
-        out = df.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
+        out = df.withWatermark(f"`{time}`", watermark).dropDuplicatesWithinWatermark(keys)
     else:
         out = df.dropDuplicates(keys)
     return out.drop(*keys) if own else out

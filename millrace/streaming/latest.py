@@ -51,7 +51,7 @@ def conflate(
     else:
         df = df.withColumn("x:time", quoted(time))
     if df.isStreaming:
-        df = df.withWatermark("x:time", watermark)
+        df = df.withWatermark("`x:time`", watermark)
     out = df.groupBy(*[quoted(k) for k in keys], F.window(F.col("`x:time`"), tick).alias("x:tick")).agg(
         *_newest(values, order)
     )
