@@ -37,11 +37,14 @@ def to_json_text(col: Column, dtype: T.DataType) -> Column:
     return F.to_json(to_variant(col, dtype))
 
 
-def _plain_decimal(col: Column) -> Column:
+def _plain_decimal(col: Column, scale: int) -> Column:
     # A decimal column prints all its scale digits; a JSON number does not.
     text = col.cast("string")
-    trimmed = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    return F.when(col == 0, F.lit("0")).when(text.contains("E"), text).otherwise(trimmed)
+    return (
+        F.when(text.endswith("." + "0" * scale), F.substring(text, F.lit(1), F.length(text) - (scale + 1)))
+        .when(text.contains("E"), F.when(col == 0, F.lit("0")).otherwise(text))  # not in ANSI mode
+        .otherwise(F.rtrim(text, F.lit("0")))
+    )
 
 
 def _array_body(json: Column) -> Column:
@@ -54,7 +57,7 @@ def to_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return col
     if isinstance(dtype, T.DecimalType):
-        return _plain_decimal(col) if dtype.scale else col.cast("string")
+        return _plain_decimal(col, dtype.scale) if dtype.scale else col.cast("string")
     if isinstance(dtype, T.ArrayType):
         return _array_body(F.to_json(col))
     if isinstance(dtype, NESTED):
@@ -65,6 +68,16 @@ def to_text(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def json_to_text(json: Column) -> Column:
+    """:func:`to_text` of a value that is given as JSON text."""
+    return (
+        F.when(json.startswith('"'), F.get_json_object(json, "$"))
+        .when(json.startswith("["), _array_body(json))
+        .when(json == "null", F.lit(""))
+        .otherwise(json)
+    )
+
+
 def text_to_number(text: Column, number: T.DecimalType) -> Column:
     """Empty or unparsable text is 0; a number beyond ``number`` is NULL, never 0."""
     return F.when(text.rlike(NUMBER_TEXT), text.try_cast(number)).otherwise(F.lit(0).cast(number))

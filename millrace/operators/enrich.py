@@ -44,13 +44,17 @@ def _list(props: dict, key: str) -> list:
     return value if isinstance(value, list) else []
 
 
-def apply_setting(scope: Scope, setting: Setting, cond: Column | None) -> Scope:
-    text = scope.expand(setting.value)
+def apply_setting(
+    scope: Scope, setting: Setting, cond: Column | None, text: Column | None = None, name: Column | None = None
+) -> Scope:
+    """One assignment. ``text`` and ``name`` are the expanded templates, if at hand."""
+    if text is None:
+        text = scope.expand(setting.value)
     fixed = parse_template(setting.name).text
     if fixed is not None:
         after = scope.assign(parse_path(fixed), text, setting.code, cond)
     else:
-        after = scope.assign_by(scope.expand(setting.name), text, setting.code, cond)
+        after = scope.assign_by(scope.expand(setting.name) if name is None else name, text, setting.code, cond)
     return after.with_fault(scope.expansion_fault(setting.value, text), cond)
 
 
@@ -78,7 +82,15 @@ def enrich(frame: Frame, props: dict, cond: Column | None) -> Frame:
             frame = frame.commit(before, scope)
             before = scope = frame.scope
             changed = set()
-        scope = apply_setting(scope, setting, cond)
         fixed = parse_template(setting.name).text
+        if fixed is None or scope.overflow is not None or scope.options.macros == "recursive":
+            # Costly texts that are used more than once get a column of their own.
+            frame = frame.commit(before, scope)
+            frame, bound = frame.bind(text=frame.scope.expand(setting.value), name=frame.scope.expand(setting.name))
+            before = scope = frame.scope
+            scope = apply_setting(scope, setting, cond, **bound)
+            changed = set()
+        else:
+            scope = apply_setting(scope, setting, cond)
         changed.add(parse_path(fixed) if fixed is not None else None)
     return frame.commit(before, scope)

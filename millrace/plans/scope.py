@@ -25,6 +25,9 @@ from millrace.options import FlowOptions
 # Fixed value: the last macro of a text; "." stops at line ends.
 LAST_MACRO = r"\A.*[$][{]([^}]+)[}].*\z"
 
+# A late field while JSON text is put together.
+ENTRY = "struct<path:array<string>,json:string>"
+
 OVERFLOW_TYPE = T.MapType(T.StringType(), T.StringType())
 
 
@@ -80,6 +83,15 @@ def nest(leaves: dict[Path, Leaf], depth: int = 0) -> Column:
     return F.struct(*fields)
 
 
+def _for_json(leaves: dict[Path, Leaf]) -> dict[Path, Leaf]:
+    """Decimals print all digits of their scale; as variants they print what they need."""
+    return {
+        path: Leaf(leaf.column.cast(VARIANT), VARIANT) if "decimal" in leaf.dtype.simpleString() and
+        not isinstance(leaf.dtype, coerce.NESTED) else leaf
+        for path, leaf in leaves.items()
+    }
+
+
 def _variants(leaf: Leaf) -> Column:
     return F.transform(leaf.column, lambda x: to_variant(x, leaf.dtype.elementType))
 
@@ -173,12 +185,16 @@ class Scope:
         return Leaf(F.coalesce(late, early), VARIANT)
 
     def _shadowed(self, path: Path) -> Column:
-        return F.exists(F.map_keys(self.overflow), lambda key: _overlapping(key, F.lit(dotted(path))))
+        return F.exists(F.map_keys(self.overflow), lambda key: _touching(key, path))
 
     def event_text(self, path: Path) -> Column | None:
         """Text of an event value, NULL where absent; None if it never exists."""
-        leaf = self.value(path)
-        return None if leaf is None else coerce.to_text(leaf.column, leaf.dtype)
+        leaf = self._typed(path)
+        early = None if leaf is None else coerce.to_text(leaf.column, leaf.dtype)
+        if self.overflow is None:
+            return early
+        late = coerce.json_to_text(F.try_element_at(self.overflow, F.lit(dotted(path))))
+        return late if early is None else F.coalesce(late, F.when(~self._shadowed(path), early))
 
     def plain_leaf(self, name: str) -> Leaf | None:
         """The typed column behind a name, if nothing else can answer for it."""
@@ -213,17 +229,17 @@ class Scope:
                 branches = branches.when(name.startswith(start), item)
         return branches
 
-    def _event_by(self, name: Column, render) -> Column:
-        typed = self._by_name(name, render)
+    def _event_by(self, name: Column, as_json: bool) -> Column:
+        typed = self._by_name(name, coerce.to_json_text if as_json else coerce.to_text)
         if self.overflow is None:
             return typed
-        late = F.try_parse_json(F.try_element_at(self.overflow, name))
+        late = F.try_element_at(self.overflow, name)
         hidden = F.exists(F.map_keys(self.overflow), lambda key: _overlapping(key, name))
-        return F.coalesce(render(late, VARIANT), F.when(~hidden, typed))
+        return F.coalesce(late if as_json else coerce.json_to_text(late), F.when(~hidden, typed))
 
     def lookup_by(self, name: Column) -> Column:
         """:meth:`lookup` under a name that only the record knows."""
-        found = [self._event_by(_normal(name), coerce.to_text)]
+        found = [self._event_by(_normal(name), False)]
         if self.ctx:
             branches = F.when(F.lit(False), F.lit(None).cast("string"))
             for key, col in self.ctx.items():
@@ -325,7 +341,7 @@ class Scope:
         leaves[path] = value
         overflow = self.overflow
         if overflow is not None:
-            kept = F.map_filter(overflow, lambda k, _: ~_overlapping(k, F.lit(dotted(path))))
+            kept = F.map_filter(overflow, lambda k, _: ~_touching(k, path))
             overflow = kept if cond is None else F.when(cond, kept).otherwise(overflow)
         return replace(self, leaves=leaves, overflow=overflow)
 
@@ -366,7 +382,7 @@ class Scope:
         if len(code) == 1:
             json = coerce.to_json_text(value.column, value.dtype)
         else:
-            old = self._event_by(key, coerce.to_json_text)
+            old = self._event_by(key, True)
             items = T.ArrayType(value.dtype)
             grown = F.array_union(F.from_json(old, items.simpleString()), F.array(value.column))
             pair = F.concat(F.lit("["), old, F.lit(","), coerce.to_json_text(value.column, value.dtype), F.lit("]"))
@@ -376,8 +392,14 @@ class Scope:
                 .otherwise(pair)
             )
         before = self.overflow if self.overflow is not None else F.create_map().cast(OVERFLOW_TYPE)
-        others = F.map_filter(before, lambda k, _: ~_overlapping(k, key))
-        after = F.map_concat(others, F.create_map(key, F.coalesce(json, F.lit("null"))))
+
+        def put(new: Column) -> Column:
+            others = F.map_filter(before, lambda k, _: ~_overlapping(k, new["key"]))
+            return F.map_concat(others, F.create_map(new["key"], new["json"]))
+
+        after = _let(F.struct(key.alias("key"), F.coalesce(json, F.lit("null")).alias("json")), put)
+        if self.overflow is None:
+            after = F.create_map(key, F.coalesce(json, F.lit("null")))
         overflow = after if cond is None else F.when(cond, after).otherwise(before)
         return replace(self, overflow=overflow).with_fault(fault, cond)
 
@@ -392,21 +414,40 @@ class Scope:
     def event_json(self) -> Column:
         """The whole event as JSON text."""
         if self.overflow is None:
-            return F.to_json(nest(self.leaves)) if self.leaves else F.lit("{}")
-        entry = "struct<path:array<string>,json:string>"
-        typed = [
+            return F.to_json(nest(_for_json(self.leaves))) if self.leaves else F.lit("{}")
+        typed = self.visible_leaves()
+        heads = sorted({path[0] for path in typed if len(path) > 1})
+        keys = F.map_keys(self.overflow)
+        # Late fields only go into a typed object if they share its name.
+        shared = F.exists(keys, lambda k: k.contains(".") & F.substring_index(k, ".", 1).isin(heads)) if heads else None
+        apart = _merged(F.to_json(nest(_for_json(typed))) if typed else F.lit("{}"), self._late_members())
+        if shared is None:
+            return apart
+        rows = [
             F.struct(
                 F.array(*[F.lit(key) for key in path]).alias("path"),
                 coerce.to_json_text(leaf.column, leaf.dtype).alias("json"),
-            ).cast(entry)
-            for path, leaf in self.visible_leaves().items()
+            ).cast(ENTRY)
+            for path, leaf in typed.items()
         ]
-        late = F.transform(
+        present = F.filter(F.array(*rows), lambda e: e["json"].isNotNull())
+        return F.when(shared, F.concat(F.lit("{"), _assemble(F.concat(present, self._late_entries())), F.lit("}"))).otherwise(
+            apart
+        )
+
+    def _late_entries(self) -> Column:
+        return F.transform(
             F.map_entries(self.overflow),
-            lambda e: F.struct(F.split(e["key"], r"\.").alias("path"), e["value"].alias("json")).cast(entry),
+            lambda e: F.struct(F.split(e["key"], r"\.").alias("path"), e["value"].alias("json")).cast(ENTRY),
         )
-        present = F.filter(F.array(*typed), lambda e: e["json"].isNotNull()) if typed else F.array()
-        return _assemble(F.concat(present.cast(f"array<{entry}>"), late))
+
+    def _late_members(self) -> Column:
+        """Late fields as the inside of a JSON object."""
+        flat = F.array_join(
+            F.transform(F.map_entries(self.overflow), lambda e: F.concat(_key(e["key"]), e["value"])), ","
+        )
+        nested = F.exists(F.map_keys(self.overflow), lambda k: k.contains("."))
+        return F.when(nested, _assemble(self._late_entries())).otherwise(flat)
 
 
 def _normal(name: Column) -> Column:
@@ -418,38 +459,58 @@ def _overlapping(a: Column, b: Column) -> Column:
     return (a == b) | a.startswith(F.concat(b, dot)) | b.startswith(F.concat(a, dot))
 
 
+def _touching(key: Column, path: Path) -> Column:
+    """:func:`_overlapping` with a fixed path."""
+    same_or_above = [dotted(path[:n]) for n in range(1, len(path) + 1)]
+    return key.isin(same_or_above) | key.startswith(dotted(path) + ".")
+
+
+def _key(name: Column) -> Column:
+    """``"name":`` of a JSON member."""
+    plain = ~name.contains('"') & ~name.contains("\\") & ~name.rlike(r"[\x00-\x1f]")
+    quoted = F.when(plain, F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.to_json(name.cast("variant")))
+    return F.concat(quoted, F.lit(":"))
+
+
 def _member(entry: Column) -> Column:
-    return F.concat(F.to_json(F.element_at(entry["path"], -1).cast("variant")), F.lit(":"), entry["json"])
+    return F.concat(_key(F.element_at(entry["path"], -1)), entry["json"])
+
+
+def _merged(object_text: Column, members: Column) -> Column:
+    """JSON object with more members."""
+    inside = F.substring(object_text, F.lit(2), F.length(object_text) - 2)
+    return F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inside, F.lit("")), F.nullif(members, F.lit(""))), F.lit("}"))
 
 
 def _assemble(entries: Column) -> Column:
-    """JSON object of ``(path, json)`` entries, folded from the deepest level up."""
+    """Inside of the JSON object of ``(path, json)`` entries, folded from the deepest
+    level up."""
 
     def fold(rows: Column, depth: Column) -> Column:
-        deep = F.filter(rows, lambda e: F.size(e["path"]) == depth)
-        parents = F.array_distinct(F.transform(deep, lambda e: F.slice(e["path"], 1, F.size(e["path"]) - 1)))
-        objects = F.transform(
-            parents,
-            lambda parent: F.struct(
-                parent.alias("path"),
-                F.concat(
-                    F.lit("{"),
-                    F.array_join(
-                        F.transform(
-                            F.filter(deep, lambda e: F.slice(e["path"], 1, F.size(e["path"]) - 1) == parent), _member
-                        ),
-                        ",",
-                    ),
-                    F.lit("}"),
-                ).alias("json"),
-            ),
-        )
-        return F.concat(F.filter(rows, lambda e: F.size(e["path"]) < depth), objects)
+        def folded(deep: Column) -> Column:
+            parents = F.array_distinct(F.transform(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1)))
+
+            def children(parent: Column) -> Column:
+                own = F.filter(deep, lambda e: F.slice(e["path"], F.lit(1), depth - 1) == parent)
+                return F.concat(F.lit("{"), F.array_join(F.transform(own, _member), ","), F.lit("}"))
+
+            objects = F.transform(parents, lambda p: F.struct(p.alias("path"), children(p).alias("json")))
+            return F.concat(F.filter(rows, lambda e: F.size(e["path"]) < depth), objects)
+
+        return _let(F.filter(rows, lambda e: F.size(e["path"]) == depth), folded)
+
+    def whole(rows: Column) -> Column:
+        deepest = F.array_max(F.transform(rows, lambda e: F.size(e["path"])))
+        levels = _let(deepest, lambda n: F.when(n > 1, F.sequence(n, F.lit(2), F.lit(-1))))
+        top = F.aggregate(F.coalesce(levels, F.array().cast("array<int>")), rows, fold)
+        return F.array_join(F.transform(top, _member), ",")
+
+    return _let(entries, whole)
+
 
-    deepest = F.coalesce(F.array_max(F.transform(entries, lambda e: F.size(e["path"]))), F.lit(1))
-    levels = F.when(deepest > 1, F.sequence(deepest, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    top = F.aggregate(levels, entries, fold)
-    return F.concat(F.lit("{"), F.array_join(F.transform(top, _member), ","), F.lit("}"))
+def _let(value: Column, body) -> Column:
+    """Evaluate once what ``body`` uses many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 TYPE_CODES = ("s", "n", "b", "as", "an", "ab")
