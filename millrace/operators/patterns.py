@@ -6,6 +6,7 @@ import re
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ def check_pattern(spark: SparkSession, pattern: str) -> int:
     """Number of capture groups of a pattern; rejects what Java cannot compile."""
     try:
         return spark._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
-    except Py4JJavaError as e:
-        raise FlowConfigError(f"Bad pattern {pattern!r}: {e.java_exception.getMessage()}") from None
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        raise FlowConfigError(f"Bad pattern {pattern!r}: {e}") from None
 
 
 def literal_texts(pattern: str) -> tuple[bool, bool, list[str]] | None:

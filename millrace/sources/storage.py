@@ -62,11 +62,30 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(handle, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in place of any older one."""
+    fs, handle = _open(spark, path)
+    stream = fs.create(handle, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, handle = _open(spark, path)
+    stream = fs.open(handle)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def last_offset(spark: SparkSession, checkpoint: str) -> str | None:
     """Offset JSON of the last batch that a one-source query has planned."""
     numbered = [p for p in matching(spark, f"{checkpoint}/offsets/*") if re.search(r"/\d+$", p)]
     if not numbered:
         return None
     newest = max(numbered, key=lambda p: int(p.rsplit("/", 1)[1]))
-    lines = [row.value for row in spark.read.text(newest, wholetext=True).collect()]
-    return lines[0].strip().split("\n")[-1] if lines else None
+    return read_text(spark, newest).strip().split("\n")[-1]

@@ -3,7 +3,7 @@
 A gate is a folder of Parquet files::
 
     <root>/gates/<id>/data/ingest_date=.../producer=.../batch=.../part-*.parquet
-    <root>/gates/<id>/schema/<producer>     schema of what each producer writes
+    <root>/gates/<id>/schema/<producer>-<n>.json   what each producer writes
     <root>/gates/<id>/staging/...           batches that are not complete
 
 A batch is written to the staging folder and moved into ``data`` in one rename, under a
@@ -87,8 +87,8 @@ def gate_schema(spark: SparkSession, name: str, root: str) -> T.StructType | Non
     if not declared:
         return None
     merged = T.StructType([])
-    for row in spark.read.text(declared).collect():  # one line per producer
-        merged = merge_schemas(merged, T.StructType.fromJson(json.loads(row.value)))
+    for path in declared:  # a few small files per producer
+        merged = merge_schemas(merged, T.StructType.fromJson(json.loads(storage.read_text(spark, path))))
     return merged
 
 
@@ -105,8 +105,9 @@ def declare(spark: SparkSession, name: str, root: str, producer: str, schema: T.
         full = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType())])
         empty = spark.createDataFrame([], full).coalesce(1)
         empty.write.mode("overwrite").parquet(f"{data}/ingest_date=1970-01-01/producer=none/batch=none")
-    text = spark.createDataFrame([(schema.json(),)], "schema string").coalesce(1)
-    text.write.mode("overwrite").text(f"{gate_path(root, name)}/schema/{safe_id(producer)}-{uuid.uuid4().hex}")
+    storage.write_text(
+        spark, f"{gate_path(root, name)}/schema/{safe_id(producer)}-{uuid.uuid4().hex}.json", schema.json()
+    )
 
 
 # -- state -----------------------------------------------------------------------------
@@ -118,7 +119,7 @@ def set_open(spark: SparkSession, name: str, root: str, is_open: bool) -> None:
     if is_open:
         storage.delete(spark, marker)
     else:
-        spark.range(0).write.mode("overwrite").parquet(marker)
+        storage.write_text(spark, marker, "")
 
 
 def is_open(spark: SparkSession, name: str, root: str) -> bool:

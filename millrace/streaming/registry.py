@@ -26,9 +26,9 @@ class FlowRegistry:
         self._queries: dict[str, StreamingQuery] = {}
         self._held: dict[str, list[str]] = {}
         self._configs: dict[str, str] = {}
-        if storage.matching(spark, f"{self.root}/flows/*"):
-            rows = spark.read.schema("name string, config string").json(f"{self.root}/flows/*").collect()
-            self._configs = {row.name: row.config for row in rows}  # one small row per flow
+        for path in storage.matching(spark, f"{self.root}/flows/*.json"):
+            flow = json.loads(storage.read_text(spark, path))
+            self._configs[flow["name"]] = flow["config"]
 
     # -- flows -------------------------------------------------------------------------
 
@@ -74,7 +74,7 @@ class FlowRegistry:
     def remove(self, name: str) -> None:
         """Stop and forget a flow. What it delivered stays in its gate."""
         self.stop(name)
-        storage.delete(self.spark, f"{self.root}/flows/{safe_id(name)}")
+        storage.delete(self.spark, self._file(name))
         storage.delete(self.spark, checkpoint_path(self.root, "flow", name))
         del self._configs[name]
 
@@ -96,10 +96,13 @@ class FlowRegistry:
             raise FlowConfigError(f"Unknown flow {name!r}")
         return self._configs[name]
 
+    def _file(self, name: str) -> str:
+        return f"{self.root}/flows/{safe_id(name)}.json"
+
     def _keep(self, name: str, config: dict) -> None:
         text = json.dumps(config)
-        row = self.spark.createDataFrame([(name, text)], "name string, config string").coalesce(1)
-        row.write.mode("overwrite").json(f"{self.root}/flows/{safe_id(name)}")
+        flow = json.dumps({"name": name, "config": text})
+        storage.write_text(self.spark, self._file(name), flow)
         self._configs[name] = text
 
     def _check(self, config: dict) -> None:
