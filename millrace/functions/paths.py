@@ -44,14 +44,19 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _cased(name: str) -> str:
+    # Spark takes column names that differ by case for one; JSON keys are two.
+    return "".join("^" + c if c == "^" or c != c.lower() else c for c in name)
+
+
 def leaf_column(path: Path) -> str:
     """Working-form column of an event leaf."""
-    return "e:" + "/".join(key.replace("~", "~0").replace("/", "~1") for key in path)
+    return "e:" + "/".join(_cased(key).replace("~", "~0").replace("/", "~1") for key in path)
 
 
 def ctx_column(name: str) -> str:
     """Working-form column of a context key."""
-    return "c:" + name
+    return "c:" + _cased(name)
 
 
 def safe_id(text: str) -> str:

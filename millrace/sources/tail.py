@@ -25,6 +25,7 @@ import re
 import sys
 import time
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -101,6 +102,7 @@ class Tail:
         self.chunk_chars = int(options.get("chunkChars", 0))
         self.charset = options.get("charset", "UTF-8")
         self.settle = float(options.get("settleSeconds", 5))
+        self.heads: dict[str, tuple] = {}
         if self.start_at not in ("newest", "earliest"):
             raise ValueError(f"Unknown startAt {self.start_at!r}")
         if min(self.max_bytes, self.max_files, self.slice_bytes) < 1:
@@ -116,22 +118,34 @@ class Tail:
     def listing(self) -> list[Found]:
         """Files in index order: rolled ones first, then by time and name."""
         store, root = self._fs()
-        found = []
+        wanted = []
         for info in store.get_file_info(pafs.FileSelector(root)):
             name = info.base_name
-            rolled = self.roll.search(name) is not None
-            if not (rolled or self.main.search(name)) or name.startswith(".") or name.endswith("zip"):
+            listed = self.roll.search(name) or self.main.search(name)
+            if not listed or name.startswith(".") or name.endswith("zip"):
                 continue
-            if info.type != pafs.FileType.File or info.size <= SMALLEST_FILE:
-                continue
-            try:
-                head = self._head(store, info.path)
-            except FileNotFoundError:
-                continue  # rolled away between listing and opening
-            if head is not None:
-                found.append(Found(name, info.path, info.size, (info.mtime_ns or 0) / 1e9, rolled, head))
+            if info.type == pafs.FileType.File and info.size > SMALLEST_FILE:
+                wanted.append(info)
+        # Only files that have changed since the last listing are opened.
+        with ThreadPoolExecutor(16) as pool:
+            heads = list(pool.map(lambda info: self._known_head(store, info), wanted))
+        self.heads = {i.base_name: (i.size, i.mtime_ns, head) for i, head in zip(wanted, heads)}
+        found = [
+            Found(i.base_name, i.path, i.size, (i.mtime_ns or 0) / 1e9, bool(self.roll.search(i.base_name)), head)
+            for i, head in zip(wanted, heads)
+            if head is not None
+        ]
         return sorted(found, key=lambda f: (not f.rolled, f.mtime, f.name))
 
+    def _known_head(self, store, info) -> str | None:
+        size, mtime, head = self.heads.get(info.base_name, (None, None, None))
+        if (size, mtime) == (info.size, info.mtime_ns):
+            return head
+        try:
+            return self._head(store, info.path)
+        except FileNotFoundError:
+            return None  # rolled away between listing and opening
+
     @staticmethod
     def _head(store, path: str) -> str | None:
         """None while the first line is not complete."""
@@ -162,6 +176,8 @@ class Tail:
 
     def _line_end(self, file: Found, low: int) -> int:
         """Position after the last complete line at or after ``low``."""
+        if file.size <= low:
+            return low
         store, _ = self._fs()
         with store.open_input_file(file.path) as stream:
             high = file.size
@@ -247,7 +263,11 @@ class Tail:
                     files_left -= 1
                     bytes_left -= file.size if file.gzipped else end - pos
                 if end != 0:
-                    offset[file.name] = self._entry(file, end)
+                    old = (known or {}).get(file.name)
+                    same = old is not None and (old["head"], old["pos"]) == (file.head, end)
+                    offset[file.name] = (
+                        {k: old[k] for k in ("head", "pos", "mark")} if same else self._entry(file, end)
+                    )
             except FileNotFoundError:
                 continue  # gone meanwhile; the next listing has it under its new name
         heads = {entry["head"] for entry in offset.values()}
@@ -389,12 +409,13 @@ class Tail:
         for found in self.lines(part):
             rows = self._chunks(found) if self.chunk_chars else [(self._text(r), at, at + n) for at, r, n in found]
             if part.end is None:
-                seqs = list(range(number, number + len(rows)))
+                seqs = range(number, number + len(rows))
+                number += len(rows)
+                if number > part.room:
+                    raise ValueError(f"{part.path} has too many lines")
             else:
+                # Slices of a file are numbered by position, as one row of bytes.
                 seqs = [at - part.start for _, at, _ in rows]
-            number += len(rows)
-            if seqs and seqs[-1] >= part.room:
-                raise ValueError(f"{part.path} has too many lines")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.string()),

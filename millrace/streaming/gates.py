@@ -214,19 +214,29 @@ def read_gate(
 
 
 def drop_duplicates(
-    df: DataFrame, keys: list[str] | None = None, watermark: str = "1 hour", time: str = INGEST_TS
+    df: DataFrame,
+    keys: list[str] | None = None,
+    watermark: str = "1 hour",
+    time: str = INGEST_TS,
+    salts: int = 8,
 ) -> DataFrame:
     """Keep one record per sender and id (``event.source.sourceId`` and ``event.id``, or
-    the given columns). A stream forgets a key ``watermark`` after it was seen."""
+    the given columns). A stream forgets a key ``watermark`` after it was seen.
+
+    A table drops most copies before its shuffle. A stream has no such step, so it spreads
+    the copies of one record over ``salts`` tasks first, and only what is left of them
+    meets in one; 1 turns that off.
+    """
     own = keys is None
     if own:
-        df = df.withColumns(
-            {"x:sender": F.col("event.source.sourceId"), "x:id": F.col("event.id")}
-        )
+        df = df.withColumns({"x:sender": F.col("event.source.sourceId"), "x:id": F.col("event.id")})
         keys = ["x:sender", "x:id"]
     if df.isStreaming:
-        out = df.withWatermark(f"`{time}`", watermark).dropDuplicatesWithinWatermark(keys)
+        out = df.withWatermark(f"`{time}`", watermark)
+        if salts > 1:
+            out = out.withColumn("x:salt", F.spark_partition_id() % salts)
+            out = out.dropDuplicatesWithinWatermark([*keys, "x:salt"]).drop("x:salt")
+        out = out.dropDuplicatesWithinWatermark(keys)
     else:
         out = df.dropDuplicates(keys)
     return out.drop(*keys) if own else out
-

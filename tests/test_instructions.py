@@ -111,6 +111,13 @@ def test_condition_is_read_once(apply):
     assert apply([("x",), ("y",)], "a string", steps) == [{"a": "z", "b": "z"}, {"a": "y"}]
 
 
+def test_names_that_differ_by_case(apply):
+    steps = [enrich(("Level", "up"), ("o.A", "1"), ("o.a", "2")), enrich(("r", "${level}${Level}${o.A}${o.a}"))]
+    assert apply([("down",)], "level string", steps) == [
+        {"level": "down", "Level": "up", "o": {"A": "1", "a": "2"}, "r": "downup12"}
+    ]
+
+
 def test_map_field(apply):
     rows = [({"k": "v"},), (None,)]
     steps = [enrich(("t", "${m.k}"), ("m.j", "1"))]
