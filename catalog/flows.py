@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import millrace as m
-from catalog.steps import all_of, any_of, drop, enrich, field, grok, joined, log, table, tag, whole
+from catalog.steps import all_of, any_of, drop, enrich, field, grok, joined, log, since_epoch, table, tag, whole
 from millrace.functions import coerce
 from millrace.functions.paths import safe_id_column
 
@@ -332,7 +332,9 @@ def enrich_dynamic_name(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     steps = [enrich(("${event_type}", "x"), ("by.${event_type}", "${user_id}", "n"))]
     out = m.apply_flow(events, steps, "json")
-    parsed = F.from_json("event", "event_id bigint, event_type string, user_id bigint, by map<string,bigint>")
+    schema = "event_id bigint, event_type string, user_id bigint, by map<string,bigint>"
+    out = out.withColumn("parsed", F.from_json("event", schema))
+    parsed = F.col("parsed")
     kind = F.element_at(F.map_keys(parsed["by"]), 1)
     return out.select(
         parsed["event_id"].alias("event_id"),
@@ -484,13 +486,9 @@ def json_roundtrip(spark, sf):
     """JSON text in, a flow, JSON text out."""
     events = m.from_json_frames(table(spark, sf, "events"), "props", "k bigint")
     out = m.to_json_frames(m.apply_flow(events, [enrich(("props.sub", "a.${event_type}"))]), "body")
-    parsed = F.from_json("body", "event_id bigint, event_type string, props struct<k:bigint, sub:string>")
-    return out.select(
-        parsed["event_id"].alias("event_id"),
-        parsed["props"]["k"].alias("k"),
-        parsed["event_type"].alias("event_type"),
-        parsed["props"]["sub"].alias("sub"),
-    )
+    schema = "event_id bigint, event_type string, props struct<k:bigint, sub:string>"
+    back = m.from_json_frames(out, "body", schema)
+    return back.select("body.event_id", "body.props.k", "body.event_type", "body.props.sub")
 
 
 @query(
@@ -631,7 +629,7 @@ def latest_row_by_key(spark, sf):
 )
 def conflate(spark, sf):
     out = m.conflate(table(spark, sf, "events"), ["event_type"], "ts", ["ts", "event_id"], ["event_id"], tick="1 hour")
-    return out.select("event_type", F.unix_seconds("tick_start").alias("tick"), "event_id")
+    return out.select("event_type", since_epoch("SECOND", "tick_start").alias("tick"), "event_id")
 
 
 @query(
@@ -641,7 +639,7 @@ def conflate(spark, sf):
 def conflate_tick(spark, sf):
     """The console's own tick of 200 ms."""
     out = m.conflate(table(spark, sf, "events"), ["event_type"], "ts", ["ts", "event_id"], ["event_id"])
-    return out.select("event_type", (F.unix_millis("tick_start") / 200).cast("bigint").alias("tick"), "event_id")
+    return out.select("event_type", (since_epoch("MILLISECOND", "tick_start") / 200).cast("bigint").alias("tick"), "event_id")
 
 
 @query(

@@ -57,3 +57,8 @@ def joined(col: str | Column) -> Column:
 
 def whole(col: str) -> Column:
     return F.col(col).cast("bigint")
+
+
+def since_epoch(unit: str, col: str) -> Column:
+    """Whole units since 1970 by the clock on the wall, whatever the session's zone."""
+    return F.timestamp_diff(unit, F.lit("1970-01-01").cast("timestamp_ntz"), F.col(col).cast("timestamp_ntz"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import millrace as m
 from catalog.files import MAIN, SUMMARY_SQL, _log_folder, _log_lines, _summary
 from catalog.flows import FLAGSHIP, FLAGSHIP_SQL, flagship_columns
-from catalog.steps import drop, enrich, field, table
+from catalog.steps import drop, enrich, field, since_epoch, table
 from millrace.sources import storage
 
 QUERIES = {}
@@ -182,4 +182,4 @@ def conflate_stream(spark, sf):
         _event_stream(spark, sf), ["event_type"], "ts", ["ts", "event_id"], ["event_id"], "1 hour", "3650 days"
     )
     out = _updates(ticks, ["event_type", "tick_start"])
-    return out.select("event_type", F.unix_seconds("tick_start").alias("tick"), "event_id")
+    return out.select("event_type", since_epoch("SECOND", "tick_start").alias("tick"), "event_id")

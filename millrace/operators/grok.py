@@ -29,8 +29,9 @@ from millrace.plans.scope import OVERFLOW_TYPE, Leaf, Scope, check_type, convert
 
 def _names(props: dict, key: str) -> list[str]:
     # The empty text is one empty name; trailing empty names of other texts fall away.
-    parts = required_text(props, key, "grok instruction").split(",")
-    while len(parts) > 1 and not parts[-1]:
+    text = required_text(props, key, "grok instruction")
+    parts = text.split(",")
+    while text and parts and not parts[-1]:
         parts.pop()
     return [part.strip() for part in parts]
 

@@ -443,11 +443,14 @@ class Scope:
 
     def _late_members(self) -> Column:
         """Late fields as the inside of a JSON object."""
-        flat = F.array_join(
-            F.transform(F.map_entries(self.overflow), lambda e: F.concat(_key(e["key"]), e["value"])), ","
+        keys = F.map_keys(self.overflow)
+        inner = F.exists(keys, lambda k: k.contains("."))
+        deep = F.exists(keys, lambda k: F.length(F.replace(k, F.lit("."), F.lit(""))) < F.length(k) - 1)
+        return (
+            F.when(~inner, F.array_join(_members(F.map_entries(self.overflow)), ","))
+            .when(deep, _assemble(self._late_entries()))
+            .otherwise(_let(F.map_entries(self.overflow), _two_levels))
         )
-        nested = F.exists(F.map_keys(self.overflow), lambda k: k.contains("."))
-        return F.when(nested, _assemble(self._late_entries())).otherwise(flat)
 
 
 def _normal(name: Column) -> Column:
@@ -467,18 +470,39 @@ def _touching(key: Column, path: Path) -> Column:
 
 def _key(name: Column) -> Column:
     """``"name":`` of a JSON member."""
-    plain = ~name.contains('"') & ~name.contains("\\") & ~name.rlike(r"[\x00-\x1f]")
-    quoted = F.when(plain, F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.to_json(name.cast("variant")))
+    special = name.rlike(r'["\\\x00-\x1f]')
+    quoted = F.when(special, F.to_json(name.cast("variant"))).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
     return F.concat(quoted, F.lit(":"))
 
 
+def _members(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.concat(_key(e["key"]), e["value"]))
+
+
+def _two_levels(entries: Column) -> Column:
+    """Members of fields at the top and one level below."""
+    flat = F.filter(entries, lambda e: ~e["key"].contains("."))
+    heads = F.array_distinct(
+        F.transform(F.filter(entries, lambda e: e["key"].contains(".")), lambda e: F.substring_index(e["key"], ".", 1))
+    )
+
+    def object_of(head: Column) -> Column:
+        own = F.filter(entries, lambda e: e["key"].startswith(F.concat(head, F.lit("."))))
+        inside = F.transform(
+            own, lambda e: F.concat(_key(F.substring(e["key"], F.length(head) + 2, F.length(e["key"]))), e["value"])
+        )
+        return F.concat(_key(head), F.lit("{"), F.array_join(inside, ","), F.lit("}"))
+
+    return F.array_join(F.concat(_members(flat), F.transform(heads, object_of)), ",")
+
+
 def _member(entry: Column) -> Column:
     return F.concat(_key(F.element_at(entry["path"], -1)), entry["json"])
 
 
 def _merged(object_text: Column, members: Column) -> Column:
     """JSON object with more members."""
-    inside = F.substring(object_text, F.lit(2), F.length(object_text) - 2)
+    inside = _let(object_text, lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
     return F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inside, F.lit("")), F.nullif(members, F.lit(""))), F.lit("}"))
 
 

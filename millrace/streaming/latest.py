@@ -46,12 +46,11 @@ def conflate(
     """Last row per key within each tick; adds ``tick_start``. On a stream, ticks older
     than the ``watermark`` are closed and late rows for them are dropped."""
     values = values or [c for c in df.columns if c not in keys]
-    if dict(df.dtypes)[time] == "timestamp_ntz":
-        df = df.withColumn("x:time", quoted(time).cast("timestamp"))
+    if df.isStreaming:
+        # Watermarks take no timestamp without a zone.
+        df = df.withColumn("x:time", quoted(time).cast("timestamp")).withWatermark("`x:time`", watermark)
     else:
         df = df.withColumn("x:time", quoted(time))
-    if df.isStreaming:
-        df = df.withWatermark("`x:time`", watermark)
     out = df.groupBy(*[quoted(k) for k in keys], F.window(F.col("`x:time`"), tick).alias("x:tick")).agg(
         *_newest(values, order)
     )
