@@ -103,6 +103,7 @@ class Tail:
         self.charset = options.get("charset", "UTF-8")
         self.settle = float(options.get("settleSeconds", 5))
         self.heads: dict[str, tuple] = {}
+        self.held: dict[str, tuple] = {}
         if self.start_at not in ("newest", "earliest"):
             raise ValueError(f"Unknown startAt {self.start_at!r}")
         if min(self.max_bytes, self.max_files, self.slice_bytes) < 1:
@@ -195,16 +196,31 @@ class Tail:
     def _entry(self, file: Found, pos: int) -> dict:
         return {"head": file.head, "pos": pos, "mark": self._mark(file.path, pos)}
 
+    def _holds(self, path: str, entry: dict) -> bool:
+        """Whether a file has the text before an entry's position. A gzipped one would have
+        to be unpacked to tell and is trusted, as is one that has just been renamed."""
+        if path.endswith("gz") or entry["pos"] <= 0:
+            return True
+        stamp = (self.heads.get(path.rsplit("/", 1)[-1]), entry["pos"], entry["mark"])
+        if self.held.get(path, (None, None))[0] != stamp:
+            try:
+                self.held[path] = stamp, self._mark(path, entry["pos"]) == entry["mark"]
+            except FileNotFoundError:
+                return True
+        return self.held[path][1]
+
     def _position(self, name: str, head: str, path: str, offset: dict, present: dict) -> int:
-        """Where reading of a file goes on: its own entry, or that of the file it was
-        renamed from, which has left its name and has the same text up to there."""
+        """Where reading of a file goes on: by its own entry, or by that of the file it was
+        renamed from, which is not under its old name any more."""
         own = offset.get(name)
-        if own is not None and own["head"] == head:
+        if own is not None and own["head"] == head and self._holds(path, own):
             return own["pos"]
+        folder = path.rsplit("/", 1)[0]
         for other, entry in offset.items():
-            if entry["head"] != head or present.get(other) == head:
+            if other == name or entry["head"] != head:
                 continue
-            if path.endswith("gz") or entry["pos"] <= 0 or self._mark(path, entry["pos"]) == entry["mark"]:
+            stays = present.get(other) == head and self._holds(f"{folder}/{other}", entry)
+            if not stays and self._holds(path, entry):
                 return entry["pos"]
         return 0
 
@@ -251,8 +267,6 @@ class Tail:
         for file in files:
             try:
                 pos = self._position(file.name, file.head, file.path, known or {}, present)
-                if not file.gzipped and pos > file.size:
-                    pos = 0  # written anew
                 end = self._end(file, pos, file is files[-1])
                 if known is not None and end != pos:
                     if files_left <= 0 or bytes_left <= 0:
@@ -264,7 +278,7 @@ class Tail:
                     bytes_left -= file.size if file.gzipped else end - pos
                 if end != 0:
                     old = (known or {}).get(file.name)
-                    same = old is not None and (old["head"], old["pos"]) == (file.head, end)
+                    same = old is not None and (old["head"], old["pos"]) == (file.head, end) and self._holds(file.path, old)
                     offset[file.name] = (
                         {k: old[k] for k in ("head", "pos", "mark")} if same else self._entry(file, end)
                     )

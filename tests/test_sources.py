@@ -99,7 +99,7 @@ def test_inventory(spark, logs):
         (7, 3, "app-4.log"),
         (7, 4, "app.log"),
     ]
-    put(logs, "app-2.log", "has shrunk since..\n", age=15)  # the head is not the same file any more
+    put(logs, "app-2.log", "has shrunk since..\n", age=900)  # the head is not the same file any more
     assert listed(m.file_inventory(spark, logs, MAIN, ROLL, kept, seed=9))[0] == (9, 0, "app-2.log")
 
 
@@ -185,6 +185,21 @@ def test_renamed_file_goes_on(logs):
     assert values(source, one, source.latest(one)) == ["three", "a fresh file with lines"]
 
 
+@pytest.mark.parametrize("longer", [False, True])
+@pytest.mark.parametrize("rolled", ["app-1.log", "app-1.log.gz"])
+def test_rolled_file_and_its_successor_start_alike(logs, longer, rolled):
+    source = tail(logs)
+    head = "time,level,message\n"
+    put(logs, "app.log", head + "1,info,old\n")
+    one = source.latest({})
+    put(logs, rolled, head + "1,info,old\n2,info,late\n", age=10)
+    fresh = ["9,info,new"] + (["9,info,a line that makes the file longer than the old one"] if longer else [])
+    put(logs, "app.log", head + "\n".join(fresh) + "\n")
+    two = source.latest(one)
+    assert values(source, one, two) == ["2,info,late", head.strip(), *fresh]
+    assert source.plan(two, source.latest(two)) == []
+
+
 def test_rolled_and_gzipped_file_goes_on(logs):
     source = tail(logs)
     put(logs, "app.log", "one of the lines\ntwo\n")
