@@ -11,7 +11,7 @@ with the last match and array fields gather all of them. Two plans give that res
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,10 @@ from millrace.plans.frame import Frame
 from millrace.plans.scope import OVERFLOW_TYPE, Leaf, Scope, check_type, convert, unify
 
 
+# Stands around the groups of a match while they are cut out of a text.
+MARK = "\x01"
+
+
 def _names(props: dict, key: str) -> list[str]:
     # The empty text is one empty name; trailing empty names of other texts fall away.
     text = required_text(props, key, "grok instruction")
@@ -49,20 +53,67 @@ def grok(frame: Frame, props: dict, cond: Column | None, force_fold: bool = Fals
     if cond is not None:
         # A record outside the condition is one without matches.
         text = F.when(cond, text)
-    wanted = sorted(set(number_of.values())) or [0]
-    frame, found = frame.bind(**{f"match{i}_": _all_matches(text, pattern, i) for i in wanted})
-    matches = {name: found[f"match{i}_"] for name, i in number_of.items()}
-    each = found[f"match{wanted[0]}_"]
-    if not force_fold and _is_closed(frame.scope, settings, matches):
-        return _closed(frame, settings, matches, each)
-    return _fold(frame, settings, matches, each)
+    closed = not force_fold and _is_closed(frame.scope, settings, set(number_of))
+    plain = all(len(s.code) == 1 for s in settings)
+    find = _last_match if closed and plain and len(number_of) > 1 else _all_matches
+    frame, found = find(frame, text, pattern, number_of, groups_in_pattern)
+    return (_closed if closed else _fold)(frame, settings, found)
+
 
+@dataclass(frozen=True)
+class Found:
+    """What the matches hold, by group name: values of the first and last match, and, if
+    asked for, lists with a value per match. ``each`` has an item per match."""
 
-def _all_matches(text: Column, pattern: str, group: int) -> Column:
+    hit: Column
+    first: dict[str, Column]
+    last: dict[str, Column]
+    lists: dict[str, Column] | None = None
+    each: Column | None = None
+
+
+def _extract(text: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def _all_matches(frame: Frame, text: Column, pattern: str, number_of: dict[str, int], _: int) -> tuple[Frame, Found]:
+    """One search per group that has a name."""
+    wanted = sorted(set(number_of.values())) or [0]
+    frame, bound = frame.bind(**{f"match{i}_": _extract(text, pattern, i) for i in wanted})
+    lists = {name: bound[f"match{i}_"] for name, i in number_of.items()}
+    each = bound[f"match{wanted[0]}_"]
+    return frame, Found(
+        F.size(each) > 0,
+        {name: F.get(items, F.lit(0)) for name, items in lists.items()},
+        {name: F.try_element_at(items, F.lit(-1)) for name, items in lists.items()},
+        lists,
+        each,
+    )
+
+
+def _last_match(frame: Frame, text: Column, pattern: str, number_of: dict[str, int], count: int) -> tuple[Frame, Found]:
+    """One search for all groups: each match is replaced by its groups between marks, and
+    the text is cut at the marks. A text that has marks itself is searched per group."""
+    marks = MARK + "".join(f"${i}{MARK}" for i in range(1, count + 1))
+    frame, bound = frame.bind(source=text)
+    source = bound["source"]
+    frame, bound = frame.bind(parts=F.split(F.regexp_replace(source, pattern, marks), MARK))
+    parts, marked = bound["parts"], source.contains(MARK)
+
+    def pick(group: int, at: int, listed: int) -> Column:
+        slow = F.try_element_at(_extract(source, pattern, group), F.lit(listed))
+        return F.when(marked, slow).otherwise(F.try_element_at(parts, F.lit(at)))
+
+    hit = F.when(marked, source.rlike(pattern)).otherwise(F.size(parts) > 1)
+    return frame, Found(
+        F.coalesce(hit, F.lit(False)),
+        {name: pick(i, i + 1, 1) for name, i in number_of.items()},
+        # Behind the last group stands the rest of the text.
+        {name: F.when(F.size(parts) > 1, pick(i, i - count - 2, -1)) for name, i in number_of.items()},
+    )
+
+
 def _source_text(scope: Scope, source: str) -> Column:
     fixed = parse_template(source).text
     return scope.lookup(fixed) if fixed is not None else scope.lookup_by(scope.expand(source))
@@ -77,15 +128,14 @@ def _with_groups(scope: Scope, values: dict[str, Column]) -> Scope:
     return replace(scope, ctx={**scope.ctx, **values})
 
 
-def _last_groups(scope: Scope, matches: dict[str, Column]) -> dict[str, Column]:
-    last = {name: F.try_element_at(items, F.lit(-1)) for name, items in matches.items()}
-    return {name: F.coalesce(col, scope.ctx[name]) if name in scope.ctx else col for name, col in last.items()}
+def _last_groups(scope: Scope, found: Found) -> dict[str, Column]:
+    return {name: F.coalesce(col, scope.ctx[name]) if name in scope.ctx else col for name, col in found.last.items()}
 
 
 # -- closed form ---------------------------------------------------------------
 
 
-def _is_closed(scope: Scope, settings: list[Setting], matches: dict[str, Column]) -> bool:
+def _is_closed(scope: Scope, settings: list[Setting], groups: set[str]) -> bool:
     paths = [_fixed_path(s) for s in settings]
     if None in paths or scope.overflow is not None:
         return False
@@ -99,7 +149,7 @@ def _is_closed(scope: Scope, settings: list[Setting], matches: dict[str, Column]
             return False
         for read in map(parse_path, names):
             clash = [p for p in paths if overlaps(read, p)]
-            if clash and not (clash == [path] and _reads_itself(scope, setting, matches)):
+            if clash and not (clash == [path] and _reads_itself(scope, setting, groups)):
                 return False
     return True
 
@@ -113,51 +163,49 @@ def _plain_array(scope: Scope, setting: Setting, path: Path) -> bool:
     return leaf is None or same_type(leaf.dtype, T.ArrayType(element))
 
 
-def _reads_itself(scope: Scope, setting: Setting, matches: dict[str, Column]) -> bool:
+def _reads_itself(scope: Scope, setting: Setting, groups: set[str]) -> bool:
     """``level = ${level}``: an event value hides the group of the same name, so the
     field keeps the value it has, or gets that of the first match."""
     name = setting.name
-    if len(setting.code) != 1 or name not in matches or parse_template(setting.value).single_name != name:
+    if len(setting.code) != 1 or name not in groups or parse_template(setting.value).single_name != name:
         return False
     leaf = scope.leaves.get(parse_path(name))
     wanted = scope.coerce(F.lit(""), setting.code)[0].dtype
     return not scope.subtree(parse_path(name)) and (leaf is None or same_type(leaf.dtype, wanted))
 
 
-def _closed(frame: Frame, settings: list[Setting], matches: dict[str, Column], each: Column) -> Frame:
+def _closed(frame: Frame, settings: list[Setting], found: Found) -> Frame:
     scope = after = frame.scope
-    hit = F.size(each) > 0
-    inside = _with_groups(scope, {name: F.try_element_at(items, F.lit(-1)) for name, items in matches.items()})
+    inside = _with_groups(scope, found.last)
     for setting in settings:
         path = _fixed_path(setting)
         if len(setting.code) == 2:
-            after = _gather(after, scope, path, setting, matches, each, hit)
-        elif _reads_itself(scope, setting, matches):
-            after = _first_value(after, path, setting, matches[setting.name], hit)
+            after = _gather(after, scope, path, setting, found)
+        elif _reads_itself(scope, setting, set(found.last)):
+            after = _first_value(after, path, setting, found)
         else:
-            after = after.assign(path, inside.expand(setting.value), setting.code, hit)
-    return frame.commit(scope, replace(after, ctx={**scope.ctx, **_last_groups(scope, matches)}))
+            after = after.assign(path, inside.expand(setting.value), setting.code, found.hit)
+    return frame.commit(scope, replace(after, ctx={**scope.ctx, **_last_groups(scope, found)}))
 
 
-def _first_value(after: Scope, path: Path, setting: Setting, texts: Column, hit: Column) -> Scope:
-    first = F.get(texts, F.lit(0))
-    value, fault = after.coerce(first, setting.code)
+def _first_value(after: Scope, path: Path, setting: Setting, found: Found) -> Scope:
+    value, fault = after.coerce(found.first[setting.name], setting.code)
     column = value.column
     old = after.leaves.get(path)
     if old is not None:
         column = F.coalesce(old.column, column)
         fault = None if fault is None else old.column.isNull() & fault
-    return after.put(path, Leaf(column, value.dtype), setting.code, hit).with_fault(fault, hit)
+    return after.put(path, Leaf(column, value.dtype), setting.code, found.hit).with_fault(fault, found.hit)
 
 
-def _gather(after: Scope, scope: Scope, path: Path, setting: Setting, matches, each: Column, hit: Column) -> Scope:
+def _gather(after: Scope, scope: Scope, path: Path, setting: Setting, found: Found) -> Scope:
     """Append one value per match in one go."""
-    name = parse_template(setting.value).single_name
+    name, matches, hit = parse_template(setting.value).single_name, found.lists, found.hit
     if name in matches and scope.event_text(parse_path(name)) is None:
         texts = matches[name]
     else:
         texts = F.transform(
-            each,
+            found.each,
             lambda _, i: _with_groups(scope, {n: F.get(items, i) for n, items in matches.items()}).expand(setting.value),
         )
     element = scope.coerce(F.lit(""), setting.code)[0].dtype
@@ -179,8 +227,8 @@ def _gather(after: Scope, scope: Scope, path: Path, setting: Setting, matches, e
 # -- fold ----------------------------------------------------------------------
 
 
-def _fold(frame: Frame, settings: list[Setting], matches: dict[str, Column], each: Column) -> Frame:
-    scope = frame.scope
+def _fold(frame: Frame, settings: list[Setting], found: Found) -> Frame:
+    scope, matches = frame.scope, found.lists
     _reject_clashes(scope, settings)
     types, changed = _stable_types(scope, settings, matches)
     dynamic = scope.overflow is not None or any(_fixed_path(s) is None for s in settings)
@@ -213,7 +261,7 @@ def _fold(frame: Frame, settings: list[Setting], matches: dict[str, Column], eac
         return pack(inside.leaves, inside.overflow, inside.faults)
 
     start = pack(scope.leaves, scope.overflow, scope.faults)
-    indexes = F.transform(each, lambda _, i: i)
+    indexes = F.transform(found.each, lambda _, i: i)
     frame, bound = frame.bind(fold=F.aggregate(indexes, start, merge))
     state = bound["fold"]
     scope = frame.scope
@@ -223,7 +271,7 @@ def _fold(frame: Frame, settings: list[Setting], matches: dict[str, Column], eac
             **scope.leaves,
             **{path: Leaf(state.getField(f"f{i}"), types[path]) for i, path in enumerate(changed)},
         },
-        ctx={**scope.ctx, **_last_groups(scope, matches)},
+        ctx={**scope.ctx, **_last_groups(scope, found)},
         overflow=state.getField("late") if dynamic else None,
         faults=state.getField("faults") if options.track_faults else None,
     )

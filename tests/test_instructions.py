@@ -303,6 +303,10 @@ def test_grok_fold_accumulates(apply):
         {"fields": "x", "values": "${x}", "types": "n"},
         {"values": "fixed", "types": "as"},
         {"groups": "", "values": "${v}"},
+        {"pattern": r"(\w)?=(\d)(q)?", "groups": "k,x,q", "fields": "f,g,h", "values": "${k},${x},${q}", "types": "s,n,s"},
+        {"pattern": r"(^)|(\d)", "values": "${k}-${x}"},
+        {"pattern": r"(?=(.))(.)", "values": "${k}-${x}"},
+        {"groups": "k,k", "values": "${k}"},
     ],
 )
 @pytest.mark.parametrize("schema", ["v string", "v string, f string", "v string, f array<string>", "v string, g int"])
@@ -310,7 +314,7 @@ def test_both_grok_plans_agree(spark, changes, schema):
     width = schema.count(",") + 1
     extra = {"f string": "o", "f array<string>": ["o", "1"], "g int": 4}
     last = extra.get(schema.split(", ")[-1])
-    rows = [(v,) if width == 1 else (v, w) for v in (AB, "zz", "a=1,a=1", None) for w in ((None,) if width == 1 else (None, last))]
+    rows = [(v,) if width == 1 else (v, w) for v in (AB, "zz", "a=1,a=1", "\x01a=1\x01b=3\x01", "x\x01", "", None) for w in ((None,) if width == 1 else (None, last))]
     frame = Frame.of(spark.createDataFrame(rows, schema).coalesce(1))
     props = pairs(**changes)["props"]
     closed = [json.loads(r.event) for r in grok_step(frame, props, None).to_json().collect()]
