@@ -91,6 +91,15 @@ def file_inventory(spark, sf):
     )
 
 
+@query("SELECT 'first' AS place, TRUE AS rolled UNION ALL SELECT 'last', FALSE")
+def file_edges(spark, sf):
+    """The oldest file of the index is a rolled one, the newest the main log."""
+    inventory = m.file_inventory(spark, _log_folder(spark, sf), MAIN, ROLLED, seed=1)
+    first, last = m.first_file(inventory), m.last_file(inventory)
+    both = first.withColumn("place", F.lit("first")).unionAll(last.withColumn("place", F.lit("last")))
+    return both.select("place", F.col("name").endswith("gz").alias("rolled"))
+
+
 @query()
 def file_inventory_continued(spark, sf):
     """Numbers go on from the oldest file that is still known."""

@@ -5,13 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.errors import FlowConfigError
+from millrace.functions.coerce import same_type
 from millrace.functions.paths import overlaps, parse_path
 from millrace.functions.templates import parse_template
 from millrace.operators.conditions import optional_text, required_text
 from millrace.plans.frame import Frame
-from millrace.plans.scope import Scope, check_type
+from millrace.plans.scope import Leaf, Scope, check_type
 
 
 @dataclass(frozen=True)
@@ -48,9 +51,12 @@ def apply_setting(
     scope: Scope, setting: Setting, cond: Column | None, text: Column | None = None, name: Column | None = None
 ) -> Scope:
     """One assignment. ``text`` and ``name`` are the expanded templates, if at hand."""
+    fixed = parse_template(setting.name).text
+    number = _plain_number(scope, setting)
+    if fixed is not None and number is not None:
+        return scope.put(parse_path(fixed), number, setting.code, cond)
     if text is None:
         text = scope.expand(setting.value)
-    fixed = parse_template(setting.name).text
     if fixed is not None:
         after = scope.assign(parse_path(fixed), text, setting.code, cond)
     else:
@@ -58,6 +64,18 @@ def apply_setting(
     return after.with_fault(scope.expansion_fault(setting.value, text), cond)
 
 
+def _plain_number(scope: Scope, setting: Setting) -> Leaf | None:
+    """The number itself, where its way through text would change nothing."""
+    name = parse_template(setting.value).single_name
+    leaf = None if name is None or setting.code != "n" else scope.plain_leaf(name)
+    number = scope.options.number
+    if leaf is None or number.precision - number.scale < 19:
+        return None
+    if not isinstance(leaf.dtype, T.IntegralType) and not same_type(leaf.dtype, number):
+        return None
+    return Leaf(F.coalesce(leaf.column.cast(number), F.lit(0).cast(number)), number)
+
+
 def _touches(scope: Scope, setting: Setting, changed: set) -> bool:
     """Whether a setting reads or writes what an earlier one has changed."""
     if not changed:

@@ -40,6 +40,8 @@ HEAD = 4096
 MARK = 256
 WHOLE = -1  # position of a gzipped file that is read to its end
 KEEP_GONE_SECONDS = 3600
+# Looks at a file that is gone, and the time between them.
+ATTEMPTS, ATTEMPT_SECONDS = 3, 0.5
 # Room for the numbers of one gzipped file's lines: deflate expands at most 1032 times.
 GZIP_RATIO, GZIP_LINES = 1032, 1 << 40
 
@@ -372,16 +374,20 @@ class Tail:
                     yield data
 
     def _locate(self, part: Slice) -> str:
-        """Path of the planned file, by its first line if it was renamed meanwhile."""
+        """Path of the planned file, by its first line if it was renamed meanwhile. A file
+        that is just being renamed gets a few more looks."""
         store, _ = self._fs()
-        try:
-            if self._head(store, part.path) == part.head:
-                return part.path
-        except FileNotFoundError:
-            pass
-        for file in self.listing():
-            if file.head == part.head:
-                return file.path
+        for attempt in range(ATTEMPTS):
+            if attempt:
+                time.sleep(ATTEMPT_SECONDS)
+            try:
+                if self._head(store, part.path) == part.head:
+                    return part.path
+            except FileNotFoundError:
+                pass
+            for file in self.listing():
+                if file.head == part.head:
+                    return file.path
         raise FileNotFoundError(f"{part.path} is gone")
 
     def _first_line(self, path: str, part: Slice) -> int:

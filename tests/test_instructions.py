@@ -436,3 +436,13 @@ def test_simple_steps_need_no_shuffle_and_stay_in_codegen(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the repartition of the test itself
     assert "aggregate(" not in plan
+
+
+def test_numbers_are_copied_without_a_detour(spark, apply):
+    rows = [(2**62, "x"), (None, "y")]
+    assert apply(rows, "n long, a string", [enrich(("m", "${n}", "n"), ("k", "${m}", "n"))]) == [
+        {"n": 2**62, "a": "x", "m": 2**62, "k": 2**62},
+        {"a": "y", "m": 0, "k": 0},
+    ]
+    df = m.apply_flow(spark.createDataFrame(rows, "n long, a string"), [enrich(("m", "${n}", "n"))])
+    assert "RLIKE" not in df._jdf.queryExecution().executedPlan().toString()
