@@ -30,8 +30,16 @@ def to_variant(col: Column, dtype: T.DataType) -> Column:
     return col.cast(VARIANT)
 
 
+def plain_decimals(col: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
+    """Decimals print all digits of their scale; as variants they print what they need."""
+    if "decimal" in dtype.simpleString() and not isinstance(dtype, NESTED):
+        return to_variant(col, dtype), VARIANT
+    return col, dtype
+
+
 def to_json_text(col: Column, dtype: T.DataType) -> Column:
     """JSON text of one value; NULL stays NULL."""
+    col, dtype = plain_decimals(col, dtype)
     if isinstance(dtype, (T.ArrayType, *NESTED)):
         return F.to_json(col)
     return F.to_json(to_variant(col, dtype))
@@ -59,7 +67,7 @@ def to_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DecimalType):
         return _plain_decimal(col, dtype.scale) if dtype.scale else col.cast("string")
     if isinstance(dtype, T.ArrayType):
-        return _array_body(F.to_json(col))
+        return _array_body(to_json_text(col, dtype))
     if isinstance(dtype, NESTED):
         return F.to_json(col)
     if is_variant(dtype):

@@ -84,12 +84,7 @@ def nest(leaves: dict[Path, Leaf], depth: int = 0) -> Column:
 
 
 def _for_json(leaves: dict[Path, Leaf]) -> dict[Path, Leaf]:
-    """Decimals print all digits of their scale; as variants they print what they need."""
-    return {
-        path: Leaf(leaf.column.cast(VARIANT), VARIANT) if "decimal" in leaf.dtype.simpleString() and
-        not isinstance(leaf.dtype, coerce.NESTED) else leaf
-        for path, leaf in leaves.items()
-    }
+    return {path: Leaf(*coerce.plain_decimals(leaf.column, leaf.dtype)) for path, leaf in leaves.items()}
 
 
 def _variants(leaf: Leaf) -> Column:

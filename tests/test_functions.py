@@ -141,6 +141,7 @@ def test_bad_boolean(spark, text):
         (T.ArrayType(T.StringType()), ["a", "b"], '"a","b"'),
         (T.ArrayType(T.LongType()), [1, 2], "1,2"),
         (T.ArrayType(T.LongType()), [], ""),
+        (T.ArrayType(NUMBER), [Decimal("5"), Decimal("0"), Decimal("2.50")], "5,0,2.5"),
         (T.BooleanType(), True, "true"),
         (T.StringType(), None, None),
     ],
