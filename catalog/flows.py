@@ -323,35 +323,15 @@ def condition_sees_input(spark, sf):
 
 
 @query(
-    """SELECT event_id,
-              '{"event_id":' || event_id || ',"' || event_type || '":"x","by":{"' || event_type || '":' || user_id || '}}' AS event
+    """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id
+              || ',"' || event_type || '":"x","by":{"' || event_type || '":' || user_id || '}}' AS event
        FROM events"""
 )
 def enrich_dynamic_name(spark, sf):
     """Field names made from data."""
     events = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     steps = [enrich(("${event_type}", "x"), ("by.${event_type}", "${user_id}", "n"))]
-    out = m.apply_flow(events, steps, "json")
-    schema = "event_id bigint, event_type string, user_id bigint, by map<string,bigint>"
-    out = out.withColumn("parsed", F.from_json("event", schema))
-    parsed = F.col("parsed")
-    kind = F.element_at(F.map_keys(parsed["by"]), 1)
-    return out.select(
-        parsed["event_id"].alias("event_id"),
-        F.concat(
-            F.lit('{"event_id":'),
-            F.get_json_object("event", "$.event_id"),
-            F.lit(',"'),
-            kind,
-            F.lit('":"'),
-            F.call_function("get_json_object", F.col("event"), F.concat(F.lit("$."), kind)),
-            F.lit('","by":{"'),
-            kind,
-            F.lit('":'),
-            F.element_at(F.map_values(parsed["by"]), 1).cast("string"),
-            F.lit("}}"),
-        ).alias("event"),
-    )
+    return m.apply_flow(events, steps, "json")
 
 
 # -- grok ----------------------------------------------------------------------------------
