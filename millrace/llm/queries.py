@@ -7,9 +7,35 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
+from millrace.llm.mix import mix, source_group
+from millrace.llm.simhash import hex_of, near_duplicates
 from millrace.llm.toxicity import fit_toxicity, toxicity_scores
 
 
+#: Production mix: half of the tokens there are, weighted by domain, language and source.
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED, MIX_DOMAINS = 50, 4, 11, 4
+
+
+def mix_weights() -> dict:
+    domain = F.when(F.col("domain") == "d0", 1).when(F.col("domain") == "d1", 2).when(F.col("domain") == "d2", 3).otherwise(4)
+    lang = F.when(F.col("lang") == "en", 4).when(F.col("lang").isin("de", "fr"), 2).otherwise(1)
+    return {"domain": domain, "lang": lang, "source": F.when(F.col("source").endswith("0"), 2).otherwise(1)}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mix(docs, source_group(MIX_DOMAINS), budget_percent=MIX_PERCENT, weights=mix_weights(), max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_take")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -21,6 +47,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mix": op2_mix,
+    "op6_simhash": op6_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -28,7 +56,56 @@ QUERIES = {
 #: Words of a text as in ``decontaminate``: A-Z lowered, ASCII letters, digits and all beyond ASCII.
 _FOLDED = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _fill_sql(name: str, children: str, parent: list[str], level: str) -> str:
+    """Shares of a node's children in whole tokens, as in ``mix``."""
+    by = ", ".join(parent)
+    order = f"ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), {level} NULLS FIRST"
+    return f"""
+{name}_a AS (SELECT *, row_number() OVER (PARTITION BY {by} {order}) AS place,
+    coalesce(sum(cap) OVER (PARTITION BY {by} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (PARTITION BY {by}) - coalesce(sum(weight) OVER (PARTITION BY {by} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS leftover
+    FROM ({children})),
+{name}_b AS (SELECT *, place >= coalesce(min(CASE WHEN cap * leftover > weight * (budget - filled) THEN place END) OVER (PARTITION BY {by}), 1000000000) AS open FROM {name}_a),
+{name}_c AS (SELECT *, budget - sum(CASE WHEN open THEN 0 ELSE cap END) OVER (PARTITION BY {by}) AS rest,
+    sum(CASE WHEN open THEN weight END) OVER (PARTITION BY {by}) AS shares,
+    sum(CASE WHEN open THEN weight ELSE 0 END) OVER (PARTITION BY {by} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {name}_b),
+{name} AS (SELECT {by}, {level}, CAST(CASE WHEN open THEN (rest * upto) // shares - (rest * (upto - weight)) // shares ELSE cap END AS HUGEINT) AS budget FROM {name}_c)"""
+
+
 ORACLE = {
+    "op2_mix": f"""
+WITH docs AS (
+  SELECT doc_id, lang, source, CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n, md5(coalesce(text, '')) AS digest,
+         CASE WHEN regexp_matches(source, '[0-9]+$') THEN concat('d', CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % {MIX_DOMAINS} AS VARCHAR)) END AS domain
+  FROM documents
+), leaf AS (
+  SELECT 0 AS root, domain, lang, source, CAST(sum(n) AS HUGEINT) AS tokens, CAST(sum(n) * {MIX_EPOCHS} AS HUGEINT) AS cap,
+         CAST(CASE domain WHEN 'd0' THEN 1 WHEN 'd1' THEN 2 WHEN 'd2' THEN 3 ELSE 4 END AS HUGEINT) AS domain_weight,
+         CAST(CASE WHEN lang = 'en' THEN 4 WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END AS HUGEINT) AS lang_weight,
+         CAST(CASE WHEN source LIKE '%0' THEN 2 ELSE 1 END AS HUGEINT) AS source_weight
+  FROM docs WHERE n > 0 GROUP BY domain, lang, source
+), top AS (
+  SELECT CAST(least((SELECT sum(tokens) FROM leaf) * {MIX_PERCENT} // 100, (SELECT sum(cap) FROM leaf)) AS HUGEINT) AS budget
+), {_fill_sql("d", "SELECT root, domain, sum(cap) AS cap, max(domain_weight) AS weight, (SELECT budget FROM top) AS budget FROM leaf GROUP BY root, domain", ["root"], "domain")},
+{_fill_sql("l", "SELECT c.*, d.budget FROM (SELECT root, domain, lang, sum(cap) AS cap, max(lang_weight) AS weight FROM leaf GROUP BY root, domain, lang) c JOIN d ON c.domain IS NOT DISTINCT FROM d.domain", ["root", "domain"], "lang")},
+{_fill_sql("s", "SELECT c.*, l.budget FROM (SELECT root, domain, lang, source, sum(cap) AS cap, max(source_weight) AS weight FROM leaf GROUP BY root, domain, lang, source) c JOIN l ON c.domain IS NOT DISTINCT FROM l.domain AND c.lang IS NOT DISTINCT FROM l.lang", ["root", "domain", "lang"], "source")},
+plan AS (
+  SELECT leaf.domain, leaf.lang, leaf.source, CAST(budget // tokens AS BIGINT) AS epochs, CAST(budget % tokens AS BIGINT) AS prefix
+  FROM leaf JOIN s ON leaf.domain IS NOT DISTINCT FROM s.domain AND leaf.lang IS NOT DISTINCT FROM s.lang AND leaf.source IS NOT DISTINCT FROM s.source WHERE budget > 0
+), placed AS (
+  SELECT docs.*, epochs, prefix, md5(concat_ws('|', '{MIX_SEED}', CAST(epochs AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), digest)) AS key
+  FROM docs JOIN plan ON docs.domain IS NOT DISTINCT FROM plan.domain AND docs.lang IS NOT DISTINCT FROM plan.lang AND docs.source IS NOT DISTINCT FROM plan.source WHERE n > 0
+), places AS (
+  SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(n) OVER (PARTITION BY domain, lang, source, key) AS here, count(*) OVER (PARTITION BY domain, lang, source, key) AS copies FROM placed
+), last AS (
+  SELECT *, CAST(greatest(0, CASE WHEN upto <= prefix THEN n ELSE least(n, ceil(CAST(greatest(0, prefix - (upto - here)) AS DOUBLE) / copies)) END) AS BIGINT) AS take FROM places
+)
+SELECT doc_id, domain AS mix_domain, lang, source, e AS mix_epoch, n AS mix_tokens, CASE WHEN e < epochs THEN n ELSE take END AS mix_take
+FROM last, unnest(range(0, epochs + CASE WHEN take > 0 THEN 1 ELSE 0 END)) AS t(e)
+""",
     "op10_decontaminate": f"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, {_FOLDED.format("text")} AS w FROM benchmark WHERE text IS NOT NULL
