@@ -271,11 +271,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     in them (too little of the text to give it up) are cut out."""
     remove = F.arrow_udf(lambda texts, spans: pa.array([cut_spans(t, s or []) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string()), "string")
     found = with_contamination(docs, benchmark, "__found", window=window).where(~is_contaminated("__found", coverage_percent))
-    touched = F.size("__found.spans") > 0
-    # Two branches, so that only texts with spans go through Python again.
-    clean = found.where(~touched).select(*docs.columns)
-    cut = found.where(touched).withColumn("text", remove("text", "__found.spans")).select(*docs.columns)
-    return clean.unionByName(cut)
+    # Only texts with spans travel to Python again; the others go as nulls.
+    touched = F.when(F.size("__found.spans") > 0, F.col("text"))
+    return found.withColumn("text", F.coalesce(remove(touched, "__found.spans"), F.col("text"))).select(*docs.columns)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage_percent: int = 5) -> DataFrame:

@@ -42,6 +42,11 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.n
     return x
 
 
+def _times(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The product in the matrix's own precision, so that no copy of it is made."""
+    return (x @ v.astype(x.dtype)).astype(np.float64)
+
+
 def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, dtype=np.float64)))
 
@@ -56,10 +61,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, moves: np.n
 
     def loss(v):
         w, b = v[:-1], v[-1]
-        z = sign * (x @ w + b)
+        z = sign * (_times(x, w) + b)
         pull = -sign * sigmoid(-z)
         total = np.logaddexp(0, -z).sum() + 0.5 * penalty * (w @ w)
-        grad = x.T @ pull + penalty * w
+        grad = _times(x.T, pull) + penalty * w
         if moves is not None and len(moves):
             change = moves @ w
             total += move_penalty * (change @ change)
@@ -79,9 +84,9 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndar
 
     def loss(v):
         w, b = v[:-1], v[-1]
-        gap = np.maximum(0, 1 - sign * (x @ w + b))
+        gap = np.maximum(0, 1 - sign * (_times(x, w) + b))
         pull = -2 * share * sign * gap
-        return (share * gap * gap).sum() + 0.5 * penalty * (w @ w), np.append(x.T @ pull + penalty * w, pull.sum())
+        return (share * gap * gap).sum() + 0.5 * penalty * (w @ w), np.append(_times(x.T, pull) + penalty * w, pull.sum())
 
     v = minimise(loss, np.zeros(x.shape[1] + 1))
     return v[:-1], float(v[-1])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
 from millrace.llm.mix import mix, source_group
+from millrace.llm.pii import pii_report
+from millrace.llm.quality import fit_quality, quality_report
 from millrace.llm.simhash import hex_of, near_duplicates
 from millrace.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -31,11 +33,21 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_take")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_report(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = pii_report(read_table(spark, sf_dir, "documents"))
+    return report.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
@@ -48,7 +60,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix": op2_mix,
+    "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
