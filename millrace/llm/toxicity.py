@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -100,51 +99,76 @@ def swapped(words: set[str], groups=IDENTITY_GROUPS) -> set[str]:
     return {turn.get(w, w) for w in words}
 
 
-def telling_features(rows: list[tuple[set[str], int]], max_features: int, least_docs: int = 5, least_gain: float = 30.0) -> list[str]:
-    """Words whose presence depends on the label: likelihood-ratio statistic of at least
-    ``least_gain`` (30 is one in ten million by chance, for vocabularies of any usual size)."""
-    seen = (Counter(), Counter())
-    total = [0, 0]
-    for words, label in rows:
-        seen[label].update(words)
-        total[label] += 1
-    found = []
-    for word in seen[0].keys() | seen[1].keys():
-        with_it = [seen[0][word], seen[1][word]]
-        if sum(with_it) < least_docs:
-            continue
-        gain = 0.0
-        for y in (0, 1):
-            for cell, row in ((with_it[y], sum(with_it)), (total[y] - with_it[y], sum(total) - sum(with_it))):
-                gain += 2 * cell * math.log(cell * sum(total) / (row * total[y])) if cell else 0
-        if gain >= least_gain:
-            found.append((-gain, word))
-    return [w for _, w in sorted(found)[:max_features]]
+def _gain(with_it: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of presence and label: ``with_it`` has a row for each
+    label, ``total`` the rows of each."""
+    out = np.zeros(with_it.shape[1])
+    have, rows = with_it.sum(axis=0), total.sum()
+    for y in (0, 1):
+        for cell, size in ((with_it[y], have), (total[y] - with_it[y], rows - have)):
+            some = cell > 0
+            out[some] += 2 * cell[some] * np.log(cell[some] * rows / (size[some] * total[y]))
+    return out
+
+
+class _Sample:
+    """Labelled rows as arrays of word numbers, so that each word is held once."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.numbers: dict[str, int] = {}
+        number = self.numbers.setdefault
+        self.docs = [np.array([number(w, len(self.numbers)) for w in sorted(words_of(t))], np.int64) for t, _ in rows]
+        self.labels = np.array([y for _, y in rows], np.int64)
+
+    def telling(self, most: int, least_docs: int = 5, least_gain: float = 30.0) -> list[str]:
+        """Features whose presence depends on the label: ``least_gain`` of 30 is one in ten
+        million by chance, for vocabularies of any usual size."""
+        total = np.bincount(self.labels, minlength=2)
+        found: list[tuple[float, str]] = []
+        for length in (None, *STEMS):  # one length at a time bounds what is held
+            names: dict[str, int] = {}
+            of_word = np.array([-1 if length and len(w) < length else names.setdefault(f"{w[:length]}*" if length else w, len(names)) for w in self.numbers], np.int64)
+            counts = np.zeros((2, len(names)), np.int64)
+            for doc, y in zip(self.docs, self.labels):
+                own = np.unique(of_word[doc])
+                counts[y, own[own >= 0]] += 1
+            gain = _gain(counts, total)
+            gain[counts.sum(axis=0) < least_docs] = 0
+            found += [(-gain[k], name) for name, k in names.items() if gain[k] >= least_gain]
+        return [f for _, f in sorted(found)[:most]]
+
+    def matrix(self, vocabulary: list[str]) -> np.ndarray:
+        place = {f: k for k, f in enumerate(vocabulary)}
+        starts = {f[:3] for f in vocabulary}
+        columns = {n: [place[f] for f in features({w}) & place.keys()] for w, n in self.numbers.items() if w[:3] in starts}
+        x = np.zeros((len(self.docs), len(vocabulary)), np.float32)
+        for k, doc in enumerate(self.docs):
+            x[k, [c for n in doc.tolist() for c in columns.get(n, ())]] = 1
+        return x
 
 
 def fit_rows(rows: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, max_features: int = 2000, fairness: float = 10.0, penalty: float = PENALTY) -> ToxicityModel:
     """A model from labelled texts; ``prior`` is the share of label 1 it shall assume."""
-    sample = [(words_of(t), y) for t, y in unlike_rows(rows)]
-    ones = sum(y for _, y in sample)
-    if not 0 < ones < len(sample):
+    rows = unlike_rows(rows)
+    ones = sum(y for _, y in rows)
+    if not 0 < ones < len(rows):
         return ToxicityModel({}, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     terms = {t for g in groups for t in g}
-    vocabulary = telling_features([(features(w), y) for w, y in sample], max_features)
-    mentioned = set().union(*(w & terms for w, _ in sample))
+    sample = _Sample(rows)
+    vocabulary = sample.telling(max_features)
+    mentioned = terms & sample.numbers.keys()
     vocabulary += sorted(features(mentioned | swapped(mentioned, groups)) - set(vocabulary))
-    place = {w: k for k, w in enumerate(vocabulary)}
-
-    def vectors(sets):
-        x = np.zeros((len(sets), len(vocabulary)), np.float32)
-        for k, words in enumerate(sets):
-            x[k, [place[f] for f in features(words) & place.keys()]] = 1
-        return x
-
-    x = vectors([w for w, _ in sample])
-    pairs = [w for w, _ in sample if w & terms]
-    moves = vectors(pairs) - vectors([swapped(w, groups) for w in pairs]) if pairs else None
-    w, bias = fit_logistic(x, np.array([y for _, y in sample]), penalty, moves, fairness)
-    share = ones / len(sample)
+    x = sample.matrix(vocabulary)
+    moves = None
+    if mentioned:
+        place = {f: k for k, f in enumerate(vocabulary)}
+        there = [w for w in (words_of(t) for t, _ in rows) if w & terms]
+        moves = np.zeros((len(there), len(vocabulary)), np.float32)
+        for k, words in enumerate(there):
+            moves[k, [place[f] for f in features(words) & place.keys()]] += 1
+            moves[k, [place[f] for f in features(swapped(words, groups)) & place.keys()]] -= 1
+    w, bias = fit_logistic(x, sample.labels, penalty, moves, fairness)
+    share = ones / len(rows)
     bias += math.log(prior / (1 - prior)) - math.log(share / (1 - share)) if 0 < prior < 1 else 0
     return ToxicityModel({v: float(c) for v, c in zip(vocabulary, w) if c}, bias)
 
