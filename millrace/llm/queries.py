@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
+from millrace.llm.langid import fit_languages, predicted_languages
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
 from millrace.llm.quality import fit_quality, quality_report
@@ -43,6 +44,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return predicted_languages(docs, fit_languages(docs))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = pii_report(read_table(spark, sf_dir, "documents"))
     return report.withColumn("base_sha256", F.sha2(F.col("base"), 256)).drop("base")
@@ -62,6 +68,7 @@ QUERIES = {
     "op2_mix": op2_mix,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
