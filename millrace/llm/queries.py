@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
+from millrace.llm.html import extracted
 from millrace.llm.langid import fit_languages, predicted_languages
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
@@ -15,6 +16,10 @@ from millrace.llm.simhash import hex_of, near_duplicates
 from millrace.llm.toxicity import fit_toxicity, toxicity_scores
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(read_table(spark, sf_dir, "pages"))
+
+
 #: Production mix: half of the tokens there are, weighted by domain, language and source.
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED, MIX_DOMAINS = 50, 4, 11, 4
 
@@ -65,6 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_mix": op2_mix,
     "op4_quality": op4_quality,
     "op6_simhash": op6_simhash,
