@@ -109,6 +109,7 @@ def mix(docs: DataFrame, domain: Column, budget: int | None = None, budget_perce
 
     The budget is ``budget`` tokens, or ``budget_percent`` of all tokens there are.
     """
+    docs = docs.drop("mix_domain", "mix_epoch", "mix_tokens", "mix_take")  # columns of these names give way
     marked = docs.withColumn("__domain", domain).withColumn("__tokens", token_count(F.col("text")))
     slim = marked.where("__tokens > 0").select(F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     slim = written(slim, "mix-documents")
@@ -116,16 +117,16 @@ def mix(docs: DataFrame, domain: Column, budget: int | None = None, budget_perce
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")).first()[0]
     quotas = leaf_quotas(leaves.drop("rows"), budget if budget is not None else total * budget_percent // 100, weights, max_epochs)
     cuts = written(_cuts(slim, leaves, quotas, seed), "mix-cuts")
-    leaf = cuts.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], "epochs", "key", "spare")
-    match = F.col("__domain").eqNullSafe(F.col("_domain")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    leaf = cuts.select(*[F.col(k).alias(f"__of_{k}") for k in LEVELS], *[F.col(c).alias(f"__{c}") for c in ("epochs", "key", "spare")])
+    match = F.col("__domain").eqNullSafe(F.col("__of_domain")) & F.col("lang").eqNullSafe(F.col("__of_lang")) & F.col("source").eqNullSafe(F.col("__of_source"))
     chosen = marked.where("__tokens > 0").join(leaf, match)
-    own = order_key(seed, F.col("epochs"), F.col("doc_id"), F.col("text"))
+    own = order_key(seed, F.col("__epochs"), F.col("doc_id"), F.col("text"))
     chosen = chosen.withColumn("__own", own)
-    last = F.when(F.col("__own") < F.col("key"), F.col("__tokens")).when(F.col("__own") == F.col("key"), F.least("__tokens", F.col("spare"))).otherwise(F.lit(0))
-    times = F.col("epochs") + F.when(last > 0, 1).otherwise(0)
-    chosen = chosen.withColumn("__last", last).where(times > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))))
-    take = F.when(F.col("mix_epoch") < F.col("epochs"), F.col("__tokens")).otherwise(F.col("__last"))
-    return chosen.select(*docs.columns, F.col("__domain").alias("mix_domain"), "mix_epoch", F.col("__tokens").alias("mix_tokens"), take.cast("long").alias("mix_take"))
+    last = F.when(F.col("__own") < F.col("__key"), F.col("__tokens")).when(F.col("__own") == F.col("__key"), F.least("__tokens", F.col("__spare"))).otherwise(F.lit(0))
+    times = F.col("__epochs") + F.when(last > 0, 1).otherwise(0)
+    chosen = chosen.withColumn("__last", last).where(times > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), (times - 1).cast("long"))))
+    take = F.when(F.col("__epoch") < F.col("__epochs"), F.col("__tokens")).otherwise(F.col("__last"))
+    return chosen.select(*docs.columns, F.col("__domain").alias("mix_domain"), F.col("__epoch").alias("mix_epoch"), F.col("__tokens").alias("mix_tokens"), take.cast("long").alias("mix_take"))
 
 
 def _cuts(slim: DataFrame, leaves: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:

@@ -233,10 +233,10 @@ def added_spans(docs: DataFrame, rounds: int = ROUNDS, least_support: float = LE
 def with_pii(docs: DataFrame, into: str = "pii", rounds: int = ROUNDS, least_support: float = LEAST_SUPPORT, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents with a struct column more: arrays ``base`` and ``spans`` (all) of
     ``(kind, start, end)``, the kinds numbered as in ``KINDS``."""
-    added = written(added_spans(docs, rounds, least_support, least_score), "pii-added").withColumnRenamed("digest", "__digest")
+    added = written(added_spans(docs, rounds, least_support, least_score), "pii-added").select(F.col("digest").alias("__digest"), F.col("added").alias("__added"))
     marked = docs.withColumn("__f", _find()("text")).withColumn("__digest", F.col("__f.digest"))
     joined = marked.join(added, "__digest", "left")
-    spans = F.array_sort(F.concat(F.col("__f.base"), F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
+    spans = F.array_sort(F.concat(F.col("__f.base"), F.coalesce("__added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
     return joined.withColumn(into, F.struct(F.col("__f.base").alias("base"), spans.alias("spans"))).select(*docs.columns, into)
 
 

@@ -9,6 +9,7 @@ from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
 from millrace.llm.html import extracted
 from millrace.llm.langid import fit_languages, predicted_languages
+from millrace.llm.licenses import NOTICE_PERCENT, SENTENCE_END, TEMPLATES, TERM, THRESHOLD, TRIGGER, license_scan
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
 from millrace.llm.quality import fit_quality, quality_report
@@ -44,6 +45,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as files in folders of a hundred below their source and language."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = F.expr("doc_id div 100").cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(folder, F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return license_scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -73,6 +82,7 @@ QUERIES = {
     "op1_html": op1_html,
     "op2_mix": op2_mix,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
@@ -101,7 +111,55 @@ def _fill_sql(name: str, children: str, parent: list[str], level: str) -> str:
 {name} AS (SELECT {by}, {level}, CAST(CASE WHEN open THEN (rest * upto) // shares - (rest * (upto - weight)) // shares ELSE cap END AS HUGEINT) AS budget FROM {name}_c)"""
 
 
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINES = [*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({t[0] for t in TEMPLATES}))]
+
 ORACLE = {
+    "op5_licenses": f"""
+WITH files AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir,
+         coalesce(CAST(doc_id AS VARCHAR), 'none') AS name FROM documents
+), lines AS (
+  SELECT dir, name, len(regexp_extract_all(low, '[^\\x20\\x09-\\x0D]+')) AS n_words, notice
+  FROM (SELECT dir, name, {_LOW.format("text")} AS low FROM files), unnest(string_split(regexp_replace(low, '[.][ \\t]+', '.' || chr(10), 'g'), chr(10))) AS t(notice)
+  WHERE regexp_matches(notice, '{TRIGGER}')
+), template(license, line) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _LINES)}
+), ours AS (
+  SELECT 'n' || notice AS text, notice, unnest(regexp_extract_all(notice, '{TERM}')) AS term FROM (SELECT DISTINCT notice FROM lines)
+), theirs AS (
+  SELECT 't' || line AS text, license, line, unnest(regexp_extract_all({_LOW.format("line")}, '{TERM}')) AS term FROM template
+), both_sides AS (SELECT text, term FROM ours UNION ALL SELECT text, term FROM theirs
+), idf AS (
+  SELECT term, ln((1 + (SELECT count(DISTINCT text) FROM both_sides)) / (1 + count(DISTINCT text))) + 1 AS idf FROM both_sides GROUP BY term
+), left_w AS (
+  SELECT notice, term, w / sqrt(sum(w * w) OVER (PARTITION BY notice)) AS w
+  FROM (SELECT notice, term, count(*) * any_value(idf) AS w FROM ours JOIN idf USING (term) GROUP BY notice, term)
+), right_w AS (
+  SELECT license, line, term, w / sqrt(sum(w * w) OVER (PARTITION BY license, line)) AS v
+  FROM (SELECT license, line, term, count(*) * any_value(idf) AS w FROM theirs JOIN idf USING (term) GROUP BY license, line, term)
+), scored AS (
+  SELECT notice, license, line, CAST(floor(10000 * sum(w * v) + 0.5) AS BIGINT) AS score FROM left_w JOIN right_w USING (term) GROUP BY notice, license, line
+), matched AS (
+  SELECT notice, license, score FROM (SELECT *, row_number() OVER (PARTITION BY notice ORDER BY score DESC, license) AS k FROM scored WHERE score >= {THRESHOLD} * 10000) WHERE k = 1
+), own AS (
+  SELECT * FROM (
+    SELECT dir, name, license, score, n_words, size, row_number() OVER (PARTITION BY dir, name ORDER BY score DESC, license, size DESC, n_words) AS k
+    FROM (SELECT *, len(regexp_extract_all(notice, '[^\\x20\\x09-\\x0D]+')) AS size FROM lines JOIN matched USING (notice))
+  ) WHERE k = 1
+), by_dir AS (
+  SELECT dir, license FROM (
+    SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, name) AS k2 FROM own WHERE 100 * size >= {NOTICE_PERCENT} * n_words
+  ) WHERE k2 = 1
+), nearest AS (
+  SELECT below, dir, license FROM (
+    SELECT b.dir AS below, a.dir, a.license, row_number() OVER (PARTITION BY b.dir ORDER BY length(a.dir) DESC) AS k
+    FROM (SELECT DISTINCT dir FROM files) b JOIN by_dir a ON b.dir = a.dir OR starts_with(b.dir, a.dir || '/')
+  ) WHERE k = 1
+)
+SELECT doc_id, f.dir || '/' || f.name AS path, own.license AS own_license, own.score AS own_score,
+       coalesce(own.license, n.license) AS license, CASE WHEN own.license IS NULL THEN n.dir END AS license_dir
+FROM files f LEFT JOIN own ON f.dir = own.dir AND f.name = own.name LEFT JOIN nearest n ON f.dir = n.below
+""",
     "op2_mix": f"""
 WITH docs AS (
   SELECT doc_id, lang, source, CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n, md5(coalesce(text, '')) AS digest,
