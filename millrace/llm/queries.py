@@ -10,6 +10,7 @@ from millrace.llm.decontaminate import contamination_report
 from millrace.llm.html import extracted
 from millrace.llm.langid import fit_languages, predicted_languages
 from millrace.llm.licenses import NOTICE_PERCENT, SENTENCE_END, TEMPLATES, TERM, THRESHOLD, TRIGGER, license_scan
+from millrace.llm.lm import lm_scores
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
 from millrace.llm.quality import fit_quality, quality_report
@@ -40,6 +41,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "mix_domain", "lang", "source", "mix_epoch", "mix_tokens", "mix_take")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_report(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
@@ -81,6 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_mix": op2_mix,
+    "op3_lm": op3_lm,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
@@ -115,6 +121,32 @@ _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 _LINES = [*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({t[0] for t in TEMPLATES}))]
 
 ORACLE = {
+    "op3_lm": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), tok AS (
+  SELECT r, i, w[i] AS a, CASE WHEN i > 1 THEN w[i-1] END AS b, CASE WHEN i > 2 THEN w[i-2] END AS c FROM d, unnest(range(1, len(w) + 1)) AS t(i)
+), c1 AS (SELECT a, count(*) - 1 AS n FROM tok GROUP BY a
+), c2 AS (SELECT b, a, count(*) - 1 AS n FROM tok WHERE b IS NOT NULL GROUP BY b, a
+), c3 AS (SELECT c, b, a, count(*) - 1 AS n FROM tok WHERE c IS NOT NULL GROUP BY c, b, a
+), big AS (SELECT count(*) AS n FROM tok
+), seen AS (
+  SELECT r, least(i, 3) AS depth, coalesce(g3.n, 0) AS n3, coalesce(x2.n, 0) AS ctx2, coalesce(g2.n, 0) AS n2, coalesce(x1.n, 0) AS ctx1, g1.n AS n1, big.n AS total
+  FROM tok t CROSS JOIN big JOIN c1 g1 ON t.a = g1.a
+  LEFT JOIN c1 x1 ON t.b = x1.a LEFT JOIN c2 g2 ON t.b = g2.b AND t.a = g2.a
+  LEFT JOIN c2 x2 ON t.c = x2.b AND t.b = x2.a LEFT JOIN c3 g3 ON t.c = g3.c AND t.b = g3.b AND t.a = g3.a
+), scored AS (
+  SELECT r, depth, CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 WHEN n1 > 0 THEN 1 ELSE 0 END AS known,
+         CASE WHEN n3 > 0 THEN ln(CAST(n3 AS DOUBLE) / ctx2) WHEN n2 > 0 THEN ln(CAST(n2 AS DOUBLE) / ctx1) WHEN n1 > 0 THEN ln(CAST(n1 AS DOUBLE) / (total - 1)) ELSE -ln(CAST(total AS DOUBLE)) END AS v
+  FROM seen
+), sums AS (
+  SELECT r, CAST(sum(CAST(floor((v + (depth - known) * ln(0.4)) * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS micro,
+         count(*) FILTER (known = 0) AS n0, count(*) FILTER (known = 1) AS n1, count(*) FILTER (known = 2) AS n2, count(*) FILTER (known = 3) AS n3
+  FROM scored GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(micro, 0) AS micro, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3
+FROM d LEFT JOIN sums USING (r)
+""",
     "op5_licenses": f"""
 WITH files AS (
   SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id // 100 AS VARCHAR), 'none')) AS dir,
