@@ -11,15 +11,20 @@ from pyspark.sql import SparkSession
 from millrace.errors import FlowConfigError
 
 
+_LOCAL: list[str] = []  # the local session's folder, made once
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir``. Only a local
-    session without it gets a folder on this machine."""
+    session without it gets a folder on this machine, one for the whole process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise FlowConfigError("Set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="millrace-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="millrace-"))
+    return _LOCAL[0]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -52,6 +57,23 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise IOError(f"Cannot move {source} to {target}")
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it exists: of several writers one succeeds."""
+    fs, handle = _open(spark, path)
+    fs.mkdirs(handle.getParent())
+    try:
+        stream = fs.create(handle, False)
+    except Exception:
+        if fs.exists(handle):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, handle = _open(spark, path)
     fs.mkdirs(handle)

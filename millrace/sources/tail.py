@@ -26,7 +26,7 @@ import sys
 import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -38,6 +38,7 @@ SMALLEST_FILE = 16
 BLOCK = 4 << 20
 HEAD = 4096
 MARK = 256
+IDS = "#ids"  # in an offset, how many record numbers have been given away
 WHOLE = -1  # position of a gzipped file that is read to its end
 KEEP_GONE_SECONDS = 3600
 # Looks at a file that is gone, and the time between them.
@@ -49,8 +50,9 @@ GZIP_RATIO, GZIP_LINES = 1032, 1 << 40
 @dataclass
 class Slice(InputPartition):
     """Lines of one file that start in ``[start, end)``. The batch reads this file from
-    ``first`` to ``limit``; both ends are None for a gzipped file. Its records are numbered
-    from ``base``, fewer than ``room`` of them."""
+    ``first`` to ``limit``; both ends are None for a gzipped file, and
+    ``mark`` is what has to stand before ``first`` there. Its records are numbered from
+    ``base``, fewer than ``room`` of them."""
 
     path: str
     name: str
@@ -61,6 +63,7 @@ class Slice(InputPartition):
     limit: int | None
     base: int
     room: int
+    mark: str = ""
 
 
 @dataclass(frozen=True)
@@ -165,10 +168,18 @@ class Tail:
         return _digest(data[: cut + 1])
 
     def _mark(self, path: str, pos: int) -> str:
-        """Digest of the bytes right before a position of a plain file."""
-        if pos <= 0 or path.endswith("gz"):
-            return ""
+        """Digest of the bytes right before a position of a plain file; of a gzipped file
+        read whole, of its size and the checksum at its end."""
         store, _ = self._fs()
+        if path.endswith("gz"):
+            if pos != WHOLE:
+                return ""
+            with store.open_input_file(path) as stream:
+                size = stream.size()
+                stream.seek(max(0, size - 8))
+                return _digest(str(size).encode() + stream.read(8))
+        if pos <= 0:
+            return ""
         low = max(0, pos - MARK)
         with store.open_input_file(path) as stream:
             stream.seek(low)
@@ -199,9 +210,13 @@ class Tail:
         return {"head": file.head, "pos": pos, "mark": self._mark(file.path, pos)}
 
     def _holds(self, path: str, entry: dict) -> bool:
-        """Whether a file has the text before an entry's position. A gzipped one would have
-        to be unpacked to tell and is trusted, as is one that has just been renamed."""
-        if path.endswith("gz") or entry["pos"] <= 0:
+        """Whether a file has the text before an entry's position. One that was read whole is
+        only ever the same gzipped file. For another position, a gzipped file would have to
+        be unpacked to tell: the executor that does so looks at the entry's mark."""
+        gzipped, whole = path.endswith("gz"), entry["pos"] == WHOLE
+        if whole and not gzipped:
+            return False
+        if not whole and (gzipped or entry["pos"] == 0):
             return True
         stamp = (self.heads.get(path.rsplit("/", 1)[-1]), entry["pos"], entry["mark"])
         if self.held.get(path, (None, None))[0] != stamp:
@@ -211,20 +226,20 @@ class Tail:
                 return True
         return self.held[path][1]
 
-    def _position(self, name: str, head: str, path: str, offset: dict, present: dict) -> int:
-        """Where reading of a file goes on: by its own entry, or by that of the file it was
+    def _known(self, name: str, head: str, path: str, offset: dict, present: dict) -> dict:
+        """Where reading of a file goes on: its own entry, or that of the file it was
         renamed from, which is not under its old name any more."""
         own = offset.get(name)
         if own is not None and own["head"] == head and self._holds(path, own):
-            return own["pos"]
+            return own
         folder = path.rsplit("/", 1)[0]
         for other, entry in offset.items():
-            if other == name or entry["head"] != head:
+            if other in (name, IDS) or entry["head"] != head:
                 continue
             stays = present.get(other) == head and self._holds(f"{folder}/{other}", entry)
             if not stays and self._holds(path, entry):
-                return entry["pos"]
-        return 0
+                return entry
+        return {"head": head, "pos": 0, "mark": ""}
 
     def initial(self) -> dict:
         files = self.listing()
@@ -268,7 +283,8 @@ class Tail:
         offset = {}
         for file in files:
             try:
-                pos = self._position(file.name, file.head, file.path, known or {}, present)
+                before = self._known(file.name, file.head, file.path, known or {}, present)
+                pos = before["pos"]
                 end = self._end(file, pos, file is files[-1])
                 if known is not None and end != pos:
                     if files_left <= 0 or bytes_left <= 0:
@@ -281,13 +297,16 @@ class Tail:
                 if end != 0:
                     old = (known or {}).get(file.name)
                     same = old is not None and (old["head"], old["pos"]) == (file.head, end) and self._holds(file.path, old)
-                    offset[file.name] = (
-                        {k: old[k] for k in ("head", "pos", "mark")} if same else self._entry(file, end)
-                    )
+                    if same or file.gzipped and end == pos:
+                        offset[file.name] = {k: before[k] for k in ("head", "pos", "mark")}
+                    else:
+                        offset[file.name] = self._entry(file, end)
             except FileNotFoundError:
                 continue  # gone meanwhile; the next listing has it under its new name
         heads = {entry["head"] for entry in offset.values()}
         for name, entry in (known or {}).items():
+            if name == IDS:
+                continue
             # A file between two names keeps its place for a while.
             if name not in offset and entry["head"] not in heads:
                 since = entry.get("gone", int(time.time()))
@@ -295,6 +314,15 @@ class Tail:
                     offset[name] = {**entry, "gone": since}
         return offset
 
+    def numbered(self, known: dict | None, offset: dict) -> dict:
+        """The offset with the record numbers given away up to it. The first ones lie above
+        the time in nanoseconds, so that a tap set up anew gives none of an older one's."""
+        if known is not None and IDS in known:
+            last = known[IDS]["pos"] + sum(s.room for s in self.plan(known, offset))
+        else:  # where the batch starts is not known here: room for all there is
+            last = time.time_ns() + sum(f.size * (GZIP_RATIO if f.gzipped else 1) + 1 for f in self.listing())
+        return {**offset, IDS: {"head": "", "pos": last}}
+
     def _end(self, file: Found, pos: int, newest: bool) -> int:
         if pos == WHOLE:
             return WHOLE
@@ -320,21 +348,22 @@ class Tail:
 
     def plan(self, start: dict, end: dict) -> list[Slice]:
         store, root = self._fs()
-        present = {name: entry["head"] for name, entry in end.items() if "gone" not in entry}
+        present = {name: entry["head"] for name, entry in end.items() if "gone" not in entry and name != IDS}
         slices: list[Slice] = []
         base = 0
         for name, entry in end.items():
-            if "gone" in entry:
+            if "gone" in entry or name == IDS:
                 continue
             head, high = entry["head"], entry["pos"]
             path = f"{root.rstrip('/')}/{name}"
-            low = self._position(name, head, path, start, present)
+            before = self._known(name, head, path, start, present)
+            low = before["pos"]
             if low in (WHOLE, high):
                 continue
             if high == WHOLE:
                 size = store.get_file_info(path).size
                 room = GZIP_LINES if size is None else min(size * GZIP_RATIO + 1, GZIP_LINES)
-                slices.append(Slice(path, name, head, low, low, None, None, base, room))
+                slices.append(Slice(path, name, head, low, low, None, None, base, room, before["mark"]))
                 base += room
                 continue
             low = 0 if low > high else low  # written anew
@@ -342,6 +371,11 @@ class Tail:
                 stop = min(cut + self.slice_bytes, high)
                 slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut))
                 base += stop - cut
+        if IDS in end:  # a stream's batch has the numbers right before its offset's
+            first = end[IDS]["pos"] - base
+            if first + base >= 1 << 63:
+                raise ValueError("The tap has no record numbers left")
+            slices = [replace(s, base=s.base + first) for s in slices]
         return slices
 
     # -- reading, on the executors ---------------------------------------------------------
@@ -402,10 +436,18 @@ class Tail:
             at += len(data)
         return at
 
+    def _continues(self, path: str, part: Slice) -> bool:
+        """Whether a gzipped file has, before the position, what the plain one had there."""
+        low = max(0, part.start - MARK)
+        before = b"".join(self._blocks(path, low, part.start))
+        return len(before) == part.start - low and part.mark in ("", _digest(before))
+
     def lines(self, part: Slice):
         """Lists of ``(position, line, length with its end)``, block by block."""
         path = self._locate(part)
         at = self._first_line(path, part)
+        if part.end is None and part.start > 0 and not self._continues(path, part):
+            at = 0  # another file with the same first line
         rest = b""
         for data in self._blocks(path, at, part.limit):
             rows = (rest + data).split(b"\n")
@@ -487,7 +529,7 @@ class TailStreamReader(DataSourceStreamReader):
         return self.known
 
     def latestOffset(self):
-        self.known = self.tail.latest(self.known)
+        self.known = self.tail.numbered(self.known, self.tail.latest(self.known))
         return self.known
 
     def partitions(self, start, end):

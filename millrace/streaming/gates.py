@@ -4,18 +4,26 @@ A gate is a folder of Parquet files::
 
     <root>/gates/<id>/data/ingest_date=.../producer=.../batch=.../part-*.parquet
     <root>/gates/<id>/schema/<producer>-<n>.json   what each producer writes
-    <root>/gates/<id>/staging/...           batches that are not complete
-
-A batch is written to the staging folder and moved into ``data`` in one rename, under a
-path made of producer and batch number: a batch that is delivered again finds itself
-there and is left alone, and no reader sees half of one.
+    <root>/gates/<id>/commits/<producer>/<batch>   the day each batch belongs to
+    <root>/gates/<id>/staging/<attempt>     batches that are not complete
+
+A batch is known by its producer and a name that no other batch has: for a stream the id
+that Spark gave its query (kept in its checkpoint) and the batch number. So a batch that is
+delivered again is left alone, while a flow that was removed and added again, or another
+stream of the same producer, delivers batches of its own. The first attempt notes the day,
+so every attempt has the same target; each is written to a staging folder of its own and
+moved in one rename, so no reader sees half of a batch. Finding a batch takes two lookups,
+however many there are.
 """
 
 from __future__ import annotations
 
 import datetime
 import json
+import logging
+import time
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +45,13 @@ PLACE_SCHEMA = [
 ]
 
 
+#: Spark's file source skips files this much older than the newest one; here none are.
+MAX_FILE_AGE = "36500d"
+LOG = logging.getLogger("millrace.gates")
+#: How often a stream looks whether a closed gate is open again.
+CLOSED_POLL_SECONDS = 1.0
+
+
 class GateClosed(RuntimeError):
     """The gate takes no records now."""
 
@@ -106,7 +121,7 @@ def declare(spark: SparkSession, name: str, root: str, producer: str, schema: T.
         empty = spark.createDataFrame([], full).coalesce(1)
         empty.write.mode("overwrite").parquet(f"{data}/ingest_date=1970-01-01/producer=none/batch=none")
     storage.write_text(
-        spark, f"{gate_path(root, name)}/schema/{safe_id(producer)}-{uuid.uuid4().hex}.json", schema.json()
+        spark, f"{gate_path(root, name)}/schema/{quote(producer, safe='')}-{uuid.uuid4().hex}.json", schema.json()
     )
 
 
@@ -129,19 +144,57 @@ def is_open(spark: SparkSession, name: str, root: str) -> bool:
 # -- writing ---------------------------------------------------------------------------
 
 
+def wait_open(spark: SparkSession, name: str, root: str, seconds: float) -> None:
+    """Wait for a closed gate; give up after so many seconds."""
+    give_up = time.monotonic() + seconds
+    while not is_open(spark, name, root):
+        if time.monotonic() >= give_up:
+            raise GateClosed(f"Gate {name!r} is closed")
+        time.sleep(CLOSED_POLL_SECONDS)
+
+
+def stream_batch(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """Name of a stream's batch: its query's own id and the number."""
+    query = json.loads(storage.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+    return f"{query}.{number}"
+
+
+def _day(spark: SparkSession, claim: str, today: str) -> str:
+    """The day that the first attempt at a batch has noted."""
+    if storage.create_once(spark, claim, today):
+        return today
+    for _ in range(20):
+        if text := storage.read_text(spark, claim):
+            return text
+        time.sleep(0.1)
+    storage.write_text(spark, claim, today)  # the first attempt died before it wrote
+    return today
+
+
 def publish(df: DataFrame, name: str, root: str, producer: str, batch: int | str) -> bool:
-    """Put one batch of frames into a gate, once. False if it is there already."""
+    """Put one batch of frames into a gate, once. False if it is there already. ``batch``
+    has to be a name that no other batch of the producer has."""
     spark, gate = df.sparkSession, gate_path(root, name)
     if not is_open(spark, name, root):
         raise GateClosed(f"Gate {name!r} is closed")
-    place = f"producer={safe_id(producer)}/batch={batch}"
-    if storage.matching(spark, f"{gate}/data/*/{place}"):
-        return False
+    sender, label = quote(producer, safe=""), quote(str(batch), safe="")
     now = datetime.datetime.now(datetime.timezone.utc)
-    staged = f"{gate}/staging/{place}"
+    day = _day(spark, f"{gate}/commits/{sender}/{label}", str(now.date()))
+    target = f"{gate}/data/ingest_date={day}/producer={sender}/batch={label}"
+    if storage.exists(spark, target):
+        LOG.info("Gate %s has batch %s of %s already", name, batch, producer)
+        return False
+    staged = f"{gate}/staging/{uuid.uuid4().hex}"
     stamped = df.drop(*PLACE).withColumn(INGEST_TS, F.timestamp_micros(F.lit(int(now.timestamp() * 1e6))))
-    stamped.write.mode("overwrite").parquet(staged)
-    storage.rename(spark, staged, f"{gate}/data/ingest_date={now.date()}/{place}")
+    stamped.write.parquet(staged)
+    if storage.exists(spark, target):  # another attempt was faster
+        storage.delete(spark, staged)
+        return False
+    storage.rename(spark, staged, target)
+    stray = f"{target}/{staged.rsplit('/', 1)[1]}"
+    if storage.exists(spark, stray):  # it was faster by so little that this one moved into it
+        storage.delete(spark, stray)
+        return False
     return True
 
 
@@ -154,12 +207,15 @@ def write_gate(
     checkpoint: str | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
+    closed_wait: float = 60,
 ) -> StreamingQuery | None:
     """Write records to a gate.
 
     A batch DataFrame is written at once; give it a ``batch`` name if the write may be
-    tried again. A stream needs a ``checkpoint`` and gives its query back; each of its
-    micro-batches arrives exactly once, also after a restart.
+    tried again (the same producer and name are the same batch). A stream needs a
+    ``checkpoint`` and gives its query back; each of its micro-batches arrives exactly once,
+    also after a restart. While the gate is closed a stream waits ``closed_wait`` seconds
+    for it, then fails with :class:`GateClosed`.
     """
     frames = as_frames(df)
     spark = df.sparkSession
@@ -171,7 +227,8 @@ def write_gate(
         raise FlowConfigError("A stream into a gate needs a checkpoint")
 
     def deliver(rows: DataFrame, number: int) -> None:
-        publish(rows, name, root, producer, number)
+        wait_open(spark, name, root, closed_wait)
+        publish(rows, name, root, producer, stream_batch(spark, checkpoint, number))
 
     writer = frames.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
     if query_name:
@@ -207,6 +264,9 @@ def read_gate(
     reader = (spark.readStream if streaming else spark.read).schema(full)
     if streaming and max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if streaming:
+        # A batch is never too old: what was moved in late counts like any other.
+        reader = reader.option("maxFileAge", MAX_FILE_AGE)
     df = reader.parquet(data)
     if since is not None:
         df = df.where(F.col("ingest_date") >= F.lit(since).cast("date"))
@@ -216,12 +276,15 @@ def read_gate(
 def drop_duplicates(
     df: DataFrame,
     keys: list[str] | None = None,
-    watermark: str = "1 hour",
+    watermark: str | None = None,
     time: str = INGEST_TS,
     salts: int = 8,
 ) -> DataFrame:
     """Keep one record per sender and id (``event.source.sourceId`` and ``event.id``, or
-    the given columns). A stream forgets a key ``watermark`` after it was seen.
+    the given columns). A stream has to say how long it remembers a key: ``watermark`` after
+    it was seen. By ``ingest_ts`` nothing is late; by another ``time`` column, records that
+    are later than the watermark are dropped, which Spark counts in the query's progress as
+    ``numRowsDroppedByWatermark``.
 
     A table drops most copies before its shuffle. A stream has no such step, so it spreads
     the copies of one record over ``salts`` tasks first, and only what is left of them
@@ -232,6 +295,8 @@ def drop_duplicates(
         df = df.withColumns({"x:sender": F.col("event.source.sourceId"), "x:id": F.col("event.id")})
         keys = ["x:sender", "x:id"]
     if df.isStreaming:
+        if watermark is None:
+            raise FlowConfigError("A stream needs a watermark: how long a key is remembered")
         out = df.withWatermark(f"`{time}`", watermark)
         if salts > 1:
             out = out.withColumn("x:salt", F.spark_partition_id() % salts)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.errors import FlowConfigError
@@ -14,10 +13,7 @@ from millrace.sources import storage
 from millrace.sources.json_frames import stamp_source, to_envelope
 from millrace.sources.tail import register_tail
 from millrace.streaming.delivery import write_blackhole
-from millrace.streaming.gates import as_frames, declare, publish, read_gate, write_gate
-
-# A tap numbers its records by batch and by place in the batch.
-SEQ_BITS = 43
+from millrace.streaming.gates import as_frames, declare, publish, read_gate, stream_batch, wait_open, write_gate
 
 
 def checkpoint_path(root: str, kind: str, name: str) -> str:
@@ -100,11 +96,14 @@ def run_tap(
     config: dict | str,
     root: str,
     trigger: dict | None = None,
+    closed_wait: float = 60,
     **reader_options,
 ) -> StreamingQuery:
     """Start a tap: follow its files and put each line, in an envelope, into its gate.
 
-    The checkpoint is the tap's cursor: it moves on when the gate has the records.
+    The checkpoint is the tap's cursor: it moves on when the gate has the records. A record's
+    id is its ``seq``, which no other record of the tap has. While the gate is closed the tap
+    waits ``closed_wait`` seconds for it.
     """
     config = load_config(config)
     _, _, _, gate = _tap_parts(config)
@@ -115,14 +114,14 @@ def run_tap(
         return write_blackhole(lines, checkpoint, trigger, query_name)
     producer = f"tap_{name}"
 
-    def frames_of(rows: DataFrame, batch: int) -> DataFrame:
-        number = F.lit(batch * (1 << SEQ_BITS)).cast("long") + F.col("seq")
-        return as_frames(to_envelope(rows.withColumn("id", number).drop("seq")))
+    def frames_of(rows: DataFrame) -> DataFrame:
+        return as_frames(to_envelope(rows.withColumnRenamed("seq", "id")))
 
-    declare(spark, gate, root, producer, frames_of(lines, 0).schema)
+    declare(spark, gate, root, producer, frames_of(lines).schema)
 
     def deliver(rows: DataFrame, batch: int) -> None:
-        publish(frames_of(rows, batch), gate, root, producer, batch)
+        wait_open(spark, gate, root, closed_wait)
+        publish(frames_of(rows), gate, root, producer, stream_batch(spark, checkpoint, batch))
 
     writer = lines.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).queryName(query_name)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

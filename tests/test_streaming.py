@@ -1,6 +1,7 @@
 import datetime
 import json
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,6 +332,6 @@ def test_shared_folder_comes_from_the_session(spark):
             self.sparkContext = type("Context", (), {"master": master})
 
     assert storage.new_folder(Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
-    assert storage.new_folder(Session("local[2]", None), "x").startswith("/tmp")
+    assert storage.new_folder(Session("local[2]", None), "x").startswith(tempfile.gettempdir())
     with pytest.raises(m.FlowConfigError):
         storage.new_folder(Session("yarn", None), "x")
