@@ -36,11 +36,15 @@ def _log_folder(spark, sf) -> str:
     folder = storage.new_folder(spark, "logs")
     lines = _log_lines(spark, sf)
     error = F.col("event_type") == "error"
-    lines.where(error).select("value").write.text(folder)
-    lines.where(~error).select("value").write.mode("append").option("compression", "gzip").text(folder)
+    # A fixed number of files, so that their index is known beforehand.
+    lines.where(error).select("value").repartition(1).write.text(folder)
+    lines.where(~error).select("value").repartition(2).write.mode("append").option("compression", "gzip").text(folder)
     return folder
 
 
+LINE_SQL = """to_json({'event_id': event_id, 'event_type': event_type, 'props': props})"""
+
+
 def _summary(lines):
     parsed = lines.withColumn("line", F.from_json("value", LINE))
     return parsed.groupBy(F.col("line.event_type").alias("event_type")).agg(
@@ -82,13 +86,17 @@ def charset_scan(spark, sf):
     return lines.select(parts[0].cast("bigint").alias("doc_id"), parts[1].alias("text"))
 
 
-@query()
+@query(
+    f"""SELECT 1::BIGINT AS seed, i::BIGINT AS "resourceId", CASE WHEN i < 2 THEN i + 1 END::BIGINT AS "nextResourceId",
+               i < 2 AS rolled,
+               CASE WHEN i = 2 THEN (SELECT sum(octet_length(encode({LINE_SQL})) + 1) FROM events WHERE event_type = 'error') END::BIGINT AS "sizeNow"
+        FROM range(3) t(i)"""
+)
 def file_inventory(spark, sf):
-    """Numbers of the files: rolled ones first."""
+    """Numbers of the files: rolled ones first. Packed sizes depend on the packer."""
     inventory = m.file_inventory(spark, _log_folder(spark, sf), MAIN, ROLLED, seed=1)
-    return m.with_next(inventory).select(
-        "seed", "resourceId", "nextResourceId", F.col("name").endswith("gz").alias("rolled"), "sizeNow"
-    )
+    rolled = F.col("name").endswith("gz")
+    return m.with_next(inventory).select("seed", "resourceId", "nextResourceId", rolled.alias("rolled"), F.when(~rolled, F.col("sizeNow")).alias("sizeNow"))
 
 
 @query("SELECT 'first' AS place, TRUE AS rolled UNION ALL SELECT 'last', FALSE")
@@ -100,14 +108,21 @@ def file_edges(spark, sf):
     return both.select("place", F.col("name").endswith("gz").alias("rolled"))
 
 
-@query()
+@query(
+    f"""SELECT 1::BIGINT AS seed, i::BIGINT AS "resourceId", i < 2 AS rolled,
+               CASE WHEN i = 2 THEN (SELECT sum(octet_length(encode({LINE_SQL})) + 1) FROM events WHERE event_type = 'error')
+                    WHEN i = 3 THEN (SELECT sum(octet_length(encode({LINE_SQL})) + 1) FROM events) END::BIGINT AS "sizeNow"
+        FROM range(4) t(i)"""
+)
 def file_inventory_continued(spark, sf):
     """Numbers go on from the oldest file that is still known."""
     folder = _log_folder(spark, sf)
     before = m.file_inventory(spark, folder, MAIN, ROLLED, seed=1)
-    _log_lines(spark, sf).select("value").write.mode("append").text(folder)
+    before = spark.createDataFrame(before.collect(), before.schema)  # a few files, as they were
+    _log_lines(spark, sf).select("value").repartition(1).write.mode("append").text(folder)
     after = m.file_inventory(spark, folder, MAIN, ROLLED, previous=before, seed=2)
-    return after.select("seed", "resourceId", F.col("name").endswith("gz").alias("rolled"), "sizeNow")
+    rolled = F.col("name").endswith("gz")
+    return after.select("seed", "resourceId", rolled.alias("rolled"), F.when(~rolled, F.col("sizeNow")).alias("sizeNow"))
 
 
 def _tail(spark, folder: str, **options):

@@ -108,9 +108,10 @@ def cond_any_empty(spark, sf):
     return m.apply_flow(table(spark, sf, "events"), [drop(any_of())]).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE NOT TRUE")
+@query("SELECT event_id, 'hit' AS mark FROM events")
 def cond_all_empty(spark, sf):
-    return m.apply_flow(table(spark, sf, "events"), [drop(all_of())]).select("event_id")
+    """``all`` of nothing holds."""
+    return m.apply_flow(table(spark, sf, "events"), [enrich(("mark", "hit"), when=all_of())]).select("event_id", "mark")
 
 
 @query(
@@ -154,15 +155,20 @@ def cond_tag_isnot(spark, sf):
     return m.apply_flow(table(spark, sf, "documents"), steps).select("doc_id", "lang")
 
 
-@query("SELECT doc_id FROM documents WHERE FALSE")
+@query("SELECT doc_id, 'hit' AS mark FROM documents")
 def cond_tag_name_only(spark, sf):
     """A tag condition without a pattern holds for every record."""
-    return m.apply_flow(table(spark, sf, "documents"), [drop(tag("nobody-has-it"))]).select("doc_id")
+    steps = [enrich(("mark", "hit"), when=tag("nobody-has-it"))]
+    return m.apply_flow(table(spark, sf, "documents"), steps).select("doc_id", "mark")
 
 
-@query("SELECT event_id FROM events WHERE FALSE")
+@query("SELECT count(*) AS n, 0 AS kept FROM events")
 def drop_all(spark, sf):
-    return m.apply_flow(table(spark, sf, "events"), [drop()]).select("event_id")
+    """``drop`` without a condition leaves nothing of what there was."""
+    events = table(spark, sf, "events")
+    kept = m.apply_flow(events, [drop()]).select(F.lit(0).alias("n"), F.lit(1).alias("kept"))
+    both = events.select(F.lit(1).alias("n"), F.lit(0).alias("kept")).unionAll(kept)
+    return both.agg(F.sum("n").alias("n"), F.sum("kept").cast("int").alias("kept"))
 
 
 # -- enrich and macros -------------------------------------------------------------------
@@ -503,15 +509,24 @@ def to_boolean_kinds(spark, sf):
 
 
 @query(
-    """SELECT vec_id, label || ',' || (label + 1) AS numbers, '"' || label || '","x"' AS texts FROM embeddings"""
+    """SELECT vec_id, label || ',' || (label + 1) AS numbers, '"' || label || '","x"' AS texts,
+              len(embedding) AS places, sum_of AS total
+       FROM embeddings, (SELECT vec_id AS v, CAST(round(sum(x), 3) AS DECIMAL(18, 3)) AS sum_of
+                         FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id)
+       WHERE v = vec_id"""
 )
 def array_to_text(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         "vec_id",
         F.array(F.col("label"), F.col("label") + 1).alias("a"),
         F.array(F.col("label").cast("string"), F.lit("x")).alias("b"),
+        "embedding",
     )
-    return m.apply_flow(rows, [enrich(("numbers", "${a}"), ("texts", "${b}"))]).select("vec_id", "numbers", "texts")
+    out = m.apply_flow(rows, [enrich(("numbers", "${a}"), ("texts", "${b}"), ("vector", "${embedding}"))])
+    # The text of the whole vector, read back.
+    parts = F.transform(F.split("vector", ","), lambda x: x.cast("double"))
+    total = F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 3).cast("decimal(18,3)")
+    return out.select("vec_id", "numbers", "texts", F.size(parts).cast("bigint").alias("places"), total.alias("total"))
 
 
 @query(
@@ -540,29 +555,36 @@ def gate_envelope(spark, sf):
 
 
 @query(
-    """SELECT doc_id, 'undefined/' || doc_id || '/' || n AS label
-       FROM (SELECT doc_id, n_chars AS n FROM documents)"""
+    """SELECT doc_id, 'undefined/' || doc_id || '/' || text AS label FROM documents"""
 )
 def envelope_flow(spark, sf):
     """A flow over gate records: nested event fields and the context."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("string").alias("value"))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("value"))
     frames = m.to_envelope(m.stamp_source(rows))
     out = m.apply_flow(frames, [enrich(("label", "${source.sourceId}/${source.id}/${value}"))])
     return out.select(F.col("event.id").alias("doc_id"), F.col("event.label").alias("label"))
 
 
-@query("SELECT event_id, event_type FROM events")
+@query(
+    """SELECT 'audit' AS logger, 'WARN' AS level, count(*) AS records FROM events WHERE event_type = 'error'
+       UNION ALL SELECT 'default', 'INFO', count(*) FROM events WHERE event_type <> 'view'"""
+)
 def log_observe(spark, sf):
-    """Log steps let every record pass; they report when the result is written."""
-    steps = [log(level="WARN", logger="audit", when=field("event_type", is_="^error$")), log()]
-    return m.apply_flow(table(spark, sf, "events"), steps).select("event_id", "event_type")
+    """Log steps let every record pass; what they report once the result is written."""
+    steps = [log(level="WARN", logger="audit", when=field("event_type", is_="^error$")), drop(field("event_type", is_="^view$")), log()]
+    return _reported(spark, m.transform(table(spark, sf, "events"), steps), m.write_blackhole)
+
+
+def _reported(spark, result, write):
+    write(result.df)
+    rows = [(s.logger, s.level, s.report()["records"]) for s in result.logs]
+    return spark.createDataFrame(rows, "logger string, level string, records bigint")
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT 'default' AS logger, 'INFO' AS level, count(*) AS records FROM events WHERE event_type <> 'view'")
 def blackhole(spark, sf):
-    events = m.apply_flow(table(spark, sf, "events"), FLAGSHIP)
-    m.write_blackhole(events)
-    return table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n"))
+    """A blackhole computes every record: the step before it has counted them."""
+    return _reported(spark, m.transform(table(spark, sf, "events"), [*FLAGSHIP, log()]), m.write_blackhole)
 
 
 @query("SELECT event_id, upper(event_type) AS event_type FROM events WHERE event_type <> 'view'")

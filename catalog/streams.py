@@ -101,9 +101,85 @@ def flow_stream(spark, sf):
     return flagship_columns(m.read_gate(spark, "out", root).select("event.*"))
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type")
+@query(
+    """SELECT event_type, event_id FROM events WHERE event_type <> 'view'
+       UNION ALL SELECT event_type, event_id FROM events WHERE event_type = 'view'"""
+)
+def flow_readded(spark, sf):
+    """A flow that is removed and added again under its name delivers both its outputs whole."""
+    root = storage.new_folder(spark, "root")
+    m.write_gate(table(spark, sf, "events").select("event_id", "event_type"), "in", root, producer="p", batch="0")
+    flows = m.FlowRegistry(spark, root, trigger=NOW)
+    for step in (drop(field("event_type", is_="^view$")), drop(field("event_type", isnot="^view$"))):
+        config = {
+            "tap": {"class": "gate", "props": {"name": "in"}},
+            "pipeline": [step],
+            "sink": {"class": "gate", "props": {"name": "out"}},
+        }
+        flows.add("f", config)
+        _finish(flows.start("f"))
+        flows.remove("f")
+    return m.read_gate(spark, "out", root).select("event.event_type", "event.event_id")
+
+
+@query("SELECT event_id FROM events UNION ALL SELECT event_id FROM events UNION ALL SELECT event_id FROM events")
+def gate_two_streams(spark, sf):
+    """Two streams of one producer name, and one of a name that only looks alike."""
+    root = storage.new_folder(spark, "root")
+    for k, producer in enumerate(("a-b", "a-b", "a_b")):
+        events = _event_stream(spark, sf).select("event_id")
+        _finish(m.write_gate(events, "g", root, producer=producer, checkpoint=f"{root}/cp{k}", trigger=NOW))
+    return m.read_gate(spark, "g", root).select("event.event_id")
+
+
+@query(
+    """SELECT event_type, 1 + count(*) AS n FROM events WHERE event_type IN ('error', 'click', 'signup') GROUP BY event_type"""
+)
+def tail_rotation(spark, sf):
+    """Logs that all begin with one line: the main log is rolled and packed, the oldest packed
+    file goes and a new main log begins, all between two looks. Every line arrives once."""
+    root, folder = storage.new_folder(spark, "root"), storage.new_folder(spark, "logs")
+    lines = _log_lines(spark, sf)
+
+    def write(kind: str, name: str, packed: bool):
+        part = storage.new_folder(spark, "part")
+        rows = lines.where(F.col("event_type") == kind).select(F.concat(F.lit(f"{kind} "), "value").alias("value"))
+        # Spark writes lines in order within one file: the common first line, then the others.
+        head = spark.range(1).select(F.lit("the same first line of every log file").alias("value"))
+        writer = head.withColumn("k", F.lit(0)).unionAll(rows.withColumn("k", F.lit(1)))
+        writer = writer.repartition(1).sortWithinPartitions("k").select("value").write
+        (writer.option("compression", "gzip") if packed else writer).text(part)
+        (made,) = storage.matching(spark, f"{part}/part-*")
+        storage.rename(spark, made, f"{folder}/{name}")
+
+    config = {
+        "source": {"class": "file", "props": {"target": {"directory": folder, "mainPattern": "^app[.]log$", "rollPattern": "^app-.*[.]gz$"}}},
+        "endpoint": {"class": "gate", "props": {"name": "lines"}},
+    }
+    options = {"startAt": "earliest", "settleSeconds": 0}
+    write("click", "app-1.gz", True)
+    write("error", "app.log", False)
+    _finish(m.run_tap(spark, "t", config, root, NOW, **options))
+    storage.delete(spark, f"{folder}/app-1.gz")
+    storage.delete(spark, f"{folder}/app.log")
+    write("error", "app-2.gz", True)
+    write("signup", "app.log", False)
+    for _ in range(2):
+        _finish(m.run_tap(spark, "t", config, root, NOW, **options))
+    value = F.col("event.value")
+    seen = m.read_gate(spark, "lines", root).select(F.when(~value.startswith("the same"), F.split(value, " ")[0]).alias("event_type"))
+    heads = seen.where("event_type IS NULL").agg(F.count("*").alias("heads"))
+    # One first line for each of the three files.
+    counts = seen.where("event_type IS NOT NULL").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(heads).select("event_type", (F.col("n") + F.col("heads") / 3).cast("bigint").alias("n"))
+
+
+@query(
+    """SELECT 'flow' AS what, event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type
+       UNION ALL SELECT 'state ' || s, 'clean', 1 FROM (VALUES ('passive'), ('active'), ('passive again'), ('unknown')) t(s)"""
+)
 def flow_registry(spark, sf):
-    """A flow that is added, started, edited while it runs, stopped and listed."""
+    """A flow that is added, started, edited while it runs, stopped, listed and removed."""
     root = storage.new_folder(spark, "root")
     m.write_gate(table(spark, sf, "events").select("event_id", "event_type"), "in", root, producer="p", batch="0")
 
@@ -116,12 +192,19 @@ def flow_registry(spark, sf):
 
     flows = m.FlowRegistry(spark, root, trigger={"processingTime": "0 seconds"})
     flows.add("clean", config(drop(field("event_type", is_="^view$"))))
+    states = [flows.info("clean")["state"]]
     flows.start("clean").processAllAvailable()
+    states += [r.state for r in flows.list().collect()]
     flows.edit("clean", config(drop(field("event_type", is_="^view$")), enrich(tags=["v2"])))
     flows.start("clean").processAllAvailable()
     flows.stop("clean")
-    out = m.read_gate(spark, "out", root).select("event.event_type")
-    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    states.append(flows.state("clean") + " again")
+    flows.remove("clean")
+    states += ["unknown"] if flows.list().isEmpty() else []
+    out = m.read_gate(spark, "out", root).select(F.lit("flow").alias("what"), "event.event_type")
+    counts = out.groupBy("what", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    seen = spark.createDataFrame([(f"state {s}", "clean", 1) for s in states], "what string, event_type string, n bigint")
+    return counts.unionAll(seen)
 
 
 def _tap_config(folder: str) -> dict:

@@ -86,9 +86,19 @@ def json_to_text(json: Column) -> Column:
     )
 
 
-def text_to_number(text: Column, number: T.DecimalType) -> Column:
-    """Empty or unparsable text is 0; a number beyond ``number`` is NULL, never 0."""
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast(number)).otherwise(F.lit(0).cast(number))
+def _fitting(value: Column, number: T.DecimalType, on_error: str) -> Column:
+    """The value as ``number``; beyond it the query fails, or the result is NULL."""
+    fit = value.try_cast(number)
+    if on_error != "fail":
+        return fit
+    bad = F.raise_error(F.concat(F.lit(f"Not within {number.simpleString()}: "), F.coalesce(value.cast("string"), F.lit("")))).cast(number)
+    return F.coalesce(fit, bad)
+
+
+def text_to_number(text: Column, number: T.DecimalType, on_error: str = "null") -> Column:
+    """Empty or unparsable text is 0; a number beyond ``number`` fails the query or is NULL,
+    never 0."""
+    return F.when(text.rlike(NUMBER_TEXT), _fitting(text, number, on_error)).otherwise(F.lit(0).cast(number))
 
 
 def number_fault(text: Column, number: T.DecimalType) -> Column:
@@ -111,13 +121,13 @@ def boolean_fault(text: Column) -> Column:
     return ~F.coalesce(F.lower(text).isin("true", "false"), F.lit(False))
 
 
-def to_number(col: Column, dtype: T.DataType, number: T.DecimalType = T.DecimalType(38, 18)) -> Column:
+def to_number(col: Column, dtype: T.DataType, number: T.DecimalType = T.DecimalType(38, 18), on_error: str = "null") -> Column:
     """Number of any value: booleans are 1/0, arrays, objects and NULL are 0."""
     zero = F.lit(0).cast(number)
     if isinstance(dtype, T.BooleanType):
         return F.coalesce(col.cast("int").cast(number), zero)
     if isinstance(dtype, T.NumericType):
-        return F.when(col.isNotNull(), col.try_cast(number)).otherwise(zero)
+        return F.when(col.isNotNull(), _fitting(col, number, on_error)).otherwise(zero)
     if isinstance(dtype, (T.ArrayType, *NESTED)):
         return zero
     if is_variant(dtype):
@@ -127,9 +137,9 @@ def to_number(col: Column, dtype: T.DataType, number: T.DecimalType = T.DecimalT
         return (
             F.when(col.isNull() | nested, zero)
             .when(kind == "BOOLEAN", F.coalesce(flag, zero))
-            .otherwise(text_to_number(F.try_variant_get(col, "$", "string"), number))
+            .otherwise(text_to_number(F.try_variant_get(col, "$", "string"), number, on_error))
         )
-    return text_to_number(to_text(col, dtype), number)
+    return text_to_number(to_text(col, dtype), number, on_error)
 
 
 def to_boolean(col: Column, dtype: T.DataType, on_error: str = "fail") -> Column:

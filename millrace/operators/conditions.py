@@ -28,7 +28,7 @@ def optional_text(config: dict, key: str) -> str | None:
 def required_text(config: dict, key: str, owner: str) -> str:
     value = optional_text(config, key)
     if value is None:
-        raise FlowConfigError(f"Invalid {owner}: missing {key!r}. Contents: {config}")
+        raise FlowConfigError(f"{owner}: expected text under {key!r}, got {config}")
     return value
 
 
@@ -38,16 +38,16 @@ def compile_condition(config: dict | None, scope: Scope, spark: SparkSession) ->
     if config is None:
         return True
     if not isinstance(config, dict):
-        raise FlowConfigError(f"Invalid condition: {config!r}")
+        raise FlowConfigError(f"condition: expected an object, got {config!r}")
     kind = required_text(config, "class", "condition").lower()
     if kind in ("any", "all"):
         return _combined(kind, config, scope, spark)
     if kind not in ("field", "tag"):
-        raise FlowConfigError(f"Unknown condition class {kind!r}; known classes: any, all, tag, field")
+        raise FlowConfigError(f"condition: {kind!r} is none of any, all, field, tag")
     props = config.get("props")
     if not isinstance(props, dict):
-        raise FlowConfigError(f"Invalid {kind!r} condition: missing 'props'. Contents: {config}")
-    name = required_text(props, "name", f"{kind!r} condition")
+        raise FlowConfigError(f"{kind} condition: expected an object under 'props', got {config}")
+    name = required_text(props, "name", f"{kind} condition")
     wanted, unwanted = optional_text(props, "is"), optional_text(props, "isnot")
     for pattern in (wanted, unwanted):
         if pattern is not None:
@@ -86,7 +86,7 @@ def _any(tests: list[Test]) -> Test:
 def _combined(kind: str, config: dict, scope: Scope, spark: SparkSession) -> Test:
     children = config.get("list")
     if not isinstance(children, list):
-        raise FlowConfigError(f"Invalid {kind!r} condition: missing 'list'. Contents: {config}")
+        raise FlowConfigError(f"{kind} condition: expected conditions under 'list', got {config}")
     tests = [compile_condition(child if child is not None else {}, scope, spark) for child in children]
     return _any(tests) if kind == "any" else _all(tests)
 

@@ -30,10 +30,10 @@ def settings_of(props: dict) -> list[Setting]:
     found = []
     for entry in _list(props, "fields"):
         if not isinstance(entry, dict):
-            raise FlowConfigError(f"Invalid enrich field: {entry!r}")
+            raise FlowConfigError(f"enrich.fields: expected objects, got {entry!r}")
         name = required_text(entry, "name", "enrich field")
         if entry.get("value") is None:
-            raise FlowConfigError(f"Invalid enrich field: missing 'value'. Contents: {entry}")
+            raise FlowConfigError(f"enrich field {name!r}: expected something under 'value'")
         # Only a text is a template; any other value stands for the empty text.
         value = optional_text(entry, "value") or ""
         found.append(Setting(name, value, check_type(optional_text(entry, "type") or "s")))

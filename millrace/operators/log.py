@@ -1,7 +1,8 @@
-"""``log``: let records pass while counting them and keeping one as a sample.
+"""``log``: let records pass while counting them.
 
 A line per record would drown any log at scale, so each ``log`` step reports through an
-observed metric: how many records met its condition, and one of them as JSON.
+observed metric: how many records met its condition and, with ``"sample": true`` among its
+props, one of them as JSON. A sample makes the step read every field; counting does not.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ PREFIX = "millrace.log"
 
 def _emit(logger: str, level: str, step: str, count: int, sample: str | None) -> None:
     code = logging.WARNING if level == "WARN" else getattr(logging, level)
-    logging.getLogger(logger).log(code, "%s: %d records, sample %s", step, count or 0, sample)
+    logging.getLogger(logger).log(code, "%s: %d records%s", step, count or 0, "" if sample is None else f", sample {sample}")
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,10 @@ def log(frame: Frame, props: dict, cond: Column | None) -> Frame:
     metric = metric_name(len(frame.logs), level, logger)
     hit = F.lit(True) if cond is None else cond
     # first() over the typed event keeps JSON rendering out of the per-record work.
-    sample = F.to_json(F.first(F.when(hit, frame.event()), ignorenulls=True))
+    wanted = props.get("sample") is True
+    sample = F.to_json(F.first(F.when(hit, frame.event()), ignorenulls=True)) if wanted else F.lit(None).cast("string")
+    # A metric has to aggregate.
+    sample = sample if wanted else F.max(sample)
     observation = None if frame.df.isStreaming else Observation(metric)
     df = frame.df.observe(
         observation or metric,
@@ -67,6 +71,13 @@ def log(frame: Frame, props: dict, cond: Column | None) -> Frame:
     return replace(frame, df=df, logs=(*frame.logs, step))
 
 
+def listen(spark) -> None:
+    """Let this session's flows write their ``log`` steps to Python loggers."""
+    if not getattr(spark, "_millrace_listens", False):
+        spark._millrace_listens = True
+        spark.streams.addListener(FlowLogListener())
+
+
 class FlowLogListener(StreamingQueryListener):
     """Writes the ``log`` metrics of every streaming micro-batch to Python loggers."""
 

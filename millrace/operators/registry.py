@@ -46,12 +46,12 @@ def unregister_instruction(name: str) -> None:
 def apply_instruction(frame: Frame, step: dict) -> Frame:
     """One pipeline step: where its condition fails, a record passes unchanged."""
     if not isinstance(step, dict):
-        raise FlowConfigError(f"Invalid instruction: {step!r}")
-    name = required_text(step, "class", "instruction")
+        raise FlowConfigError(f"step: expected an object, got {step!r}")
+    name = required_text(step, "class", "step")
     if step.get("props") is None:
-        raise FlowConfigError(f"Invalid instruction: missing 'props'. Contents: {step}")
+        raise FlowConfigError(f"step {name!r}: expected an object under 'props', got {step}")
     if name not in _instructions:
-        raise FlowConfigError(f"Unknown instruction class {name!r}; known classes: {', '.join(_instructions)}")
+        raise FlowConfigError(f"step: {name!r} is none of {', '.join(_instructions)}")
     test = compile_condition(step.get("condition"), frame.scope, frame.df.sparkSession)
     props = step["props"] if isinstance(step["props"], dict) else {}
     # A test that is known now still lets the step check its own config.

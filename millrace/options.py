@@ -17,8 +17,9 @@ class FlowOptions:
     ``macros``               ``single_pass``: data is never re-expanded;
                              ``recursive``: data holding ``${x}`` is expanded again
     ``max_passes``           bound on ``recursive`` expansion
-    ``on_error``             ``fail``: a bad boolean stops the query; ``null``: it
-                             becomes NULL
+    ``on_error``             ``fail``: a bad boolean, a number beyond its type, or a macro
+                             that is left after ``max_passes`` stops the query;
+                             ``null``: the first two become NULL, the macro stays
     ``track_faults``         keep a per-row count of values that became NULL
     """
 

@@ -48,26 +48,26 @@ def load_config(config: dict | str) -> dict:
 def _endpoint(config: dict, branch: str, known: tuple[str, ...]) -> Endpoint:
     part = config.get(branch)
     if not isinstance(part, dict):
-        raise FlowConfigError(f"Invalid config: missing {branch!r} branch")
+        raise FlowConfigError(f"{branch}: the flow config has no such object")
     kind, props = part.get("class"), part.get("props")
     if not isinstance(kind, str):
-        raise FlowConfigError(f"Invalid {branch} config: missing 'class' value")
+        raise FlowConfigError(f"{branch}.class: expected the name of a class as text")
     if props is None:
-        raise FlowConfigError(f"Invalid {branch} config: missing 'props' branch")
+        raise FlowConfigError(f"{branch}.props: expected an object")
     if kind not in known:
-        raise FlowConfigError(f"Unknown {branch} class {kind!r}; known classes: {', '.join(known)}")
+        raise FlowConfigError(f"{branch}.class: {kind!r} is none of {', '.join(known)}")
     if kind != "gate":
         return Endpoint(kind)
     name = props.get("name") if isinstance(props, dict) else None
     if not isinstance(name, str):
-        raise FlowConfigError(f"Invalid {branch} config: a gate needs a 'name'. Contents: {props}")
+        raise FlowConfigError(f"{branch}.props.name: expected the name of a gate as text, got {props}")
     return Endpoint(kind, name)
 
 
 def pipeline_of(config: dict) -> list:
     pipeline = config.get("pipeline")
     if not isinstance(pipeline, list):
-        raise FlowConfigError("Invalid pipeline config: missing 'pipeline' value")
+        raise FlowConfigError("pipeline: expected a list of steps")
     return pipeline
 
 

@@ -279,7 +279,11 @@ class Scope:
             return F.when(name == "", current).otherwise(F.replace(current, macro, self.lookup_by(name)))
 
         passes = F.sequence(F.lit(1), F.lit(self.options.max_passes))
-        return F.aggregate(passes, F.lit(text), one_pass)
+        expanded = F.aggregate(passes, F.lit(text), one_pass)
+        if self.options.on_error != "fail":
+            return expanded
+        left = F.raise_error(F.concat(F.lit(f"Macros left after {self.options.max_passes} passes: "), expanded)).cast("string")
+        return F.when(expanded.rlike(LAST_MACRO), left).otherwise(expanded)
 
     def expansion_fault(self, text: str, expanded: Column) -> Column | None:
         """True where a macro is left after the last pass."""
@@ -295,7 +299,7 @@ class Scope:
         if kind == "s":
             return Leaf(text, T.StringType()), None
         if kind == "n":
-            return Leaf(coerce.text_to_number(text, number), number), coerce.number_fault(text, number)
+            return Leaf(coerce.text_to_number(text, number, self.options.on_error), number), coerce.number_fault(text, number)
         value = coerce.text_to_boolean(text, self.options.on_error)
         return Leaf(value, T.BooleanType()), coerce.boolean_fault(text)
 

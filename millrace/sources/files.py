@@ -12,24 +12,26 @@ from pyspark.sql.window import Window
 from millrace.errors import FlowConfigError
 from millrace.operators.patterns import check_pattern
 
-# Fixed value: files of this many bytes or fewer are not worth a look.
+# Fixed value: by default, files of this many bytes or fewer are not worth a look.
 SMALLEST_FILE = 16
+# Spark's file source skips files this much older than the newest one; here none are.
+MAX_FILE_AGE = "36500d"
 LINE_CHARSETS = ("UTF-8", "US-ASCII", "ISO-8859-1")
 
 
-def _wanted(name: Column, size: Column, main: str, roll: str) -> Column:
+def _wanted(name: Column, size: Column, main: str, roll: str, smallest: int) -> Column:
     listed = name.rlike(roll) | name.rlike(main)
-    return listed & ~name.startswith(".") & ~name.endswith("zip") & (size > SMALLEST_FILE)
+    return listed & ~name.startswith(".") & ~name.startswith("_") & ~name.endswith("zip") & (size > smallest)
 
 
-def _lines(df: DataFrame, main: str, roll: str, charset: str) -> DataFrame:
+def _lines(df: DataFrame, main: str, roll: str, charset: str, smallest: int) -> DataFrame:
     meta = F.col("_metadata")
     name, size = meta["file_name"], meta["file_size"]
     value = F.col("value")
     if charset.upper() != "UTF-8":
         # The text reader hands bytes through, so they can still be decoded.
         value = F.decode(value.cast("binary"), charset.upper())
-    return df.where(_wanted(name, size, main, roll)).select(
+    return df.where(_wanted(name, size, main, roll, smallest)).select(
         value.alias("value"),
         name.alias("file_name"),
         size.alias("file_size"),
@@ -46,15 +48,17 @@ def _check(spark: SparkSession, main: str, roll: str, charset: str) -> None:
         raise FlowConfigError(f"Unknown charset {charset!r}; known charsets: {', '.join(LINE_CHARSETS)}")
 
 
-def read_rolling(spark: SparkSession, directory: str, main: str, roll: str, charset: str = "UTF-8") -> DataFrame:
+def read_rolling(
+    spark: SparkSession, directory: str, main: str, roll: str, charset: str = "UTF-8", smallest: int = SMALLEST_FILE
+) -> DataFrame:
     """Lines of the files whose name has a match of ``roll`` or ``main``.
 
-    ``.gz`` files are unpacked; dot-files, zip files and files of at most 16 bytes are left
-    out, before they are opened. Order lines by ``rolled DESC, file_time, file_name`` for
+    ``.gz`` files are unpacked; names that begin with a dot or ``_``, zip files and files of
+    at most ``smallest`` bytes are left out, before they are opened. Order lines by ``rolled DESC, file_time, file_name`` for
     the order of the file index.
     """
     _check(spark, main, roll, charset)
-    return _lines(spark.read.text(directory), main, roll, charset)
+    return _lines(spark.read.text(directory), main, roll, charset, smallest)
 
 
 def stream_rolling(
@@ -64,14 +68,15 @@ def stream_rolling(
     roll: str,
     charset: str = "UTF-8",
     max_files_per_trigger: int | None = None,
+    smallest: int = SMALLEST_FILE,
 ) -> DataFrame:
     """:func:`read_rolling` as a stream of files that are complete when they appear. Files
     that still grow need the ``tail`` source."""
     _check(spark, main, roll, charset)
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _lines(reader.load(directory), main, roll, charset)
+    return _lines(reader.load(directory), main, roll, charset, smallest)
 
 
 INVENTORY_SCHEMA = T.StructType(
@@ -93,6 +98,7 @@ def file_inventory(
     roll: str,
     previous: DataFrame | None = None,
     seed: int | None = None,
+    smallest: int = SMALLEST_FILE,
 ) -> DataFrame:
     """Numbered index of a folder's log files, rolled ones first, oldest first.
 
@@ -113,7 +119,7 @@ def file_inventory(
             F.unix_millis("modificationTime").alias("createdTimestamp"),
             F.col("length").alias("sizeNow"),
         )
-        .where(_wanted(F.col("name"), F.col("sizeNow"), main, roll))
+        .where(_wanted(F.col("name"), F.col("sizeNow"), main, roll, smallest))
     )
     order = Window.partitionBy("dir").orderBy(~F.col("name").rlike(roll), "createdTimestamp", "name")
     numbered = files.withColumn("place", F.row_number().over(order) - F.lit(1))

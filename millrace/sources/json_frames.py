@@ -11,9 +11,14 @@ from millrace.options import FlowOptions
 from millrace.plans.frame import Frame
 
 
-def from_json_frames(df: DataFrame, column: str, schema: str | T.DataType) -> DataFrame:
-    """Parse one JSON text column in place; text that is not JSON becomes NULL."""
-    return df.withColumn(column, F.from_json(quoted(column), schema))
+def from_json_frames(df: DataFrame, column: str, schema: str | T.DataType, bad: str | None = None) -> DataFrame:
+    """Parse one JSON text column in place. A schema keeps the fields it names; ``"variant"``
+    keeps every key. Text that is not JSON becomes NULL, and its copy goes to the column
+    ``bad`` if one is named."""
+    text = quoted(column)
+    out = df if bad is None else df.withColumn(bad, F.when(text.isNotNull() & F.try_parse_json(text).isNull(), text))
+    parsed = F.try_parse_json(text) if schema == "variant" else F.from_json(text, schema)
+    return out.withColumn(column, parsed)
 
 
 def to_json_frames(df: DataFrame, column: str = "event") -> DataFrame:

@@ -9,6 +9,7 @@ Options: ``path`` (folder), ``mainPattern``, ``rollPattern``, ``startAt`` (``new
 the start of the newest file, or ``earliest``), ``cursor`` (a saved cursor, see
 :func:`parse_cursor`), ``maxBytesPerTrigger``, ``maxFilesPerTrigger``, ``sliceBytes``,
 ``chunkChars`` (pieces of so many characters instead of lines), ``charset``,
+``smallestBytes`` (files of so many bytes or fewer are left out),
 ``settleSeconds`` (a file untouched for so long is complete), ``resumeFrom`` (offset JSON
 of the last planned batch: without it the first batch after a restart has no caps and
 cannot follow a file that was renamed while the query was down and is still missing).
@@ -106,6 +107,7 @@ class Tail:
         self.slice_bytes = int(options.get("sliceBytes", 128 << 20))
         self.chunk_chars = int(options.get("chunkChars", 0))
         self.charset = options.get("charset", "UTF-8")
+        self.smallest = int(options.get("smallestBytes", SMALLEST_FILE))
         self.settle = float(options.get("settleSeconds", 5))
         self.heads: dict[str, tuple] = {}
         self.held: dict[str, tuple] = {}
@@ -128,9 +130,9 @@ class Tail:
         for info in store.get_file_info(pafs.FileSelector(root)):
             name = info.base_name
             listed = self.roll.search(name) or self.main.search(name)
-            if not listed or name.startswith(".") or name.endswith("zip"):
+            if not listed or name.startswith((".", "_")) or name.endswith("zip"):
                 continue
-            if info.type == pafs.FileType.File and info.size > SMALLEST_FILE:
+            if info.type == pafs.FileType.File and info.size > self.smallest:
                 wanted.append(info)
         # Only files that have changed since the last listing are opened.
         with ThreadPoolExecutor(16) as pool:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.errors import FlowConfigError
-from millrace.streaming.gates import as_frames, declare, publish
+from millrace.streaming.gates import as_frames, declare, publish, stream_batch
 
-# A sink takes the records of one batch and the batch's number, by which it can tell a
-# repeated delivery.
+# A sink takes the records of one batch and the batch's name, by which it can tell a
+# repeated delivery. :func:`fan_out` gives names that no other stream's batches have.
 Sink = Callable[[DataFrame, int | str], None]
 
 
@@ -62,7 +62,7 @@ def fan_out(
     """Deliver every record to every sink.
 
     A batch counts as done when all sinks have it; after a failure it goes to all of them
-    again under the same number. ``cache`` keeps a batch for the second and later sinks;
+    again under the same name. ``cache`` keeps a batch for the second and later sinks;
     turn it off where reading twice is cheaper than spilling. Consumers that come and go
     should rather read a gate, each with its own checkpoint.
     """
@@ -73,9 +73,10 @@ def fan_out(
         keep = cache and len(sinks) > 1
         if keep:
             rows = rows.persist()
+        name = stream_batch(rows.sparkSession, checkpoint, number) if df.isStreaming else number
         try:
             for sink in sinks:
-                sink(rows, number)
+                sink(rows, name)
         finally:
             if keep:
                 rows.unpersist()

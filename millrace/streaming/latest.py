@@ -41,14 +41,18 @@ def conflate(
     order: list[str],
     values: list[str] | None = None,
     tick: str = "200 milliseconds",
-    watermark: str = "1 minute",
+    watermark: str | None = None,
 ) -> DataFrame:
-    """Last row per key within each tick; adds ``tick_start``. On a stream, ticks older
-    than the ``watermark`` are closed and late rows for them are dropped."""
+    """Last row per key within each tick; adds ``tick_start``.
+
+    On a stream without a ``watermark`` no row is ever late: ticks stay open and their state
+    is kept; write in ``update`` mode. With one, ticks older than it are closed and late rows
+    for them are dropped, which Spark counts as ``numRowsDroppedByWatermark``."""
     values = values or [c for c in df.columns if c not in keys]
     if df.isStreaming:
         # Watermarks take no timestamp without a zone.
-        df = df.withColumn("x:time", quoted(time).cast("timestamp")).withWatermark("`x:time`", watermark)
+        df = df.withColumn("x:time", quoted(time).cast("timestamp"))
+        df = df if watermark is None else df.withWatermark("`x:time`", watermark)
     else:
         df = df.withColumn("x:time", quoted(time))
     out = df.groupBy(*[quoted(k) for k in keys], F.window(F.col("`x:time`"), tick).alias("x:tick")).agg(

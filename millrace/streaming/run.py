@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.errors import FlowConfigError
 from millrace.functions.paths import safe_id
+from millrace.operators.log import listen
 from millrace.operators.patterns import check_pattern
 from millrace.plans.flow import apply_flow, load_config, parse_flow
 from millrace.sources import storage
@@ -36,6 +37,7 @@ def run_flow(
     flow = parse_flow(config)
     source = read_gate(spark, flow.tap.gate, root, streaming=True, max_files_per_trigger=max_files_per_trigger)
     result = apply_flow(source, flow.pipeline, "envelope", **options)
+    listen(spark)
     checkpoint = checkpoint_path(root, "flow", name)
     query_name = f"flow_{safe_id(name)}"
     if flow.sink.kind == "blackhole":

@@ -45,7 +45,9 @@ def test_bad_enrich(apply, props):
 
 def test_number_keeps_its_text(apply):
     steps = [enrich(("n", "2.50", "n"), ("t", "${n}"), ("big", "1" + "0" * 30, "n"))]
-    assert apply([("x",)], "a string", steps) == [{"a": "x", "n": 2.5, "t": "2.5"}]
+    assert apply([("x",)], "a string", steps, on_error="null") == [{"a": "x", "n": 2.5, "t": "2.5"}]
+    with pytest.raises(Exception, match="Not within"):
+        apply([("x",)], "a string", steps)
 
 
 def test_faults_are_counted(spark):
@@ -152,8 +154,11 @@ def test_data_as_macro(apply):
 
 def test_endless_macro_is_bounded_and_counted(spark):
     df = spark.createDataFrame([("${a}",), ("v",)], "a string")
-    out = m.apply_flow(df, [enrich(("r", "${a}"))], macros="recursive", max_passes=4, track_faults=True)
+    options = {"macros": "recursive", "max_passes": 4, "track_faults": True}
+    out = m.apply_flow(df, [enrich(("r", "${a}"))], on_error="null", **options)
     assert [(r.r, r.faults) for r in out.collect()] == [("${a}", 1), ("v", 0)]
+    with pytest.raises(Exception, match="Macros left"):
+        m.apply_flow(df, [enrich(("r", "${a}"))], **options).collect()
 
 
 @given(st.lists(st.sampled_from(["${a}", "${b}", "-", "${none}"]), max_size=4))
@@ -340,13 +345,20 @@ def test_grok_bad_pattern(apply):
 
 def test_log_passes_and_reports(spark):
     df = spark.createDataFrame([("x", 1), ("y", 2)], "a string, n int")
-    result = m.transform(df, [log(level="warn", logger="audit", when=field("a", is_="x")), drop(field("a", is_="x"))])
+    result = m.transform(df, [log(level="warn", logger="audit", sample=True, when=field("a", is_="x")), drop(field("a", is_="x")), log()])
     assert [r.a for r in result.df.collect()] == ["y"]
     assert result.logs[0].report() == {"records": 1, "sample": '{"a":"x","n":1}'}
+    assert result.logs[1].report() == {"records": 1, "sample": None}
     with pytest.raises(m.FlowConfigError):
         m.apply_flow(df, [log(level="loud")])
 
 
+def test_log_without_sample_reads_no_further_fields(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = m.apply_flow(events, [log()]).select("event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:bigint>" in plan
+
+
 @pytest.mark.parametrize(
     "bad",
     [

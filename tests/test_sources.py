@@ -331,3 +331,42 @@ def test_envelope(spark):
     }
     assert frame.ctx == {"source.id": "5"}
     assert m.to_envelope(m.to_envelope(df)).columns == ["event", "ctx"]
+
+
+def test_record_numbers_follow_the_offset(tmp_path):
+    """However many batches there were, the next one's numbers begin where the last ended."""
+    from millrace.sources.tail import IDS, Tail
+
+    (tmp_path / "app.log").write_text("a line that is long enough\n" * 3)
+    tail = Tail({"path": str(tmp_path), "mainPattern": "app", "settleSeconds": "0"}, "earliest")
+    known = {IDS: {"head": "", "pos": (1 << 43) * ((1 << 19) + 1)}}
+    after = tail.numbered(known, tail.latest(known))
+    (part,) = tail.plan(known, after)
+    assert part.base == known[IDS]["pos"] and part.base + part.room == after[IDS]["pos"]
+    late = {**after, IDS: {"head": "", "pos": 1 << 63}}
+    with pytest.raises(ValueError, match="numbers"):
+        tail.plan(known, late)
+
+
+def test_gzipped_file_with_another_content_is_read_from_the_start(tmp_path):
+    import gzip
+
+    from millrace.sources.tail import Tail
+
+    head = "the same first line\n"
+    (tmp_path / "app.log").write_text(head + "old one\nold two\n")
+    tail = Tail({"path": str(tmp_path), "mainPattern": "app[.]log$", "rollPattern": "gz$", "settleSeconds": "0"}, "earliest")
+    known = tail.latest({})
+    (tmp_path / "app.log").unlink()
+    (tmp_path / "app-1.gz").write_bytes(gzip.compress((head + "new one\nnew two\n").encode()))
+    parts = tail.plan(known, tail.latest(known))
+    lines = [row for part in parts for batch in tail.records(part) for row in batch.column(0).to_pylist()]
+    assert lines == (head + "new one\nnew two").split("\n")
+
+
+def test_json_that_does_not_parse_is_kept(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": 2}',), ("no json",), (None,)], "v string")
+    rows = m.from_json_frames(df, "v", "a int", bad="bad").collect()
+    assert [(r.v and r.v.a, r.bad) for r in rows] == [(1, None), (None, "no json"), (None, None)]
+    kept = m.from_json_frames(df, "v", "variant").selectExpr("to_json(v) AS j").collect()
+    assert kept[0].j == '{"a":1,"b":2}'

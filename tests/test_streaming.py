@@ -182,7 +182,7 @@ def test_log_listener(spark, root, tmp_path, caplog):
     spark.streams.addListener(listener)
     try:
         with caplog.at_level(logging.INFO, "audit"):
-            flow = m.apply_flow(stream(spark, source), [log(logger="audit", level="INFO", when=field("k", is_="a"))])
+            flow = m.apply_flow(stream(spark, source), [log(logger="audit", level="INFO", sample=True, when=field("k", is_="a"))])
             run(m.write_blackhole(flow, f"{root}/cp", NOW))
             for _ in range(50):
                 if caplog.records:
@@ -335,3 +335,46 @@ def test_shared_folder_comes_from_the_session(spark):
     assert storage.new_folder(Session("local[2]", None), "x").startswith(tempfile.gettempdir())
     with pytest.raises(m.FlowConfigError):
         storage.new_folder(Session("yarn", None), "x")
+
+
+def test_streams_and_lookalike_producers_keep_their_batches(spark, tmp_path):
+    root, folder = str(tmp_path / "root"), str(tmp_path / "in")
+    spark.range(5).write.parquet(folder)
+    for k, producer in enumerate(("a-b", "a-b", "a_b", "a/b", "a b")):
+        stream = spark.readStream.schema("id long").parquet(folder)
+        run(m.write_gate(stream, "g", root, producer=producer, checkpoint=f"{root}/cp{k}", trigger=NOW))
+    rows = m.read_gate(spark, "g", root, with_place=True)
+    assert rows.count() == 25
+    assert {r.producer for r in rows.collect()} == {"a-b", "a_b", "a/b", "a b"}
+
+
+def test_batch_goes_to_the_day_of_its_first_attempt(spark, tmp_path):
+    from millrace.streaming import gates
+
+    root = str(tmp_path)
+    frames = gates.as_frames(spark.range(3))
+    gates.declare(spark, "g", root, "p", frames.schema)
+    gate = gates.gate_path(root, "g")
+    assert storage.create_once(spark, f"{gate}/commits/p/b", "2024-05-06")  # an attempt that died
+    assert gates.publish(frames, "g", root, "p", "b") and not gates.publish(frames, "g", root, "p", "b")
+    rows = m.read_gate(spark, "g", root, with_place=True).collect()
+    assert len(rows) == 3 and {str(r.ingest_date) for r in rows} == {"2024-05-06"}
+
+
+def test_stream_waits_for_a_closed_gate(spark, tmp_path):
+    import threading
+
+    root, folder = str(tmp_path / "root"), str(tmp_path / "in")
+    spark.range(5).write.parquet(folder)
+    stream = spark.readStream.schema("id long").parquet(folder)
+    set_open(spark, "g", root, False)
+    threading.Timer(3, lambda: set_open(spark, "g", root, True)).start()
+    run(m.write_gate(stream, "g", root, checkpoint=f"{root}/cp", trigger=NOW, closed_wait=60))
+    assert m.read_gate(spark, "g", root).count() == 5
+
+
+def test_stream_dedupe_needs_a_watermark(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    with pytest.raises(m.FlowConfigError, match="watermark"):
+        m.drop_duplicates(stream, ["id"])
