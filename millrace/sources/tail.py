@@ -29,6 +29,7 @@ import zlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import cloudpickle
@@ -445,66 +446,74 @@ class Tail:
         return len(before) == part.start - low and part.mark in ("", _digest(before))
 
     def lines(self, part: Slice):
-        """Lists of ``(position, line, length with its end)``, block by block."""
+        """``(position, bytes)`` of whole lines, some blocks at a time; a line of any length
+        is put together once."""
         path = self._locate(part)
         at = self._first_line(path, part)
         if part.end is None and part.start > 0 and not self._continues(path, part):
             at = 0  # another file with the same first line
-        rest = b""
+        held: list[bytes] = []
         for data in self._blocks(path, at, part.limit):
-            rows = (rest + data).split(b"\n")
-            rest = rows.pop()
-            found = []
-            for row in rows:
-                if part.end is not None and at >= part.end:
-                    break
-                found.append((at, row, len(row) + 1))
-                at += len(row) + 1
-            if found:
-                yield found
-            if part.end is not None and at >= part.end:
+            cut = data.rfind(b"\n") + 1
+            if not cut:
+                held.append(data)
+                continue
+            whole = b"".join([*held, data[:cut]])
+            held = [data[cut:]] if cut < len(data) else []
+            if part.end is not None and at + len(whole) >= part.end:
+                if at < part.end:  # up to the line that holds the slice's last byte
+                    yield at, whole[: whole.index(b"\n", part.end - 1 - at) + 1]
                 return
-        if rest:
-            yield [(at, rest, len(rest))]
+            yield at, whole
+            at += len(whole)
+        rest = b"".join(held)
+        if rest and (part.end is None or at < part.end):
+            yield at, rest
 
     def records(self, part: Slice):
         """Arrow batches of a slice."""
         number = 0
-        for found in self.lines(part):
-            rows = self._chunks(found) if self.chunk_chars else [(self._text(r), at, at + n) for at, r, n in found]
+        for at, data in self.lines(part):
+            values, starts, ends = self._chunks(data) if self.chunk_chars else self._rows(data)
             if part.end is None:
-                seqs = range(number, number + len(rows))
-                number += len(rows)
+                seqs = np.arange(number, number + len(values))
+                number += len(values)
                 if number > part.room:
                     raise ValueError(f"{part.path} has too many lines")
             else:
                 # Slices of a file are numbered by position, as one row of bytes.
-                seqs = [at - part.start for _, at, _ in rows]
+                seqs = starts + (at - part.start)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([part.name] * len(rows), pa.string()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                    pa.array([part.base + s for s in seqs], pa.int64()),
-                ],
+                [values, pa.repeat(pa.scalar(part.name, pa.string()), len(values)), pa.array(starts + at), pa.array(ends + at), pa.array(seqs + part.base)],
                 names=["value", "file", "start_pos", "end_pos", "seq"],
             )
 
-    def _text(self, row: bytes) -> str:
-        return row.removesuffix(b"\r").decode(self.charset, "replace")
+    def _rows(self, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts of lines without their ends, and where they start and end."""
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.flatnonzero(raw == 10) + 1
+        if not len(ends) or ends[-1] < len(raw):
+            ends = np.append(ends, len(raw))
+        starts = np.concatenate(([0], ends[:-1]))
+        keep = raw != 10
+        last = ends - 1 - (raw[ends - 1] == 10)  # the last byte of each text
+        keep[last[(last >= starts) & (raw[np.maximum(last, 0)] == 13)]] = False
+        offsets = np.concatenate(([0], np.cumsum(keep)[ends - 1])).astype(np.int64)
+        binary = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[keep])])
+        if codecs.lookup(self.charset).name == "utf-8":
+            try:
+                return binary.cast(pa.large_string()).cast(pa.string()), starts, ends
+            except pa.ArrowInvalid:
+                pass
+        return pa.array([row.decode(self.charset, "replace") for row in binary.to_pylist()], pa.string()), starts, ends
 
-    def _chunks(self, found) -> list[tuple[str, int, int]]:
+    def _chunks(self, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Neighbouring lines as pieces of at most ``chunk_chars`` characters. A piece
         starts inside the slice, since its first line does."""
-        data = b"".join(row + b"\n"[: n - len(row)] for _, row, n in found)
         text = data.decode(self.charset, "surrogateescape")
-        start, rows = found[0][0], []
-        for i in range(0, len(text), self.chunk_chars):
-            piece = text[i : i + self.chunk_chars].encode(self.charset, "surrogateescape")
-            rows.append((piece.decode(self.charset, "replace"), start, start + len(piece)))
-            start += len(piece)
-        return rows
+        pieces = [text[i : i + self.chunk_chars].encode(self.charset, "surrogateescape") for i in range(0, len(text), self.chunk_chars)]
+        ends = np.cumsum([len(p) for p in pieces])
+        return pa.array([p.decode(self.charset, "replace") for p in pieces], pa.string()), ends - [len(p) for p in pieces], ends
 
 
 class TailReader(DataSourceReader):
