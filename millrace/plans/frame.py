@@ -19,6 +19,7 @@ from millrace.plans.scope import Leaf, Scope, nest
 
 CTX_MAP, OVERFLOW, FAULTS = "x:ctx", "x:overflow", "x:faults"
 OVERFLOW_FIELD = "dynamic"
+SOURCE_ID = "source.id"
 
 
 def _flatten(prefix: Path, source: Column, dtype: T.DataType) -> list[tuple[Path, Column, T.DataType]]:
@@ -145,7 +146,13 @@ class Frame:
         return nest(self.scope.visible_leaves())
 
     def context(self) -> Column:
-        """Context as one map, absent keys left out."""
+        """Context as one struct, whose keys are known when a plan is made, so a condition on
+        any other name is one on the event alone and reaches the files. As a map, absent keys
+        left out, if it came as one or if keys differ only in case."""
+        if not self.ctx_map and len({n.lower() for n in self.ctx}) == len(self.ctx):
+            if not self.ctx:  # files hold no empty structs
+                return F.struct(F.lit(None).cast("string").alias(SOURCE_ID))
+            return F.struct(*[quoted(ctx_column(n)).alias(n) for n in self.ctx])
         pairs = [c for n in self.ctx for c in (F.lit(n), quoted(ctx_column(n)))]
         own = F.create_map(*pairs).cast("map<string,string>")
         own = F.map_filter(own, lambda _, v: v.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.paths import quoted
 from millrace.options import FlowOptions
-from millrace.plans.frame import Frame
+from millrace.plans.frame import SOURCE_ID, Frame
 
 
 def from_json_frames(df: DataFrame, column: str, schema: str | T.DataType, bad: str | None = None) -> DataFrame:
@@ -48,5 +48,5 @@ def to_envelope(df: DataFrame, id: Column | str = "id", value: str = "value", so
         quoted(value).alias("value"),
         quoted(source).alias("source"),
     )
-    ctx = F.create_map(F.lit("source.id"), number.cast("string"))
+    ctx = F.struct(number.cast("string").alias(SOURCE_ID))
     return df.select(event.alias("event"), ctx.alias("ctx"), *rest)

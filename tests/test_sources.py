@@ -329,7 +329,7 @@ def test_envelope(spark):
         "value": "text",
         "source": {"sourceId": "undefined", "tags": ["x"]},
     }
-    assert frame.ctx == {"source.id": "5"}
+    assert frame.ctx.asDict() == {"source.id": "5"}
     assert m.to_envelope(m.to_envelope(df)).columns == ["event", "ctx"]
 
 

@@ -256,7 +256,7 @@ def test_tap_follows_a_file_and_resumes(spark, root, tmp_path):
     assert lines() == ["one of the lines", "two", "half", "a new file with a line"]
     frame = m.read_gate(spark, "in", root).first()
     assert frame.event.source.asDict() == {"sourceId": "app1", "tags": ["prod"]} and frame.event.tags == ["source"]
-    assert frame.ctx == {"source.id": str(frame.event.id)}
+    assert frame.ctx["source.id"] == str(frame.event.id)
 
 
 def test_tap_without_known_endpoint_keeps_nothing(spark, root, tmp_path):
@@ -378,3 +378,12 @@ def test_stream_dedupe_needs_a_watermark(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     with pytest.raises(m.FlowConfigError, match="watermark"):
         m.drop_duplicates(stream, ["id"])
+
+
+def test_conditions_reach_the_files_of_a_gate(spark, tmp_path):
+    root = str(tmp_path)
+    m.write_gate(spark.createDataFrame([("error", 1), ("view", 2)], "kind string, n int"), "g", root, batch="0")
+    out = m.apply_flow(m.read_gate(spark, "g", root), [drop(field("kind", isnot="^error$"))])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "event.kind" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert [r.event.n for r in out.collect()] == [1]
