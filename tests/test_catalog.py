@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "documents", "pages", "labels", "conversations", "embeddings"]
@@ -24,7 +25,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_all_of_the_catalog_is_registered():
+    assert catalog.QUERIES.keys() <= entry.queries().keys()
+    assert catalog.ORACLE.keys() == catalog.QUERIES.keys()
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF)
     rows = got.collect()
