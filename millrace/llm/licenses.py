@@ -79,8 +79,8 @@ def match_notices(notices: DataFrame, templates: DataFrame, threshold: float = T
     ours = written(notices.select("notice").distinct(), "license-notices").select("notice", terms_of(F.col("notice")))
     theirs = templates.select("license", "line", terms_of(F.col("line")))
     both = ours.select(F.concat(F.lit("n"), "notice").alias("text"), "term").union(theirs.select(F.concat(F.lit("t"), "line").alias("text"), "term"))
-    total = both.agg(F.countDistinct("text").alias("n"))
-    idf = both.groupBy("term").agg(F.countDistinct("text").alias("df")).join(total).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    total = both.agg(F.countDistinct("text")).first()[0]
+    idf = both.groupBy("term").agg(F.countDistinct("text").alias("df")).select("term", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = written(idf, "license-terms")
     left = _weighted(ours, idf, ["notice"])
     right = _weighted(theirs, idf, ["license", "line"]).withColumnRenamed("w", "v")

@@ -14,7 +14,9 @@ a chunk, gathered by its key, turns its counts into its texts' sums.
 
 Defined results: null and empty texts have no words and sum zero; rows that repeat are texts
 like others (they see each other's words); an empty table gives no rows; only ``doc_id`` and
-``text`` are read, and ids may be null or repeat.
+``text`` are read, and ids may be null or repeat. Texts are read twice and have to come in the
+same order both times, as they do from a table; otherwise chunks miss their counts and the
+query fails.
 
 Scale: an n-gram travels once per chunk, at about six bytes, and its count back at about one;
 texts travel once as word numbers. Hot n-grams are one entry per chunk. A part of the tables
