@@ -279,7 +279,8 @@ def _fold(frame: Frame, settings: list[Setting], found: Found) -> Frame:
 
 
 def _reject_clashes(scope: Scope, settings: list[Setting]) -> None:
-    # A match is a condition: what a conditional set may not do, a match may not.
+    # Types have to be the same before and after any match.
+    scope = replace(scope, strict=True)
     for setting in settings:
         path = _fixed_path(setting)
         if path is not None:

@@ -140,6 +140,7 @@ class Scope:
     ctx_map: Column | None = None
     overflow: Column | None = None
     faults: Column | None = None
+    strict: bool = False
 
     # -- lookups ---------------------------------------------------------------
 
@@ -317,13 +318,17 @@ class Scope:
     def put(self, path: Path, value: Leaf, code: str, cond: Column | None = None) -> "Scope":
         """Set a typed value at a path, where ``cond`` holds."""
         holder = self._map_holder(path)
+        if holder is not None and is_variant(self.leaves[holder].dtype):
+            return self._put_in_variant(holder, path[len(holder) :], value, code, cond)
         if holder is not None:
             return self._put_in_map(holder, path[-1], value, code, cond)
         clashes = [p for p in self.leaves if p != path and overlaps(p, path)]
         if clashes and cond is not None:
-            raise FlowConfigError(
-                f"Cannot set {dotted(path)!r} under a condition: it would replace {dotted(clashes[0])!r} in some records only"
-            )
+            if self.strict or self.overflow is not None:
+                raise FlowConfigError(
+                    f"{dotted(path)!r}: a match cannot replace {dotted(clashes[0])!r}, which has another shape, in some records only"
+                )
+            return self._loosened(min([path, *clashes], key=len)).put(path, value, code, cond)
         if len(code) == 2:
             # A plain value above the path is replaced, not appended to.
             above = any(p == path[: len(p)] for p in clashes)
@@ -355,11 +360,41 @@ class Scope:
         for cut in range(1, len(path)):
             holder = self.leaves.get(path[:cut])
             if holder is not None and (is_variant(holder.dtype) or isinstance(holder.dtype, T.MapType)):
-                if is_variant(holder.dtype) or cut != len(path) - 1:
-                    raise FlowConfigError(f"Cannot set {dotted(path)!r} inside the untyped field {dotted(path[:cut])!r}")
+                if not is_variant(holder.dtype) and cut != len(path) - 1:
+                    raise FlowConfigError(f"{dotted(path)!r}: {dotted(path[:cut])!r} is a map and holds no objects")
                 return path[:cut]
         return None
 
+    def _loosened(self, top: Path) -> "Scope":
+        """Scope in which a field and all below it are one value without a fixed shape."""
+        leaf = self._typed(top)
+        if is_variant(leaf.dtype):
+            column = leaf.column
+        elif isinstance(leaf.dtype, (T.StructType, T.MapType)):  # by way of JSON, which leaves absent fields out
+            column = F.try_parse_json(F.to_json(leaf.column))
+        else:
+            column = to_variant(leaf.column, leaf.dtype)
+        leaves = {p: other for p, other in self.leaves.items() if p[: len(top)] != top}
+        return replace(self, leaves={**leaves, top: Leaf(column, VARIANT)})
+
+    def _put_in_variant(self, holder: Path, rest: Path, value: Leaf, code: str, cond: Column | None) -> "Scope":
+        """Set a value below a field without a fixed shape. What is no object there becomes
+        one; other keys stay."""
+        leaf = self.leaves[holder]
+        if len(code) == 2:
+            value = append(self._old_value((*holder, *rest)), value, self.options.number)
+        objects = T.MapType(T.StringType(), VARIANT)
+
+        def grown(before: Column, keys: Path) -> Column:
+            fields = F.coalesce(F.try_variant_get(before, "$", "map<string,variant>"), F.create_map().cast(objects))
+            inner = convert(value, VARIANT) if len(keys) == 1 else grown(F.try_element_at(fields, F.lit(keys[0])), keys[1:])
+            others = F.map_filter(fields, lambda k, _: k != keys[0])
+            return F.to_variant_object(F.map_concat(others, F.create_map(F.lit(keys[0]), inner)))
+
+        column = grown(leaf.column, rest)
+        column = column if cond is None else F.when(cond, column).otherwise(leaf.column)
+        return replace(self, leaves={**self.leaves, holder: Leaf(column, VARIANT)})
+
     def _put_in_map(self, holder: Path, key: str, value: Leaf, code: str, cond: Column | None) -> "Scope":
         leaf = self.leaves[holder]
         if len(code) == 2:

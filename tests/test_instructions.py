@@ -61,8 +61,26 @@ def test_nested_paths_and_conflicts(apply):
     assert apply([("x",)], "a string", [enrich(("o.p", "1"), ("o/q", "2"))]) == [{"a": "x", "o": {"p": "1", "q": "2"}}]
     assert apply([("x",)], "a string", [enrich(("a.b", "1"))]) == [{"a": {"b": "1"}}]
     assert apply([(("y",),)], "a struct<b:string>", [enrich(("a", "1"))]) == [{"a": "1"}]
-    with pytest.raises(m.FlowConfigError, match="condition"):
-        apply([("x",)], "a string", [enrich(("a.b", "1"), when=field("a", is_="x"))])
+
+
+def test_structure_changes_under_a_condition(apply):
+    when = field("k", is_="^y$")
+    rows = [("x", 1), ("y", 2)]
+    assert apply(rows, "k string, a int", [enrich(("a.b", "1"), when=when)]) == [{"k": "x", "a": 1}, {"k": "y", "a": {"b": "1"}}]
+    rows = [("x", ("p", None)), ("y", ("q", 3))]
+    got = apply(rows, "k string, a struct<s:string,n:int>", [enrich(("a", "flat"), when=when)])
+    assert got == [{"k": "x", "a": {"s": "p"}}, {"k": "y", "a": "flat"}]
+    steps = [enrich(("a.b.c", "1"), when=when), enrich(("a.b.d", "2", "n")), enrich(("seen", "${a.b.c}${a.s}"))]
+    got = apply(rows, "k string, a struct<s:string,n:int>", steps)
+    assert got == [{"k": "x", "a": {"s": "p", "b": {"d": 2}}, "seen": "p"}, {"k": "y", "a": {"s": "q", "n": 3, "b": {"c": "1", "d": 2}}, "seen": "1q"}]
+
+
+def test_sets_below_a_field_without_shape(spark):
+    df = m.from_json_frames(spark.createDataFrame([('{"a": {"x": 1}, "z": [1]}',), ('"text"',), (None,)], "props string"), "props", "variant")
+    steps = [enrich(("props.a.y", "${props.a.x}!"), ("props.n", "5", "n")), enrich(("props.z", "7", "an"))]
+    got = [json.loads(r.event) for r in m.apply_flow(df.coalesce(1), steps, "json").collect()]
+    assert got[0] == {"props": {"a": {"x": 1, "y": "1!"}, "n": 5, "z": [1, 7]}}
+    assert got[1]["props"] == got[2]["props"] == {"a": {"y": "!"}, "n": 5, "z": [7]}
 
 
 def test_absent_object_leaves_no_key(apply):
