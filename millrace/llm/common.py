@@ -65,6 +65,12 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(remainder5(doc_id) == 0, F.lit(False))
 
 
+def low_hash(hashed: Column, share: Column) -> Column:
+    """Whether a signed 64-bit hash lies in the lowest ``share`` of all. Of many rows this
+    leaves, before anything is sorted, few more than the lowest ones that are wanted."""
+    return hashed.cast("double") <= -(2.0**63) + share * 2.0**64
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 7) -> tuple[DataFrame, dict[int, int]]:
     """``(doc_id, label, text)`` of at most ``per_class`` rows of labels 0 and of 1, and how
     many labels of each there are. Only rows outside the held-out fold count.
@@ -81,7 +87,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     counts = {r["_label"]: r["count"] for r in ids.groupBy("_label").count().collect() if r["_label"] in (0, 1)}
     chosen = None
     for value in (0, 1):
-        part = ids.where(F.col("_label") == value).orderBy("_h", "doc_id").limit(per_class)
+        share = F.lit(2.0 * per_class / max(1, counts.get(value, 0)) + 1e-6)
+        part = ids.where((F.col("_label") == value) & low_hash(F.col("_h"), share)).orderBy("_h", "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     chosen = F.broadcast(chosen.select("doc_id", "_label"))  # at most 2 * per_class rows
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id")

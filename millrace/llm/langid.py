@@ -14,7 +14,7 @@ anything to learn from every text is; rows with a null id or language are not le
 ``lang``, ``source`` and ``doc_id`` are never inputs of a prediction.
 
 Scale: documents to learn from are chosen by a seeded hash, ``per_lang`` of each language at
-most, from the narrow (id, language) columns, whose ranking is cut before it shuffles; then one
+most, from the narrow (id, language) columns, of which only the lowest hashes are ranked; then one
 narrow pass over whole texts. The model has ``SIZE`` weights a pair.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, per_text
+from millrace.llm.common import held_out, low_hash, per_text
 from millrace.llm.linear import fit_platt, fit_svm, sigmoid
 
 SIZE = 1 << 12
@@ -151,8 +151,11 @@ class LanguageModel:
 
 def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 7) -> LanguageModel:
     ids = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = ids.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_lang).select("doc_id", "lang").distinct()
+    ids = ids.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_rows"))
+    likely = ids.join(sizes, "lang").where(low_hash(F.col("_h"), 2.0 * per_lang / F.col("_rows")))
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    chosen = likely.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_lang).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
     sample = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     return LanguageModel.fit([(r["text"], r["lang"]) for r in sample.toLocalIterator() if _LETTER.search(r["text"])])  # per_lang texts a language at most
