@@ -3,9 +3,9 @@ for reacting to identity terms.
 
 The features that enter are those whose presence goes with the label (in either direction)
 far beyond chance in the labelled sample, plus those of the identity terms found there. For each sample
-row with identity terms a copy is made in which every such term is swapped for another of
-its group; the square of the score change between row and copy is part of the loss, so a
-neutral mention of a group carries next to no score.
+row with identity terms two copies are made: in one every such term is swapped for another of
+its group, in the other for no group at all. The squares of the score changes between row and
+copies are part of the loss, so a neutral mention of a group carries next to no score.
 
 Defined results: null and empty texts get the score of a text without any known feature;
 repeated label rows count once by id (label 1 wins), near copies in the sample once;
@@ -156,17 +156,20 @@ def fit_rows(rows: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS,
     terms = {t for g in groups for t in g}
     sample = _Sample(rows)
     vocabulary = sample.telling(max_features)
+    # Only terms that the sample holds can carry weight; others would take over that of the
+    # terms they are swapped for.
     mentioned = terms & sample.numbers.keys()
-    vocabulary += sorted(features(mentioned | swapped(mentioned, groups)) - set(vocabulary))
+    vocabulary += sorted(features(mentioned) - set(vocabulary))
     x = sample.matrix(vocabulary)
     moves = None
     if mentioned:
         place = {f: k for k, f in enumerate(vocabulary)}
         there = [w for w in (words_of(t) for t, _ in rows) if w & terms]
-        moves = np.zeros((len(there), len(vocabulary)), np.float32)
+        moves = np.zeros((2 * len(there), len(vocabulary)), np.float32)
         for k, words in enumerate(there):
-            moves[k, [place[f] for f in features(words) & place.keys()]] += 1
-            moves[k, [place[f] for f in features(swapped(words, groups)) & place.keys()]] -= 1
+            for row, copy in ((2 * k, swapped(words, groups)), (2 * k + 1, words - terms)):
+                moves[row, [place[f] for f in features(words) & place.keys()]] += 1
+                moves[row, [place[f] for f in features(copy) & place.keys()]] -= 1
     w, bias = fit_logistic(x, sample.labels, penalty, moves, fairness)
     share = ones / len(rows)
     bias += math.log(prior / (1 - prior)) - math.log(share / (1 - share)) if 0 < prior < 1 else 0
