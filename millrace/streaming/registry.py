@@ -144,6 +144,19 @@ class FlowRegistry:
             if flow in self._configs:
                 self.start(flow)
 
+    def gate_info(self, name: str) -> dict:
+        """Name, state and the schema of what the gate's producers write."""
+        schema = gates.gate_schema(self.spark, name, self.root)
+        return {"name": name, "state": self.gate_state(name), "schema": schema and schema.simpleString()}
+
+    def remove_gate(self, name: str) -> None:
+        """Close a gate, stop what reads or writes it here, and forget its records."""
+        self.stop_gate(name)
+        self._held.pop(name, None)
+        for flow in [n for n in self._queries if self.state(n) == ACTIVE and parse_flow(self._configs[n]).tap.gate == name]:
+            self.stop(flow)
+        storage.delete(self.spark, gates.gate_path(self.root, name))
+
     def list_gates(self) -> DataFrame:
         """``name, state`` of all gates."""
         names = sorted(p.rstrip("/").rsplit("/", 1)[1] for p in storage.matching(self.spark, f"{self.root}/gates/*"))

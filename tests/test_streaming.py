@@ -387,3 +387,18 @@ def test_conditions_reach_the_files_of_a_gate(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "event.kind" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert [r.event.n for r in out.collect()] == [1]
+
+
+def test_gate_info_and_removal(spark, tmp_path):
+    root = str(tmp_path)
+    flows = m.FlowRegistry(spark, root)
+    flows.add_gate("g")
+    assert flows.gate_info("g") == {"name": "g", "state": "active", "schema": None}
+    m.write_gate(spark.range(3), "g", root, batch="0")
+    assert "id:bigint" in flows.gate_info("g")["schema"]
+    flows.remove_gate("g")
+    assert flows.list_gates().isEmpty()
+    with pytest.raises(m.FlowConfigError):
+        flows.gate_state("g")
+    m.write_gate(spark.range(2), "g", root, batch="0")
+    assert m.read_gate(spark, "g", root).count() == 2
