@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 
 ORDER, ALPHA = 3, 0.4
 #: Words of a chunk, about, and n-grams of a part of a count table, about.
-CHUNK_WORDS, PART_GRAMS = 1_000_000, 500_000
+CHUNK_WORDS, PART_GRAMS = 3_000_000, 500_000
+#: Words of a chunk that are scored at once, about.
+BLOCK_WORDS = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -47,11 +49,11 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack(values: np.ndarray, level: int = 3) -> bytes:
     """A whole-number array as bytes: planes of its bytes, compressed."""
     raw = np.ascontiguousarray(values)
     planes = raw.view(np.uint8).reshape(len(raw), raw.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + raw.itemsize.to_bytes(1, "little") + pa.compress(planes, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + raw.itemsize.to_bytes(1, "little") + pa.Codec("zstd", level).compress(planes, asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -67,33 +69,45 @@ class Chunk:
         self.vocabulary, self.words, self.lengths = vocabulary, words, lengths
 
     @classmethod
-    def of(cls, texts: list[list[bytes]]) -> Chunk:
+    def of(cls, texts: Iterable[list[bytes]]) -> Chunk:
+        """Words become numbers text by text, so each word's bytes are held once."""
         numbers: dict[bytes, int] = {}
         number = numbers.setdefault
-        words = np.array([number(w, len(numbers)) for text in texts for w in text], np.uint32)
+        parts = [np.fromiter((number(w, len(numbers)) for w in text), np.uint32, len(text)) for text in texts]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-        return cls(hashes, words, np.array([len(t) for t in texts], np.int64))
-
-    def orders(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each n: the sorted hashes of distinct n-grams, how often each occurs, and the
-        place among them of the n-gram that ends at each position (-1: the text has none)."""
-        n_words = len(self.words)
-        begin = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        depth = np.arange(n_words) - begin
+        return cls(hashes, np.concatenate([np.empty(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64))
+
+    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each n: the hash of the n words that end at each position, and where there
+        are so many in the text."""
+        begin = np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
+        depth = np.arange(len(self.words), dtype=np.int32) - begin
+        del begin
         own = self.vocabulary[self.words]
         gram = own
         for n in range(1, order + 1):
             if n > 1:
                 longer = (gram[:-1] ^ (gram[:-1] >> np.uint64(29))) * _FINAL + own[1:] * _STEP + np.uint64(n)
                 gram = np.concatenate((gram[:1], longer))
-            there = depth >= n - 1
-            found, back, times = np.unique(gram[there], return_inverse=True, return_counts=True)
-            place = np.full(n_words, -1, np.int64)
-            place[there] = back
-            yield n, found, times, place
+                del longer
+            yield n, gram, depth >= n - 1
+
+    def orders(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each n: the sorted hashes of distinct n-grams, and how often each occurs."""
+        for n, gram, there in self.grams(order):
+            yield n, *np.unique(gram[there], return_counts=True)
+
+    def blocks(self, size: int) -> Iterator[Chunk]:
+        """The texts in blocks of about ``size`` words."""
+        ends = np.cumsum(self.lengths)
+        at = word = 0
+        while at < len(self.lengths):
+            stop = max(at + 1, int(np.searchsorted(ends, word + size, "right")))
+            yield Chunk(self.vocabulary, self.words[word : ends[stop - 1]], self.lengths[at:stop])
+            at, word = stop, int(ends[stop - 1])
 
     def pack(self) -> bytes:
-        parts = [pack(self.vocabulary), pack(self.words), pack(self.lengths)]
+        parts = [pack(self.vocabulary), pack(self.words, 9), pack(self.lengths)]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @classmethod
@@ -115,23 +129,31 @@ class Chunk:
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list, Chunk]]:
     """Key, ids and texts of consecutive rows with about ``size`` words."""
-    ids: list = []
-    texts: list = []
-    held = serial = 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for doc_id, text in zip(*(batch.column(k).slice(at, 256).to_pylist() for k in (0, 1))):
-                ids.append(doc_id)
-                texts.append(split_words(text))
-                held += len(texts[-1])
-                if held >= size:
-                    chunk = Chunk.of(texts)
-                    yield f"{chunk.key(ids)}-{serial}", ids, chunk
-                    serial += 1
-                    ids, texts, held = [], [], 0
-    if ids:
-        chunk = Chunk.of(texts)
+    rows = (
+        row
+        for batch in batches
+        for at in range(0, batch.num_rows, 256)
+        for row in zip(*(batch.column(k).slice(at, 256).to_pylist() for k in (0, 1)))
+    )
+
+    def some(ids: list) -> Iterator[list[bytes]]:
+        held = 0
+        for doc_id, text in rows:
+            words = split_words(text)
+            ids.append(doc_id)
+            held += len(words)
+            yield words
+            if held >= size:
+                return
+
+    serial = 0
+    while True:
+        ids: list = []
+        chunk = Chunk.of(some(ids))
+        if not ids:
+            return
         yield f"{chunk.key(ids)}-{serial}", ids, chunk
+        serial += 1
 
 
 def _ask(order: int, size: int, bits: int):
@@ -139,7 +161,7 @@ def _ask(order: int, size: int, bits: int):
 
     def ask(batches):
         for key, _, chunk in _chunks(batches, size):
-            for n, found, times, _ in chunk.orders(order):
+            for n, found, times in chunk.orders(order):
                 edges = np.searchsorted(found, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 rows = []
                 for part, (grams, count) in enumerate(zip(np.split(found, edges), np.split(times, edges))):
@@ -196,34 +218,46 @@ def _score(order: int, alpha: float, total: int):
                 chunk, ids, copies = Chunk.unpack(data), names, copies + 1
             else:
                 replies.setdefault(n, []).append((part, data))
-        counts = {n: dict(parts) for n, parts in replies.items()}
-        n_words = len(chunk.words)
+        del rows
+        tables = []
+        for n, found, _ in chunk.orders(order):
+            parts = dict(replies.pop(n, ()))
+            counts = np.concatenate([np.empty(0, np.uint8), *(unpack(parts[p]) for p in sorted(parts))])
+            if len(counts) != len(found):
+                raise ValueError("A chunk misses counts: the texts came in another order when they were read again")
+            tables.append((found, counts))
+        results = [block_scores(block, tables) for block in chunk.blocks(BLOCK_WORDS)]
+        out = {"doc_id": pa.array(ids, pa.string()), "n_words": pa.array(chunk.lengths, pa.int64())}
+        names = ["micro", *(f"n{n}" for n in range(order + 1))]
+        out |= {name: pa.array(np.concatenate([r[k] for r in results]), pa.int64()) for k, name in enumerate(names)}
+        return pa.concat_tables([pa.table(out)] * copies)
+
+    def block_scores(block: Chunk, tables: list) -> list[np.ndarray]:
+        n_words = len(block.words)
         known = np.zeros(n_words, np.int64)  # order of the n-gram that scores a word
         value = np.zeros(n_words)
         depth = np.ones(n_words, np.int64)  # words of context that could have been used, plus one
         shorter = np.full(n_words, total - 1, np.int64)
-        for n, found, _, place in chunk.orders(order):
-            all_counts = np.concatenate([unpack(counts[n][p]).astype(np.int64) for p in sorted(counts[n])]) if n in counts else np.zeros(0, np.int64)
-            here = place >= 0
+        for n, gram, here in block.grams(order):
+            found, counts = tables[n - 1]
             own = np.zeros(n_words, np.int64)
-            own[here] = all_counts[place[here]] - 1
+            own[here] = counts[np.searchsorted(found, gram[here])].astype(np.int64) - 1
             depth[here] = n
             # The context of the n-gram that ends here is the (n - 1)-gram that ends a word before.
-            context = shorter if n == 1 else np.concatenate(([0], shorter[:-1]))
+            context = shorter if n == 1 else np.concatenate((shorter[:1], shorter[:-1]))
             use = here & (own > 0)
             value[use] = np.log(own[use] / context[use])
             known[use] = n
             shorter = own
         value[known == 0] = -math.log(max(total, 1))
         micro = np.floor((value + (depth - known) * math.log(alpha)) * 1e6 + 0.5).astype(np.int64)
-        ends = np.cumsum(chunk.lengths)
-        sums = np.concatenate(([0], np.cumsum(micro)))
-        out = {"doc_id": pa.array(ids, pa.string()), "n_words": pa.array(chunk.lengths, pa.int64()), "micro": pa.array(sums[ends] - sums[ends - chunk.lengths], pa.int64())}
-        for n in range(order + 1):
-            hits = np.concatenate(([0], np.cumsum(known == n)))
-            out[f"n{n}"] = pa.array(hits[ends] - hits[ends - chunk.lengths], pa.int64())
-        result = pa.table(out)
-        return pa.concat_tables([result] * copies)
+        ends = np.cumsum(block.lengths)
+
+        def by_text(numbers: np.ndarray) -> np.ndarray:
+            sums = np.concatenate(([0], np.cumsum(numbers)))
+            return sums[ends] - sums[ends - block.lengths]
+
+        return [by_text(micro), *(by_text(known == n) for n in range(order + 1))]
 
     return score
 
