@@ -11,7 +11,8 @@ Rules (words are ``[^\\x20\\x09-\\x0D]+``): under 20 words, or over 30 percent o
 
 Defined results: null and empty texts have no words and fail; repeated label rows count once
 by id (label 1 wins); without labels of both kinds every document that passes the rules is
-kept. Only ``doc_id`` and ``text`` of the documents are read.
+kept. Probabilities are for the share of label 1 among all labels outside the held-out fold,
+whatever share the sample has. Only ``doc_id`` and ``text`` of the documents are read.
 
 Scale: one narrow pass over whole texts. The model is fitted on at most ``per_class``
 labelled documents of each label, a documented bound; it has ``SIZE`` weights.
@@ -19,6 +20,7 @@ labelled documents of each label, a documented bound; it has ``SIZE`` weights.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -126,7 +128,9 @@ class QualityModel:
         return float(sigmoid(self.slope * (self.weights[at] @ value + self.bias) + self.shift))
 
 
-def fit_rows(rows: list[tuple[str, int]], penalty: float = 0.02) -> QualityModel:
+def fit_rows(rows: list[tuple[str, int]], penalty: float = 0.02, prior: float | None = None) -> QualityModel:
+    """A model from labelled texts; ``prior`` is the share of label 1 it shall assume (None:
+    that of the rows)."""
     rows = sorted(set(rows))
     y = np.array([label for _, label in rows])
     if not 0 < y.sum() < len(y):
@@ -140,12 +144,17 @@ def fit_rows(rows: list[tuple[str, int]], penalty: float = 0.02) -> QualityModel
         fold = np.zeros(len(rows), bool)
     w, bias = fit_logistic(x[~fold], y[~fold], penalty)
     slope, shift = fit_platt(x[fold] @ w + bias, y[fold]) if fold.any() else (1.0, 0.0)
+    if prior is not None and 0 < prior < 1:
+        share = float((y[fold] if fold.any() else y).mean())  # of the rows that set the shift
+        shift += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
     return QualityModel(w.astype(np.float32), bias, slope, shift)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    sample, _ = labelled_texts(docs, labels, "quality", per_class)
-    return fit_rows([(r["text"], r["_label"]) for r in sample.toLocalIterator()])  # 2 * per_class texts at most
+    sample, counts = labelled_texts(docs, labels, "quality", per_class)
+    rows = [(r["text"], r["_label"]) for r in sample.toLocalIterator()]  # 2 * per_class texts at most
+    known = sum(counts.values())
+    return fit_rows(rows, prior=counts.get(1, 0) / known if known else None)
 
 
 def quality_report(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -80,3 +80,25 @@ def test_families_come_first():
     assert model.families.classes == ["germanic", "only xx", "romance"]
     assert {model.predict(w)[0] for w in words.values()} == set(words)
     assert langid.LanguageModel.of(model.parts()).predict("das haus mit") == model.predict("das haus mit")
+
+
+def _noisy(rows, seed):
+    """Texts with a plain, a doubtful or a bad word; the doubtful ones are good four times of
+    five, all of them 86 times of a hundred."""
+    pick = random.Random(seed)
+    out = []
+    for k in range(rows):
+        kind = pick.choices(("plain", "doubtful", "bad"), (0.62, 0.3, 0.08))[0]
+        label = {"plain": 1, "bad": 0}.get(kind, int(pick.random() < 0.8))
+        out.append((k, " ".join([f"w{pick.randrange(6)}" for _ in range(20)] + [f"{kind}{n}" for n in range(8)]), label, kind))
+    return out
+
+
+def test_quality_is_calibrated_to_all_labels(spark):
+    rows = _noisy(3000, 3)
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, kind string").cache()
+    whole, part = (quality.quality_report(table, quality.fit_quality(table, table, n)).join(table, "doc_id").cache() for n in (3000, 150))
+    share = {name: r.where("kind = 'doubtful'").agg(F.avg(F.col("kept").cast("int"))).first()[0] for name, r in (("whole", whole), ("part", part))}
+    assert share["whole"] > 0.9 and share["part"] > 0.9
+    assert whole.select("doc_id", "kept").exceptAll(part.select("doc_id", "kept")).count() < 0.03 * len(rows)
+    assert abs(part.agg(F.avg("probability") - F.avg("quality")).first()[0]) < 0.04
