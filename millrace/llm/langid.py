@@ -83,18 +83,21 @@ class PairwiseMachines:
         return self.classes, self.weights, self.biases, self.slopes, self.shifts
 
     @classmethod
-    def fit(cls, rows: dict[str, list[np.ndarray]]) -> PairwiseMachines:
+    def fit(cls, rows: dict[str, list[np.ndarray]], shares: dict[str, list[float]] | None = None) -> PairwiseMachines:
+        """``shares`` part a class's weight among its rows (None: evenly)."""
         classes = sorted(rows)
+        shares = shares or {c: [1 / len(r)] * len(r) for c, r in rows.items()}
         weights, biases, slopes, shifts = [], [], [], []
         for a, b in combinations(classes, 2):
             x = np.stack(rows[a] + rows[b])
             y = np.array([0] * len(rows[a]) + [1] * len(rows[b]))
+            share = np.concatenate([len(rows[c]) * np.array(shares[c]) for c in (a, b)])
             seen = np.concatenate([np.arange(len(r)) % 4 > 0 for r in (rows[a], rows[b])])
             if len(rows[a]) < 8 or len(rows[b]) < 8:
                 seen[:] = True
-            w, bias = fit_svm(x[seen], y[seen], 0.1)
+            w, bias = fit_svm(x[seen], y[seen], 0.1, share[seen])
             unseen = ~seen if not seen.all() else seen
-            slope, shift = fit_platt(x[unseen] @ w + bias, y[unseen])
+            slope, shift = fit_platt(x[unseen] @ w + bias, y[unseen], share[unseen])
             for parts, value in ((weights, w), (biases, bias), (slopes, slope), (shifts, shift)):
                 parts.append(value)
         return cls(classes, np.array(weights, np.float32).reshape(-1, SIZE), *(np.array(v, np.float64) for v in (biases, slopes, shifts)))
@@ -125,20 +128,19 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> LanguageModel:
+        """From ``(text, lang)``; every fourth of the rows, as they come, is for calibration."""
         by_lang: dict[str, list[np.ndarray]] = {}
-        for text, lang in sorted(rows):
+        for text, lang in rows:
             by_lang.setdefault(lang, []).append(vector(text))
         if not by_lang:
             return cls(None, {})
         families: dict[str, dict] = {}
         for lang, vectors in by_lang.items():
             families.setdefault(family_of(lang), {})[lang] = vectors
-        # A family's languages weigh alike: as many rows of each as there are of its rarest.
-        together = {}
-        for family, langs in families.items():
-            each = max(8, min(map(len, langs.values())))
-            together[family] = [v for vectors in langs.values() for v in vectors[:each]]
-        return cls(PairwiseMachines.fit(together), {f: PairwiseMachines.fit(langs) for f, langs in families.items()})
+        # A family's languages weigh alike, however many rows each has.
+        together = {family: [v for vectors in langs.values() for v in vectors] for family, langs in families.items()}
+        shares = {family: [1 / (len(langs) * len(vectors)) for vectors in langs.values() for _ in vectors] for family, langs in families.items()}
+        return cls(PairwiseMachines.fit(together, shares), {f: PairwiseMachines.fit(langs) for f, langs in families.items()})
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or self.families is None or not _LETTER.search(text):
@@ -158,7 +160,9 @@ def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 7) -> L
     chosen = likely.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_lang).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
     sample = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    return LanguageModel.fit([(r["text"], r["lang"]) for r in sample.toLocalIterator() if _LETTER.search(r["text"])])  # per_lang texts a language at most
+    sample = sample.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = sorted((r["_h"], r["doc_id"], r["lang"], r["text"]) for r in sample.toLocalIterator() if _LETTER.search(r["text"]))  # per_lang texts a language at most
+    return LanguageModel.fit([(text, lang) for *_, lang, text in rows])
 
 
 def predicted_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -75,12 +75,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, moves: np.n
     return v[:-1], float(v[-1])
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine with squared hinge loss. Each
-    class weighs the same, however many rows it has."""
+    class weighs the same, however many rows it has; ``weight`` parts that among its rows."""
     sign = np.where(y > 0, 1.0, -1.0)
     n = len(y)
-    share = np.where(y > 0, n / max(1, 2 * (y > 0).sum()), n / max(1, 2 * (y <= 0).sum()))
+    weight = np.ones(n) if weight is None else weight
+    one, other = weight[y > 0].sum(), weight[y <= 0].sum()
+    share = weight * np.where(y > 0, n / (2 * one or 1), n / (2 * other or 1))
 
     def loss(v):
         w, b = v[:-1], v[-1]
@@ -92,14 +94,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndar
     return v[:-1], float(v[-1])
 
 
-def fit_platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that turn scores into probabilities, with softened targets."""
+def fit_platt(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift that turn scores into probabilities, with softened targets. ``weight``
+    is what each row counts for."""
+    weight = np.ones(len(y)) if weight is None else weight
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
 
     def loss(v):
         z = v[0] * score + v[1]
-        return (np.logaddexp(0, z) - target * z).sum(), np.array([((sigmoid(z) - target) * score).sum(), (sigmoid(z) - target).sum()])
+        pull = weight * (sigmoid(z) - target)
+        return (weight * (np.logaddexp(0, z) - target * z)).sum(), np.array([(pull * score).sum(), pull.sum()])
 
     if not pos or not neg:
         return 1.0, 0.0

@@ -102,3 +102,15 @@ def test_quality_is_calibrated_to_all_labels(spark):
     assert share["whole"] > 0.9 and share["part"] > 0.9
     assert whole.select("doc_id", "kept").exceptAll(part.select("doc_id", "kept")).count() < 0.03 * len(rows)
     assert abs(part.agg(F.avg("probability") - F.avg("quality")).first()[0]) < 0.04
+
+
+def test_rare_language_leaves_its_family_its_rows(spark):
+    """Three rows of one language, and texts that begin alike: the others of the family keep theirs."""
+    pick = random.Random(8)
+    words = {lang: ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)] for lang in ("en", "de", "nl", "fr", "es")}
+    sizes = {"en": 200, "de": 200, "nl": 3, "fr": 200, "es": 200}
+    rows = [(f"{lang}{k}", " ".join((["aaaa menu home"] if k % 10 == 0 else []) + pick.choices(words[lang], k=12)), lang) for lang, n in sizes.items() for k in range(n)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id string, text string, lang string"))
+    fresh = [(" ".join(pick.choices(words[lang], k=6)), lang) for lang in ("en", "de", "fr", "es") for _ in range(100)]
+    right = sum(langid.family_of(model.predict(text)[0]) == langid.family_of(lang) for text, lang in fresh) / len(fresh)
+    assert right > 0.97
