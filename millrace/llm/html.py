@@ -11,6 +11,10 @@ Labelled pages are those that mark their content with an ``article`` or ``main``
 word's or tag's weight is the logarithm of its rate inside over its rate outside, kept
 positive for words and negative for tags.
 
+A class or id marks boilerplate by its words, unless they deny it (``no-sidebar``) or the
+element stands around the page's own text: it holds a ``main``, or all articles of a page
+without one, or, if the mark tells a layout's state (``sidebar-right``), most of the words.
+
 Text: character references decoded, white space within a block one space, blocks trimmed,
 empty ones left out, the rest joined by a line end in page order. ``br`` is white space.
 
@@ -55,6 +59,13 @@ MARKS = frozenset(
     "footer header masthead comment comments commentlist discussion respond reply replies disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "share sharing social related recommended newsletter subscribe subscription signup login paywall widget toolbar pagination pager skip hidden".split()
 )
+#: Those of elements that list articles of their own.
+LISTS = frozenset("comment comments commentlist discussion respond reply replies disqus related recommended".split())
+#: Pieces before a mark that deny it, and behind it that tell how a layout around it stands.
+DENY = frozenset("has have no not non with without".split())
+STATES = frozenset("left right top bottom inside outside fixed sticky static open opened closed close collapsed expanded shown visible on off enabled disabled active".split())
+AROUND = frozenset("layout page container wrap wrapper template grid columns column".split())
+WEAK, STRONG, LISTING = 1, 2, 3
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(("article", "main"))
 
@@ -96,9 +107,10 @@ def _tag_end(page: str, at: int) -> int:
 
 
 def is_boilerplate(tag: str, attributes: str) -> bool:
+    """Whether an element is boilerplate whatever it holds."""
     if tag in BOILERPLATE:
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -106,19 +118,39 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and MARKS & set(_PIECE.split(_CAMEL.sub("-", value).lower())):
-            return True
     return False
 
 
+def mark_of(tag: str, attributes: str) -> int:
+    """What class and id say: 0, or the strongest of WEAK (a mark with the state of a layout),
+    STRONG and LISTING. Denied marks (``has-sidebar``) say nothing."""
+    if not attributes or tag in ("html", "body") or tag in CONTENT and "comment" not in attributes.lower():
+        return 0
+    found = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in ("class", "id"):
+            continue
+        for token in (m[2] or m[3] or m[4] or "").split():
+            pieces = [p for p in _PIECE.split(_CAMEL.sub("-", token).lower()) if p]
+            for k, piece in enumerate(pieces):
+                if piece in DENY:
+                    break
+                if piece in MARKS:
+                    behind = pieces[k + 1 :]
+                    listing = piece in LISTS
+                    weak = behind and all(p in STATES or p in AROUND and not listing for p in behind)
+                    found = max(found, WEAK if weak else LISTING if listing else STRONG)
+    return found
+
+
 class Node:
-    """An element: whether it is boilerplate, stands in a link, in marked content; its place
-    in the order of start tags."""
+    """An element: whether it is boilerplate, stands in a link, in marked content; what its
+    class and id say; its place in the order of start tags."""
 
-    __slots__ = ("tag", "parent", "bad", "start", "depth", "link", "content")
+    __slots__ = ("tag", "parent", "bad", "start", "depth", "link", "content", "mark")
 
-    def __init__(self, tag, parent, bad, start):
-        self.tag, self.parent, self.bad, self.start = tag, parent, bad, start
+    def __init__(self, tag, parent, bad, start, mark=0):
+        self.tag, self.parent, self.bad, self.start, self.mark = tag, parent, bad, start, mark
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or tag in INLINE and parent.link
         self.content = tag in CONTENT or bool(parent and parent.content)
@@ -129,6 +161,7 @@ def read_page(page: str) -> list[tuple]:
     ``node`` being the element around the text or the one the tag opens or ends."""
     root = node = Node("", None, False, 0)
     out: list[tuple] = []
+    nodes = [root]
     opened: Counter = Counter()  # open elements by name, so that stray end tags cost nothing
     at = 0
     while at < len(page):
@@ -165,7 +198,9 @@ def read_page(page: str) -> list[tuple]:
             opened[node.tag] -= 1
             node = node.parent
         attributes = page[mark.end() : close - 1]
-        child = Node(tag, node, node.bad or is_boilerplate(tag, attributes), len(out))
+        bad = node.bad or is_boilerplate(tag, attributes)
+        child = Node(tag, node, bad, len(out), 0 if bad else mark_of(tag, attributes))
+        nodes.append(child)
         out.append((None, tag, child))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
@@ -179,9 +214,38 @@ def read_page(page: str) -> list[tuple]:
         elif tag not in VOID and not attributes.endswith("/"):
             node = child
             opened[tag] += 1
+    if any(n.mark for n in nodes):
+        _heed_marks(out, nodes)
     return out
 
 
+def _heed_marks(pieces: list[tuple], nodes: list[Node]) -> None:
+    """Marked elements are boilerplate with all below, but for those around the page's own
+    text: a ``main``, all articles, or (a weak mark) most words that no strong mark covers."""
+    place = {id(n): k for k, n in enumerate(nodes)}
+    above = [place[id(n.parent)] if n.parent else 0 for n in nodes]  # parents come first
+    words, free, mains, articles = ([0] * len(nodes) for _ in range(4))
+    covered, within = [False] * len(nodes), [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        covered[k] = n.mark >= STRONG or k > 0 and covered[above[k]]
+        within[k] = k > 0 and (within[above[k]] or nodes[above[k]].tag == "article")
+        if n.tag in CONTENT and not n.bad and n.mark < STRONG:
+            mains[k] = int(n.tag == "main")
+            articles[k] = int(n.tag == "article" and not within[k])
+    for text, _, n in pieces:
+        if text and not n.bad:
+            k, size = place[id(n)], len(text.split())
+            words[k] += size
+            free[k] += 0 if covered[k] else size
+    for k in range(len(nodes) - 1, 0, -1):
+        for sums in (words, free, mains, articles):
+            sums[above[k]] += sums[k]
+    for k, n in enumerate(nodes):
+        holds = not mains[0] and articles[k] and articles[k] == articles[0]
+        around = mains[k] or (holds or 2 * free[k] > free[0] if n.mark == WEAK else n.mark == STRONG and holds and 2 * words[k] > words[0])
+        n.bad = n.bad or n.mark > 0 and not around or k > 0 and n.parent.bad
+
+
 def _closed(node: Node, tag: str, opened: Counter) -> Node:
     """The element a new one goes into, after those that it ends by its start."""
     ends = [t for t in (*_ENDS.get(tag, ()), *(("p",) if tag in _BLOCKS_END_P else ())) if opened[t]]

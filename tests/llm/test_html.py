@@ -60,3 +60,21 @@ def test_weights():
     weights = h.weights_from(counts)
     assert weights[h.WORD] > 0 > weights["nav"] and weights["p"] < 0
     assert h.weights_from({}) == h.DEFAULT_WEIGHTS
+
+
+def test_layout_wrappers_keep_their_page():
+    inner = f"<article><h1>Title</h1><p>{BODY}</p></article>"
+    want = f"Title\n{BODY.strip()}"
+    names = ("content has-sidebar", "no-sidebar", "sidebar-right", "header-fixed", "menu-open", "with-comments", "page--has-ads", "noSidebar", "sidebar-layout", "comments-open")
+    for name in names:
+        for attribute in ("class", "id"):
+            side = f"<div class='sidebar'><p>{BODY}</p></div><div class=comments><article><p>{BODY * 4}</p></article></div>"
+            assert text_of(f"<body><div {attribute}='{name}'>{inner}</div><footer>f</footer></body>") == want, name
+            assert text_of(f"<body><div {attribute}='{name}'><main>{inner}</main>{side}</div></body>") == want, name
+            assert text_of(f"<body><div {attribute}='{name}'><div><h1>Title</h1><p>{BODY}</p></div></div></body>") == want, name
+    assert text_of(f"<body class='comments-open'><div class='sidebar'>{inner}</div></body>") == want
+    assert text_of(f"<div><h1>Title</h1><p>{BODY}</p></div><div class=sidebar-right><p>less</p></div>") == want
+    for name in ("post-comments", "comments-area", "sidebar", "related-posts", "cookie-banner", "header footer"):
+        assert text_of(f"<div>{want[:5]}<p>{BODY}</p></div><div class='{name}'><p>{BODY * 5}</p></div>") == want, name
+        assert text_of(f"{inner}<div class='{name}'><article><p>{BODY * 5}</p></article></div>") == want, name
+    assert text_of(f"<div class=comments><article><p>{BODY}</p></article></div>") == ""
