@@ -2,7 +2,8 @@
 
 Spark's file source reads a path once. This one remembers a byte position per file, so
 appended lines are read where the last batch stopped, on the executors, in slices of a
-bounded size. A file is known by its name and its first line. One that was renamed, or
+bounded size. A file is known by its name, its first line and a mark (a digest of the bytes
+before a position), which a task checks again before it reads. One that was renamed, or
 rolled and gzipped, is recognised by its first line and read on from where it was left.
 
 Options: ``path`` (folder), ``mainPattern``, ``rollPattern``, ``startAt`` (``newest``: from
@@ -27,6 +28,7 @@ import sys
 import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -52,9 +54,9 @@ GZIP_RATIO, GZIP_LINES = 1032, 1 << 40
 @dataclass
 class Slice(InputPartition):
     """Lines of one file that start in ``[start, end)``. The batch reads this file from
-    ``first`` to ``limit``; both ends are None for a gzipped file, and
-    ``mark`` is what has to stand before ``first`` there. Its records are numbered from
-    ``base``, fewer than ``room`` of them."""
+    ``first`` to ``limit``; both ends are None for a gzipped file. ``mark`` is what has to
+    stand before ``first`` and ``last`` what before ``limit`` (for a gzipped file: that of the
+    whole). Its records are numbered from ``base``, fewer than ``room`` of them."""
 
     path: str
     name: str
@@ -66,6 +68,7 @@ class Slice(InputPartition):
     base: int
     room: int
     mark: str = ""
+    last: str = ""
 
 
 @dataclass(frozen=True)
@@ -159,7 +162,11 @@ class Tail:
     def _head(store, path: str) -> str | None:
         """None while the first line is not complete."""
         with store.open_input_file(path) as stream:
-            data = stream.read(HEAD)
+            return Tail._head_in(stream, path)
+
+    @staticmethod
+    def _head_in(stream, path: str) -> str | None:
+        data = stream.read(HEAD)
         if path.endswith("gz"):
             try:
                 data = zlib.decompressobj(31).decompress(data, HEAD)
@@ -183,10 +190,17 @@ class Tail:
                 return _digest(str(size).encode() + stream.read(8))
         if pos <= 0:
             return ""
-        low = max(0, pos - MARK)
         with store.open_input_file(path) as stream:
-            stream.seek(low)
-            return _digest(stream.read(pos - low))
+            return self._mark_in(stream, path, pos)
+
+    @staticmethod
+    def _mark_in(stream, path: str, pos: int) -> str:
+        low = max(0, pos - MARK)
+        stream.seek(low)
+        data = stream.read(pos - low)
+        if len(data) < pos - low:  # another file has come under this name
+            raise FileNotFoundError(f"{path} ends before byte {pos}")
+        return _digest(data)
 
     def _settled(self, file: Found) -> bool:
         return time.time() - file.mtime >= self.settle
@@ -224,7 +238,8 @@ class Tail:
         stamp = (self.heads.get(path.rsplit("/", 1)[-1]), entry["pos"], entry["mark"])
         if self.held.get(path, (None, None))[0] != stamp:
             try:
-                self.held[path] = stamp, self._mark(path, entry["pos"]) == entry["mark"]
+                size = self._fs()[0].get_file_info(path).size
+                self.held[path] = stamp, (whole or size is None or size >= entry["pos"]) and self._mark(path, entry["pos"]) == entry["mark"]
             except FileNotFoundError:
                 return True
         return self.held[path][1]
@@ -366,13 +381,13 @@ class Tail:
             if high == WHOLE:
                 size = store.get_file_info(path).size
                 room = GZIP_LINES if size is None else min(size * GZIP_RATIO + 1, GZIP_LINES)
-                slices.append(Slice(path, name, head, low, low, None, None, base, room, before["mark"]))
+                slices.append(Slice(path, name, head, low, low, None, None, base, room, before["mark"], entry["mark"]))
                 base += room
                 continue
-            low = 0 if low > high else low  # written anew
+            low, mark = (0, "") if low > high else (low, before["mark"])  # written anew
             for cut in range(low, high, self.slice_bytes):
                 stop = min(cut + self.slice_bytes, high)
-                slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut))
+                slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut, mark, entry["mark"]))
                 base += stop - cut
         if IDS in end:  # a stream's batch has the numbers right before its offset's
             first = end[IDS]["pos"] - base
@@ -383,16 +398,19 @@ class Tail:
 
     # -- reading, on the executors ---------------------------------------------------------
 
-    def _blocks(self, path: str, start: int, end: int | None):
-        """Bytes of ``[start, end)``. A gzipped file has to be unpacked up to there."""
+    def _blocks(self, path: str, start: int, end: int | None, opened=None):
+        """Bytes of ``[start, end)``, all of them, or else an error. A gzipped file has to be
+        unpacked up to there; of a plain one, ``opened`` is the open file."""
         store, _ = self._fs()
         at = start
         if not path.endswith("gz"):
-            with store.open_input_file(path) as stream:
+            with nullcontext(opened) if opened else store.open_input_file(path) as stream:
                 stream.seek(start)
                 while end is None or at < end:
                     data = stream.read(BLOCK if end is None else min(BLOCK, end - at))
                     if not data:
+                        if end is not None:
+                            raise FileNotFoundError(f"{path} ends at byte {at}, before {end}")
                         return
                     at += len(data)
                     yield data
@@ -402,6 +420,8 @@ class Tail:
             while end is None or at < end:
                 data = stream.read(BLOCK)
                 if not data:
+                    if end is not None:
+                        raise FileNotFoundError(f"{path} ends at byte {at}, before {end}")
                     return
                 drop = min(skip, len(data))
                 skip -= drop
@@ -410,29 +430,59 @@ class Tail:
                 if data:
                     yield data
 
-    def _locate(self, part: Slice) -> str:
-        """Path of the planned file, by its first line if it was renamed meanwhile. A file
-        that is just being renamed gets a few more looks."""
-        store, _ = self._fs()
+    def _locate(self, part: Slice) -> tuple[str, object]:
+        """Path of the planned file and, if it is plain, the open file: the planned path or,
+        if it was renamed meanwhile, another listed one, with the planned first line and
+        marks. A file that is just being renamed gets a few more looks."""
         for attempt in range(ATTEMPTS):
             if attempt:
                 time.sleep(ATTEMPT_SECONDS)
             try:
-                if self._head(store, part.path) == part.head:
-                    return part.path
+                fits, stream = self._fits(part.path, part)
+                if fits:
+                    return part.path, stream
             except FileNotFoundError:
                 pass
             for file in self.listing():
-                if file.head == part.head:
-                    return file.path
+                try:
+                    fits, stream = self._fits(file.path, part) if file.head == part.head else (False, None)
+                except FileNotFoundError:
+                    continue
+                if fits:
+                    return file.path, stream
         raise FileNotFoundError(f"{part.path} is gone")
 
-    def _first_line(self, path: str, part: Slice) -> int:
+    def _fits(self, path: str, part: Slice) -> tuple[bool, object]:
+        """Whether a file is the planned one, and the open file if so and plain. Looking and
+        reading by one handle, a rename between them does no harm."""
+        store, _ = self._fs()
+        if part.end is None:
+            return path.endswith("gz") and self._head(store, path) == part.head and self._mark(path, WHOLE) == part.last, None
+        if path.endswith("gz"):  # rolled and packed meanwhile: unpacked to tell
+            return self._head(store, path) == part.head and self._unpacked_marks(path, part), None
+        stream = store.open_input_file(path)
+        fits = False
+        try:
+            fits = self._head_in(stream, path) == part.head and all(
+                not mark or self._mark_in(stream, path, pos) == mark for pos, mark in ((part.first, part.mark), (part.limit, part.last))
+            )
+        finally:
+            if not fits:
+                stream.close()
+        return fits, stream if fits else None
+
+    def _unpacked_marks(self, path: str, part: Slice) -> bool:
+        for pos, mark in ((part.first, part.mark), (part.limit, part.last)):
+            if mark and _digest(b"".join(self._blocks(path, max(0, pos - MARK), pos))) != mark:
+                return False
+        return True
+
+    def _first_line(self, path: str, part: Slice, opened) -> int:
         """First line start in the slice: at its very edge only after a line end."""
         if part.start == part.first:
             return part.start
         at = part.start - 1
-        for data in self._blocks(path, at, part.limit):
+        for data in self._blocks(path, at, part.limit, opened):
             cut = data.find(b"\n")
             if cut >= 0:
                 return at + cut + 1
@@ -442,18 +492,25 @@ class Tail:
     def _continues(self, path: str, part: Slice) -> bool:
         """Whether a gzipped file has, before the position, what the plain one had there."""
         low = max(0, part.start - MARK)
-        before = b"".join(self._blocks(path, low, part.start))
-        return len(before) == part.start - low and part.mark in ("", _digest(before))
+        try:
+            before = b"".join(self._blocks(path, low, part.start))
+        except FileNotFoundError:
+            return False  # shorter than that
+        return part.mark in ("", _digest(before))
 
     def lines(self, part: Slice):
         """``(position, bytes)`` of whole lines, some blocks at a time; a line of any length
         is put together once."""
-        path = self._locate(part)
-        at = self._first_line(path, part)
+        path, opened = self._locate(part)
+        with opened or nullcontext():
+            yield from self._lines_in(path, opened, part)
+
+    def _lines_in(self, path: str, opened, part: Slice):
+        at = self._first_line(path, part, opened)
         if part.end is None and part.start > 0 and not self._continues(path, part):
             at = 0  # another file with the same first line
         held: list[bytes] = []
-        for data in self._blocks(path, at, part.limit):
+        for data in self._blocks(path, at, part.limit, opened):
             cut = data.rfind(b"\n") + 1
             if not cut:
                 held.append(data)

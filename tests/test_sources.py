@@ -370,3 +370,38 @@ def test_json_that_does_not_parse_is_kept(spark):
     assert [(r.v and r.v.a, r.bad) for r in rows] == [(1, None), (None, "no json"), (None, None)]
     kept = m.from_json_frames(df, "v", "variant").selectExpr("to_json(v) AS j").collect()
     assert kept[0].j == '{"a":1,"b":2}'
+
+
+@pytest.mark.parametrize("rolled", ["app-1.log", "app-1.log.gz"])
+@pytest.mark.parametrize("more", [1, 40])
+def test_rolled_after_planning_with_a_shared_header(logs, rolled, more):
+    """Files share their first line; the log is rolled, and a shorter or a longer one begins."""
+    header, old = "time,level,message\n", "".join(f"{k},info,old text\n" for k in range(9))
+    path = put(logs, "app.log", header)
+    put(logs, "app-0.log", header + "7,info,another one\n" * 30)
+    source = tail(logs, sliceBytes="40")
+    one = source.latest({})
+    put(logs, "app.log", old, mode="a")
+    parts = source.plan(one, source.latest(one))
+    assert len(parts) > 2
+    if rolled.endswith("gz"):
+        put(logs, rolled, header + old)
+        os.remove(path)
+    else:
+        os.rename(path, os.path.join(logs, rolled))
+    put(logs, "app.log", header + "9,info,new text is longer\n" * more)
+    lines = [v for part in parts for batch in source.records(part) for v in batch.column("value").to_pylist()]
+    assert lines == old.splitlines()
+    os.remove(os.path.join(logs, rolled))
+    with pytest.raises(FileNotFoundError):
+        list(source.records(parts[0]))
+
+
+def test_packed_file_shifted_after_planning(logs):
+    header = "time,level,message\n"
+    put(logs, "app-1.log.gz", header + "1,info,old text\n", age=60)
+    source = tail(logs)
+    parts = source.plan({}, source.latest({}))
+    os.rename(os.path.join(logs, "app-1.log.gz"), os.path.join(logs, "app-2.log.gz"))
+    put(logs, "app-1.log.gz", header + "2,info,newer text\n", age=60)
+    assert [v for part in parts for batch in source.records(part) for v in batch.column("value").to_pylist()] == [header.strip(), "1,info,old text"]
