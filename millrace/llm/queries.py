@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read_table
 from millrace.llm.decontaminate import contamination_report
 from millrace.llm.html import extracted
+from millrace.llm.imatch import DIGITS, EMPTY, MAX_IDF, MIN_IDF, SUBSETS, imatch_report
 from millrace.llm.langid import fit_languages, predicted_languages
 from millrace.llm.licenses import NOTICE_PERCENT, SENTENCE_END, TEMPLATES, TERM, THRESHOLD, TRIGGER, license_scan
 from millrace.llm.lm import lm_scores
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
 from millrace.llm.quality import fit_quality, quality_report
+from millrace.llm.search import TOP, ranked_documents
 from millrace.llm.simhash import hex_of, near_duplicates
+from millrace.llm.spelling import LEAST_LENGTH, LEAST_TIMES, RATIO, SLIP_EVERY, spelling_report
 from millrace.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -83,6 +86,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_report(read_table(spark, sf_dir, "documents"), slip_every=SLIP_EVERY)
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_mix": op2_mix,
@@ -94,6 +109,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_spelling": op11_spelling,
+    "op12_imatch": op12_imatch,
+    "op13_search": op13_search,
 }
 
 #: Words of a text as in ``decontaminate``: A-Z lowered, ASCII letters, digits and all beyond ASCII.
@@ -120,6 +138,27 @@ def _fill_sql(name: str, children: str, parent: list[str], level: str) -> str:
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LINES = [*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({t[0] for t in TEMPLATES}))]
 
+
+
+def _signature_sql() -> str:
+    """Fingerprint of the sorted list ``codes``, as in ``imatch``."""
+    place = f"CASE WHEN len({{0}}) = 0 THEN '{EMPTY}' ELSE substr(md5(array_to_string({{0}}, ',')), 1, {DIGITS}) END"
+    parts = []
+    for shift, bits, subsets in SUBSETS:
+        for number in range(subsets):
+            some = f"list_filter(codes, lambda c: ((c >> {shift}) & {(1 << bits) - 1}) = {number})" if bits else "codes"
+            parts.append(place.format(some))
+    return " || ".join(parts)
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    place = "substr({0}, " + f"{DIGITS} * i + 1, {DIGITS})"
+    x, y = place.format(a), place.format(b)
+    used = f"len(list_filter(range({sum(s[2] for s in SUBSETS)}), lambda i: {x} <> '{EMPTY}' OR {y} <> '{EMPTY}'))"
+    same = f"len(list_filter(range({sum(s[2] for s in SUBSETS)}), lambda i: {x} = {y} AND {x} <> '{EMPTY}'))"
+    return f"CASE WHEN {used} = 0 THEN 1.0 ELSE CAST({same} AS DOUBLE) / {used} END"
+
+
 ORACLE = {
     "op3_lm": f"""
 WITH d AS (
@@ -246,5 +285,88 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)
+""",
+    "op11_spelling": f"""
+WITH RECURSIVE checksum AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS tab
+), pairs AS (
+  SELECT id, w, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOW.format("text")}, '[a-zÀ-ÿ]{{{LEAST_LENGTH},}}')) AS w FROM documents
+  ) GROUP BY id, w
+), marked AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(concat(id, ':', w), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), unicode(x) - 64] END)),
+    lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h FROM pairs, checksum
+), words AS MATERIALIZED (
+  SELECT w AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % {SLIP_EVERY} = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS w, n FROM marked)
+  WHERE length(w) >= {LEAST_LENGTH} GROUP BY w HAVING sum(n) >= {LEAST_TIMES}
+), cuts AS MATERIALIZED (
+  SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), pair AS (
+  SELECT a.word, b.word AS near, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pair GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {RATIO} * n THEN near END AS form, CASE WHEN near_n >= {RATIO} * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), path AS (
+  SELECT word, word AS last FROM words UNION ALL SELECT path.word, form FROM path JOIN forms ON path.last = forms.word WHERE form IS NOT NULL
+), root AS (
+  SELECT path.word, last AS root FROM path JOIN forms ON path.last = forms.word WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN root USING (word)
+""",
+    "op12_imatch": f"""
+WITH d AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(text)) AS r FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+), e AS MATERIALIZED (
+  SELECT r, doc_id, text, length(text) AS n, follower,
+         concat(substr(text, 1, length(text) - length(text) // 2), substr(follower, 1, length(text) // 2)) AS edited, next_r
+  FROM (SELECT *, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS follower, coalesce(lead(r) OVER (ORDER BY r), 1) AS next_r FROM d)
+), bag AS MATERIALIZED (
+  SELECT r, kind, list_distinct(regexp_extract_all({_LOW.format("t")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT r, 0 AS kind, text AS t FROM e UNION ALL SELECT r, 1, edited FROM e)
+), term AS MATERIALIZED (
+  SELECT r, kind, unnest(w) AS term FROM bag
+), lexicon AS (
+  SELECT term, CAST(concat('0x', substr(md5(term), 1, 15)) AS BIGINT) AS code FROM term WHERE kind = 0 GROUP BY term
+  HAVING count(*) >= 2 AND count(*) * {2**MIN_IDF} <= (SELECT count(*) FROM d) AND count(*) * {2**MAX_IDF} >= (SELECT count(*) FROM d)
+), list AS (
+  SELECT r, kind, list(code ORDER BY code) AS codes FROM term JOIN lexicon USING (term) GROUP BY r, kind
+), own AS (
+  SELECT r, kind, CASE WHEN codes IS NOT NULL THEN codes WHEN len(w) > 0 THEN [CAST(concat('0x', substr(md5(array_to_string(list_sort(w), ' ')), 1, 15)) AS BIGINT)] ELSE [] END AS codes
+  FROM bag LEFT JOIN list USING (r, kind)
+), print AS MATERIALIZED (
+  SELECT r, kind, {_signature_sql()} AS fp FROM own
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+       {_likeness_sql("a.fp", "b.fp")} AS near_edited, {_likeness_sql("a.fp", "c.fp")} AS near_next
+FROM e JOIN print a ON a.r = e.r AND a.kind = 0 JOIN print b ON b.r = e.r AND b.kind = 1 JOIN print c ON c.r = e.next_r AND c.kind = 0
+""",
+    "op13_search": f"""
+WITH item AS (
+  SELECT row_number() OVER () AS place, item_id, {_FOLDED.format("text")} AS w FROM benchmark WHERE text IS NOT NULL
+), wanted AS (
+  SELECT place, term, count(*) AS times FROM (SELECT place, unnest(w) AS term FROM item) GROUP BY place, term
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_FOLDED.format("text")} AS w FROM documents WHERE text IS NOT NULL
+), held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, total GROUP BY term
+), gain AS (
+  SELECT r, term, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * CAST(len(d.w) AS BIGINT) * n_docs) // n_terms))) AS g
+  FROM held JOIN d USING (r) JOIN weight USING (term), total
+), scored AS (
+  SELECT place, r, CAST(sum(times * g) AS BIGINT) AS score FROM gain JOIN wanted USING (term) GROUP BY place, r
+), ranked AS (
+  SELECT place, doc_id, score, row_number() OVER (PARTITION BY place ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN d USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN item USING (place) WHERE rank <= {TOP}
 """,
 }
