@@ -59,7 +59,7 @@ def gate_stream_roundtrip(spark, sf):
     root = storage.new_folder(spark, "root")
     events = _event_stream(spark, sf)
     _finish(m.write_gate(events, "a", root, checkpoint=f"{root}/cp-a", trigger=NOW))
-    again = m.read_gate(spark, "a", root, streaming=True, max_files_per_trigger=2)
+    again = m.read_gate(spark, "a", root, streaming=True, max_batches_per_trigger=2)
     _finish(m.write_gate(again, "b", root, checkpoint=f"{root}/cp-b", trigger=NOW))
     return m.read_gate(spark, "b", root).select("event.event_id", "event.event_type", "event.user_id", "event.props")
 

@@ -1,7 +1,7 @@
 """Event flows as Spark plans: JSON flow configs compiled to DataFrame transforms."""
 
 from millrace.errors import FlowConfigError
-from millrace.operators.log import FlowLogListener
+from millrace.operators.log import FlowLogListener, log_records
 from millrace.operators.registry import register_instruction, unregister_instruction
 from millrace.options import FlowOptions
 from millrace.plans.flow import apply_flow, parse_flow, transform
@@ -10,7 +10,7 @@ from millrace.sources.files import file_inventory, first_file, last_file, read_r
 from millrace.sources.json_frames import from_json_frames, stamp_source, to_envelope, to_json_frames
 from millrace.sources.tail import TailDataSource, register_tail
 from millrace.streaming.delivery import blackhole_sink, fan_out, gate_sink, write_blackhole
-from millrace.streaming.gates import GateClosed, drop_duplicates, read_gate, write_gate
+from millrace.streaming.gates import GateClosed, clean_gate, compact_gate, drop_duplicates, follow_gate, read_gate, write_gate
 from millrace.streaming.latest import conflate, latest_by_key
 from millrace.streaming.registry import FlowRegistry
 from millrace.streaming.run import run_flow, run_tap, tap_stream
@@ -25,15 +25,19 @@ __all__ = [
     "TailDataSource",
     "apply_flow",
     "blackhole_sink",
+    "clean_gate",
+    "compact_gate",
     "conflate",
     "drop_duplicates",
     "fan_out",
     "file_inventory",
     "first_file",
+    "follow_gate",
     "from_json_frames",
     "gate_sink",
     "last_file",
     "latest_by_key",
+    "log_records",
     "parse_flow",
     "read_gate",
     "read_rolling",

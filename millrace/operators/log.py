@@ -3,6 +3,10 @@
 A line per record would drown any log at scale, so each ``log`` step reports through an
 observed metric: how many records met its condition and, with ``"sample": true`` among its
 props, one of them as JSON. A sample makes the step read every field; counting does not.
+
+The records themselves are a table, :func:`log_records`: those that met each step, as they
+were there, with the step's place, logger and level. :func:`millrace.run_flow` writes them to a
+gate of their own (``log_gate``) under the batch that its sink gets.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import json
 import logging
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -37,6 +41,7 @@ class LogStep:
     level: str
     metric: str
     observation: Observation | None
+    records: DataFrame | None = None
 
     def report(self) -> dict:
         """Batch only: wait for the metrics, log them and return them."""
@@ -67,10 +72,21 @@ def log(frame: Frame, props: dict, cond: Column | None) -> Frame:
         F.count(F.when(hit, F.lit(1))).alias("records"),
         sample.alias("sample"),
     )
-    step = LogStep(logger, level, metric, observation)
+    seen = frame.df.where(hit).select(
+        F.lit(len(frame.logs)).alias("step"), F.lit(logger).alias("logger"), F.lit(level).alias("level"), frame.scope.event_json().alias("record")
+    )
+    step = LogStep(logger, level, metric, observation, seen)
     return replace(frame, df=df, logs=(*frame.logs, step))
 
 
+def log_records(spark: SparkSession, steps: tuple[LogStep, ...] | list[LogStep]) -> DataFrame:
+    """``step, logger, level, record``: every record that met a ``log`` step, as JSON."""
+    out = spark.createDataFrame([], "step int, logger string, level string, record string")
+    for step in steps:
+        out = out.unionAll(step.records)
+    return out
+
+
 def listen(spark) -> None:
     """Let this session's flows write their ``log`` steps to Python loggers."""
     if not getattr(spark, "_millrace_listens", False):

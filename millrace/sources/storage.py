@@ -74,6 +74,71 @@ def create_once(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file, whole, unless there is one: of several writers one succeeds, and
+    no reader sees a part of it. Local files are linked to their name; elsewhere a rename
+    has to refuse a name that is taken, as it does on HDFS."""
+    fs, handle = _open(spark, path)
+    if fs.exists(handle):
+        return False
+    fs.mkdirs(handle.getParent())
+    aside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    write_text(spark, aside, text)
+    _, made = _open(spark, aside)
+    if fs.getUri().getScheme() != "file":
+        done = fs.rename(made, handle)
+        if not done:
+            fs.delete(made, False)
+        return done
+    files = spark._jvm.java.nio.file.Files
+    place = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+    try:
+        files.createLink(place(handle), place(made))
+    except Exception:
+        if fs.exists(handle):
+            return False
+        raise
+    finally:
+        fs.delete(made, False)
+    return True
+
+
+class SparkStore:
+    """What :class:`millrace.sources.commit_log.CommitLog` reads by way of Spark."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def names(self, folder: str) -> list[str]:
+        fs, handle = _open(self.spark, folder)
+        try:
+            return [status.getPath().getName() for status in fs.listStatus(handle)]
+        except Exception:
+            if fs.exists(handle):
+                raise
+            return []
+
+    def text(self, path: str) -> str:
+        try:
+            return read_text(self.spark, path)
+        except Exception:
+            if exists(self.spark, path):
+                raise
+            raise FileNotFoundError(path) from None
+
+
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, handle = _open(spark, path)
+    return fs.getContentSummary(handle).getLength()
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last changed, in seconds."""
+    fs, handle = _open(spark, path)
+    return fs.getFileStatus(handle).getModificationTime() / 1000
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, handle = _open(spark, path)
     fs.mkdirs(handle)

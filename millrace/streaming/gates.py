@@ -1,19 +1,20 @@
 """Gates: named, durable hubs that many producers write and every consumer reads whole.
 
-A gate is a folder of Parquet files::
+A gate is a folder of Parquet files and a log of commits that says which of them count::
 
-    <root>/gates/<id>/data/ingest_date=.../producer=.../batch=.../part-*.parquet
+    <root>/gates/<id>/log/...               numbered commits, see millrace.sources.commit_log
+    <root>/gates/<id>/data/ingest_date=.../producer=.../batch=.../attempt=.../part-*.parquet
+    <root>/gates/<id>/compacted/<day>/...   days whose batches were put together
     <root>/gates/<id>/schema/<producer>-<n>.json   what each producer writes
-    <root>/gates/<id>/commits/<producer>/<batch>   the day each batch belongs to
-    <root>/gates/<id>/staging/<attempt>     batches that are not complete
+    <root>/gates/<id>/commits/<producer>/<batch>   the first attempt at each batch
 
 A batch is known by its producer and a name that no other batch has: for a stream the id
 that Spark gave its query (kept in its checkpoint) and the batch number. So a batch that is
 delivered again is left alone, while a flow that was removed and added again, or another
-stream of the same producer, delivers batches of its own. The first attempt notes the day,
-so every attempt has the same target; each is written to a staging folder of its own and
-moved in one rename, so no reader sees half of a batch. Finding a batch takes two lookups,
-however many there are.
+stream of the same producer, delivers batches of its own. Each attempt writes a folder of its
+own, which nobody reads until a commit names it. The first attempt notes the day and how long
+the log was then; whoever commits has read all that came after, and a number is taken only
+once, so of several attempts one counts. Nothing is listed that grows with a gate's history.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import json
 import logging
 import time
 import uuid
+from collections.abc import Callable
+from dataclasses import asdict
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,7 @@ from millrace.functions.paths import safe_id
 from millrace.options import FlowOptions
 from millrace.plans.frame import Frame
 from millrace.sources import storage
+from millrace.sources.commit_log import COMMIT, EVERY, CommitLog, Entry, State, register_gate
 
 INGEST_TS = "ingest_ts"
 PLACE = ("ingest_date", "producer", "batch")
@@ -44,9 +48,6 @@ PLACE_SCHEMA = [
     T.StructField("batch", T.StringType()),
 ]
 
-
-#: Spark's file source skips files this much older than the newest one; here none are.
-MAX_FILE_AGE = "36500d"
 LOG = logging.getLogger("millrace.gates")
 #: How often a stream looks whether a closed gate is open again.
 CLOSED_POLL_SECONDS = 1.0
@@ -114,12 +115,6 @@ def declare(spark: SparkSession, name: str, root: str, producer: str, schema: T.
     if known is not None:
         if merge_schemas(known, schema).simpleString() == known.simpleString():
             return
-    data = f"{gate_path(root, name)}/data"
-    if not storage.exists(spark, data):
-        # An empty file, so that a stream that starts first finds the folder's partitions.
-        full = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType())])
-        empty = spark.createDataFrame([], full).coalesce(1)
-        empty.write.mode("overwrite").parquet(f"{data}/ingest_date=1970-01-01/producer=none/batch=none")
     storage.write_text(
         spark, f"{gate_path(root, name)}/schema/{quote(producer, safe='')}-{uuid.uuid4().hex}.json", schema.json()
     )
@@ -144,56 +139,98 @@ def is_open(spark: SparkSession, name: str, root: str) -> bool:
 # -- writing ---------------------------------------------------------------------------
 
 
-def wait_open(spark: SparkSession, name: str, root: str, seconds: float) -> None:
-    """Wait for a closed gate; give up after so many seconds."""
-    give_up = time.monotonic() + seconds
+def wait_open(spark: SparkSession, name: str, root: str, seconds: float | None = None, query: str | None = None) -> None:
+    """Wait for a closed gate: for so many seconds, or until it opens or ``query`` is stopped."""
+    give_up = None if seconds is None else time.monotonic() + seconds
     while not is_open(spark, name, root):
-        if time.monotonic() >= give_up:
+        if give_up is not None and time.monotonic() >= give_up:
             raise GateClosed(f"Gate {name!r} is closed")
+        if query is not None and all(q.id != query for q in spark.streams.active):
+            raise GateClosed(f"Gate {name!r} is closed, and its writer was stopped")
         time.sleep(CLOSED_POLL_SECONDS)
 
 
-def stream_batch(spark: SparkSession, checkpoint: str, number: int) -> str:
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a stream's query."""
+    return json.loads(storage.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
+def stream_batch(spark: SparkSession, checkpoint: str, number: int | str) -> str:
     """Name of a stream's batch: its query's own id and the number."""
-    query = json.loads(storage.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
-    return f"{query}.{number}"
+    return f"{query_id(spark, checkpoint)}.{number}"
+
 
+def gate_log(spark: SparkSession, name: str, root: str) -> CommitLog:
+    return CommitLog(gate_path(root, name), storage.SparkStore(spark))
 
-def _day(spark: SparkSession, claim: str, today: str) -> str:
-    """The day that the first attempt at a batch has noted."""
-    if storage.create_once(spark, claim, today):
-        return today
-    for _ in range(20):
-        if text := storage.read_text(spark, claim):
-            return text
-        time.sleep(0.1)
-    storage.write_text(spark, claim, today)  # the first attempt died before it wrote
-    return today
+
+def _claimed(spark: SparkSession, claim: str, today: str, head: Callable[[], int]) -> tuple[str, int]:
+    """Day and length of the log as the first attempt at a batch has noted them."""
+    text = f"{today} {head()}"
+    if not storage.create_once(spark, claim, text):
+        for _ in range(20):
+            if known := storage.read_text(spark, claim):
+                text = known
+                break
+            time.sleep(0.1)
+        else:
+            storage.write_text(spark, claim, text)  # the first attempt died before it wrote
+    day, _, length = text.partition(" ")
+    return day, int(length or 0)
+
+
+def _append(spark: SparkSession, log: CommitLog, entry: Entry, after: int, clashes: Callable[[Entry], bool]) -> int | None:
+    """Commit an entry as the next one; None if a commit after ``after`` rules it out."""
+    while True:
+        for known in log.entries(after):
+            if clashes(known):
+                return None
+            after = known.number
+        entry.number, entry.time = after + 1, time.time()
+        if storage.put_once(spark, log.file(entry.number), json.dumps(asdict(entry))):
+            break
+    if entry.number - log.newest_snapshot() >= EVERY:
+        state = log.state()
+        storage.put_once(spark, log.snapshot_file(state.number), state.dump())
+    return entry.number
+
+
+def _in_compacted(spark: SparkSession, log: CommitLog, after: int, producer: str, batch: str) -> bool:
+    """Whether a batch that was first tried long ago is in a gate: by what there is now."""
+    for entry in log.state().live.values():
+        if (entry.producer, entry.batch) == (producer, batch):
+            return True
+        if entry.compacted and entry.high > after:
+            rows = spark.read.parquet(f"{log.gate}/{entry.path}")
+            if not rows.where((F.col("producer") == producer) & (F.col("batch") == batch)).isEmpty():
+                return True
+    return False
 
 
 def publish(df: DataFrame, name: str, root: str, producer: str, batch: int | str) -> bool:
     """Put one batch of frames into a gate, once. False if it is there already. ``batch``
     has to be a name that no other batch of the producer has."""
-    spark, gate = df.sparkSession, gate_path(root, name)
+    spark, log, batch = df.sparkSession, gate_log(df.sparkSession, name, root), str(batch)
     if not is_open(spark, name, root):
         raise GateClosed(f"Gate {name!r} is closed")
-    sender, label = quote(producer, safe=""), quote(str(batch), safe="")
+    sender, label = quote(producer, safe=""), quote(batch, safe="")
     now = datetime.datetime.now(datetime.timezone.utc)
-    day = _day(spark, f"{gate}/commits/{sender}/{label}", str(now.date()))
-    target = f"{gate}/data/ingest_date={day}/producer={sender}/batch={label}"
-    if storage.exists(spark, target):
+    day, after = _claimed(spark, f"{log.gate}/commits/{sender}/{label}", str(now.date()), log.head)
+
+    def same(known: Entry) -> bool:
+        return (known.producer, known.batch) == (producer, batch)
+
+    snapshot = log.newest_snapshot()
+    known = _in_compacted(spark, log, after, producer, batch) if after < snapshot else any(map(same, log.entries(after)))
+    if known:
         LOG.info("Gate %s has batch %s of %s already", name, batch, producer)
         return False
-    staged = f"{gate}/staging/{uuid.uuid4().hex}"
+    path = f"data/ingest_date={day}/producer={sender}/batch={label}/attempt=a{uuid.uuid4().hex}"
     stamped = df.drop(*PLACE).withColumn(INGEST_TS, F.timestamp_micros(F.lit(int(now.timestamp() * 1e6))))
-    stamped.write.parquet(staged)
-    if storage.exists(spark, target):  # another attempt was faster
-        storage.delete(spark, staged)
-        return False
-    storage.rename(spark, staged, target)
-    stray = f"{target}/{staged.rsplit('/', 1)[1]}"
-    if storage.exists(spark, stray):  # it was faster by so little that this one moved into it
-        storage.delete(spark, stray)
+    stamped.write.parquet(f"{log.gate}/{path}")
+    entry = Entry(0, day, path, storage.folder_size(spark, f"{log.gate}/{path}"), producer, batch)
+    if _append(spark, log, entry, max(after, snapshot), same) is None:  # another attempt was faster
+        storage.delete(spark, f"{log.gate}/{path}")
         return False
     return True
 
@@ -207,15 +244,15 @@ def write_gate(
     checkpoint: str | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
-    closed_wait: float = 60,
+    closed_wait: float | None = None,
 ) -> StreamingQuery | None:
     """Write records to a gate.
 
     A batch DataFrame is written at once; give it a ``batch`` name if the write may be
     tried again (the same producer and name are the same batch). A stream needs a
     ``checkpoint`` and gives its query back; each of its micro-batches arrives exactly once,
-    also after a restart. While the gate is closed a stream waits ``closed_wait`` seconds
-    for it, then fails with :class:`GateClosed`.
+    also after a restart. While the gate is closed a stream waits until it opens, or only
+    ``closed_wait`` seconds and then fails with :class:`GateClosed`.
     """
     frames = as_frames(df)
     spark = df.sparkSession
@@ -227,7 +264,7 @@ def write_gate(
         raise FlowConfigError("A stream into a gate needs a checkpoint")
 
     def deliver(rows: DataFrame, number: int) -> None:
-        wait_open(spark, name, root, closed_wait)
+        wait_open(spark, name, root, closed_wait, query_id(spark, checkpoint))
         publish(rows, name, root, producer, stream_batch(spark, checkpoint, number))
 
     writer = frames.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
@@ -239,38 +276,196 @@ def write_gate(
 # -- reading ---------------------------------------------------------------------------
 
 
+def known_schema(spark: SparkSession, name: str, root: str) -> T.StructType:
+    schema = gate_schema(spark, name, root)
+    if schema is None:
+        raise FlowConfigError(f"Gate {name!r} has no producer yet; give its schema")
+    return schema
+
+
+def read_entries(spark: SparkSession, gate: str, entries: list[Entry], schema: T.StructType, span: tuple[int, int] | None = None) -> DataFrame:
+    """The records of some commits, with their places. Of compacted folders, those that came
+    with the commits after the first number of ``span`` up to the second."""
+    stamped = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType()), *PLACE_SCHEMA])
+    plain = [f"{gate}/{e.path}" for e in entries if not e.compacted]
+    packed = [f"{gate}/{e.path}" for e in entries if e.compacted]
+    parts = []
+    if plain:
+        parts.append(spark.read.schema(stamped).option("basePath", f"{gate}/data").parquet(*plain).select(*stamped.names))
+    if packed:
+        rows = spark.read.schema(T.StructType([*stamped.fields, T.StructField(COMMIT, T.LongType())])).parquet(*packed)
+        if span is not None:
+            rows = rows.where((F.col(COMMIT) > span[0]) & (F.col(COMMIT) <= span[1]))
+        parts.append(rows.select(*stamped.names))
+    if not parts:
+        return spark.createDataFrame([], stamped)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def read_gate(
     spark: SparkSession,
     name: str,
     root: str,
     streaming: bool = False,
     schema: T.StructType | None = None,
-    max_files_per_trigger: int | None = None,
+    max_batches_per_trigger: int | None = None,
     since: datetime.date | str | None = None,
     with_place: bool = False,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """All records of a gate: ``event``, ``ctx`` and ``ingest_ts``.
 
-    Every reader sees every record; a stream keeps its own place by its own checkpoint.
-    ``since`` skips older days unread. ``max_files_per_trigger`` bounds a micro-batch.
+    Every reader sees every record; a stream keeps its own place by its own checkpoint, and
+    looks only at the commits that came since. ``since`` leaves older days out before any of
+    their folders is looked at. ``max_batches_per_trigger`` bounds a micro-batch; after a restart
+    the first one is bounded only if the reader is given the query's ``checkpoint``.
     """
-    schema = schema or gate_schema(spark, name, root)
-    if schema is None:
-        raise FlowConfigError(f"Gate {name!r} has no producer yet; give its schema")
-    columns = [*schema.names, INGEST_TS]
-    full = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType()), *PLACE_SCHEMA])
-    data = f"{gate_path(root, name)}/data"
-    storage.make_folder(spark, data)
-    reader = (spark.readStream if streaming else spark.read).schema(full)
-    if streaming and max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if streaming:
-        # A batch is never too old: what was moved in late counts like any other.
-        reader = reader.option("maxFileAge", MAX_FILE_AGE)
-    df = reader.parquet(data)
-    if since is not None:
-        df = df.where(F.col("ingest_date") >= F.lit(since).cast("date"))
-    return df.select(*columns, *(PLACE if with_place else ()))
+    schema = schema or known_schema(spark, name, root)
+    columns = [*schema.names, INGEST_TS, *(PLACE if with_place else ())]
+    gate = gate_path(root, name)
+    if not streaming:
+        live = gate_log(spark, name, root).state().live.values()
+        wanted = [e for e in live if since is None or e.day >= str(since)]
+        df = read_entries(spark, gate, wanted, schema)
+        if since is not None:
+            df = df.where(F.col("ingest_date") >= F.lit(since).cast("date"))
+        return df.select(*columns)
+    register_gate(spark)
+    full = T.StructType([*schema.fields, T.StructField(INGEST_TS, T.TimestampType()), *(PLACE_SCHEMA if with_place else ())])
+    return _stream(spark, gate, full, since, max_batches_per_trigger, checkpoint).load()
+
+
+def _stream(spark: SparkSession, gate: str, schema: T.StructType, since, most: int | None, checkpoint: str | None, **options):
+    register_gate(spark)
+    uri = gate if not gate.startswith("file:/") or gate.startswith("file://") else f"file://{gate[5:]}"
+    reader = spark.readStream.format("gate").option("path", uri).option("schema", schema.json())
+    resume = storage.last_offset(spark, checkpoint) if checkpoint else None
+    options |= {"since": since and str(since), "maxBatchesPerTrigger": most, "resumeFrom": resume}
+    for key, value in options.items():
+        if value is not None:
+            reader = reader.option(key, value)
+    return reader
+
+
+def follow_gate(
+    spark: SparkSession,
+    name: str,
+    root: str,
+    deliver: Callable[[DataFrame, str], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+    query_name: str | None = None,
+    since: datetime.date | str | None = None,
+    max_batches: int = 1000,
+) -> StreamingQuery:
+    """Call ``deliver(records, batch name)`` with each part of a gate's records, in the order of
+    its commits and with at most ``max_batches`` of them.
+
+    The records are a table that Spark's own Parquet reader reads, so conditions and columns
+    reach the files; only the commit numbers are a stream. A part that comes again after
+    a failure has the same records and name.
+    """
+    log = gate_log(spark, name, root)
+    span = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
+
+    def each(rows: DataFrame, number: int) -> None:
+        (place,) = rows.collect()
+        for k, low in enumerate(range(place.low, place.high, max_batches)):
+            high = min(low + max_batches, place.high)
+            entries = log.between(low, high, since and str(since))
+            if entries:
+                frames = read_entries(spark, log.gate, entries, known_schema(spark, name, root), (low, high))
+                deliver(frames.drop(*PLACE), stream_batch(spark, checkpoint, f"{number}.{k}" if k else number))
+
+    commits = _stream(spark, log.gate, span, None, None, None, rows="span").load()
+    writer = commits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if query_name:
+        writer = writer.queryName(query_name)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+# -- compaction ------------------------------------------------------------------------
+
+
+def compact_gate(spark: SparkSession, name: str, root: str, before: datetime.date | str | None = None, file_bytes: int = 128 << 20) -> int:
+    """Put the batches of each day before ``before`` (today) together in files of about
+    ``file_bytes``; the number of days that changed. One commit puts a day's new folder in the
+    place of its batches. Records keep the numbers of their commits, so a stream that has read a
+    part of the day goes on with the rest; old folders stay until :func:`clean_gate`."""
+    log = gate_log(spark, name, root)
+    limit = str(before or datetime.datetime.now(datetime.timezone.utc).date())
+    state = log.state()
+    days: dict[str, list[Entry]] = {}
+    for entry in state.live.values():
+        if entry.day < limit:
+            days.setdefault(entry.day, []).append(entry)
+    done = 0
+    for day, entries in sorted(days.items()):
+        if len(entries) > 1 and _compact_day(spark, log, known_schema(spark, name, root), state, day, entries, file_bytes):
+            done += 1
+    return done
+
+
+def _compact_day(spark: SparkSession, log: CommitLog, schema: T.StructType, state: State, day: str, entries: list[Entry], file_bytes: int) -> bool:
+    plain, packed = [e for e in entries if not e.compacted], [e for e in entries if e.compacted]
+    parts = []
+    if plain:
+        # A row for each of the day's batches.
+        numbers = spark.createDataFrame([(e.producer, e.batch, e.number) for e in plain], f"producer string, batch string, {COMMIT} bigint")
+        parts.append(read_entries(spark, log.gate, plain, schema).join(F.broadcast(numbers), ["producer", "batch"]))
+    if packed:
+        parts.append(spark.read.schema(T.StructType([*read_entries(spark, log.gate, [], schema).schema.fields, T.StructField(COMMIT, T.LongType())])).parquet(*[f"{log.gate}/{e.path}" for e in packed]))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    size = sum(e.size for e in entries)
+    path = f"compacted/{day}/{uuid.uuid4().hex}"
+    rows.coalesce(max(1, -(-size // file_bytes))).write.parquet(f"{log.gate}/{path}")
+    replaced = sorted(e.number for e in entries)
+    low, high = min([e.number for e in plain] + [e.low for e in packed]), max([e.number for e in plain] + [e.high for e in packed])
+    entry = Entry(0, day, path, storage.folder_size(spark, f"{log.gate}/{path}"), low=low, high=high, replaces=replaced)
+    if _append(spark, log, entry, state.number, lambda known: bool(set(known.replaces) & set(replaced))) is None:
+        storage.delete(spark, f"{log.gate}/{path}")  # somebody else was at it
+        return False
+    return True
+
+
+def clean_gate(spark: SparkSession, name: str, root: str, keep_seconds: float = 7 * 86400) -> int:
+    """Remove what no reader needs and is older than ``keep_seconds``: folders that were
+    replaced, attempts that no commit names, their notes, and the log before the snapshots. The
+    number of data folders removed. No batch may be tried again after so long a time."""
+    log, old = gate_log(spark, name, root), time.time() - keep_seconds
+    state = log.state()
+    if state.number > log.newest_snapshot():
+        storage.put_once(spark, log.snapshot_file(state.number), state.dump())
+    newest = log.newest_snapshot()
+
+    def aged(path: str) -> bool:
+        return storage.exists(spark, path) and storage.modified(spark, path) < old
+
+    gone = [path for path, since in state.replaced.items() if since < old]
+    # The log goes first: a reader that does not find a commit looks at what there is now.
+    for folder in storage.matching(spark, f"{log.gate}/log/[0-9]*"):
+        for file in storage.matching(spark, f"{folder}/[0-9]*.json"):
+            if int(file.rsplit("/", 1)[1][:-5]) <= newest - EVERY and aged(file):
+                storage.delete(spark, file)
+    for file in storage.matching(spark, f"{log.gate}/log/snapshots/*.json"):
+        if int(file.rsplit("/", 1)[1][:-5]) < newest and aged(file):
+            storage.delete(spark, file)
+    for path in gone:
+        storage.delete(spark, f"{log.gate}/{path}")
+    named = {e.path for e in state.live.values()} | set(state.replaced)
+    stray = []
+    for pattern in ("data/*/*/*/attempt=*", "compacted/*/*"):
+        for path in storage.matching(spark, f"{log.gate}/{pattern}"):
+            if path[path.index(f"/{pattern[:4]}") + 1 :] not in named and aged(path):
+                stray.append(path)
+    for path in stray:
+        storage.delete(spark, path)
+    for note in storage.matching(spark, f"{log.gate}/commits/*/*"):
+        if aged(note):
+            storage.delete(spark, note)
+    if gone:
+        _append(spark, log, Entry(0, "", "", removed=gone), state.number, lambda known: False)
+    return len(gone) + len(stray)
 
 
 def drop_duplicates(

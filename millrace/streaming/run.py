@@ -7,14 +7,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.errors import FlowConfigError
 from millrace.functions.paths import safe_id
-from millrace.operators.log import listen
+from millrace.operators.log import log_records
 from millrace.operators.patterns import check_pattern
-from millrace.plans.flow import apply_flow, load_config, parse_flow
+from millrace.plans.flow import load_config, parse_flow, transform
 from millrace.sources import storage
 from millrace.sources.json_frames import stamp_source, to_envelope
 from millrace.sources.tail import register_tail
-from millrace.streaming.delivery import write_blackhole
-from millrace.streaming.gates import as_frames, declare, publish, read_gate, stream_batch, wait_open, write_gate
+from millrace.streaming.delivery import blackhole_sink, write_blackhole
+from millrace.streaming.gates import (
+    INGEST_TS,
+    PLACE,
+    as_frames,
+    declare,
+    follow_gate,
+    gate_path,
+    known_schema,
+    publish,
+    query_id,
+    read_entries,
+    stream_batch,
+    wait_open,
+)
 
 
 def checkpoint_path(root: str, kind: str, name: str) -> str:
@@ -27,34 +40,53 @@ def run_flow(
     config: dict | str,
     root: str,
     trigger: dict | None = None,
-    max_files_per_trigger: int | None = 1000,
+    max_batches: int = 1000,
+    closed_wait: float | None = None,
+    log_gate: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Start a flow: read its gate, apply its pipeline, write its sink.
+    """Start a flow: follow its gate, apply its pipeline, write its sink.
 
-    The whole config is checked and planned before anything starts.
+    The whole config is checked and planned before anything starts. Each part of at most
+    ``max_batches`` of the gate's batches is read, transformed and written as a table of its own.
+    With ``log_gate``, the records that meet a ``log`` step go to that gate, as part of the same
+    batch; else they are counted.
     """
     flow = parse_flow(config)
-    source = read_gate(spark, flow.tap.gate, root, streaming=True, max_files_per_trigger=max_files_per_trigger)
-    result = apply_flow(source, flow.pipeline, "envelope", **options)
-    listen(spark)
     checkpoint = checkpoint_path(root, "flow", name)
-    query_name = f"flow_{safe_id(name)}"
-    if flow.sink.kind == "blackhole":
-        return write_blackhole(result, checkpoint, trigger, query_name)
-    return write_gate(
-        result, flow.sink.gate, root, producer=f"flow_{name}", checkpoint=checkpoint, trigger=trigger, query_name=query_name
-    )
+    producer = f"flow_{name}"
+    stamped = read_entries(spark, gate_path(root, flow.tap.gate), [], known_schema(spark, flow.tap.gate, root)).drop(*PLACE)
+    planned = transform(stamped, flow.pipeline, "envelope", **options)
+    if flow.sink.kind == "gate":
+        declare(spark, flow.sink.gate, root, producer, as_frames(planned.df).drop(INGEST_TS, *PLACE).schema)
+    if log_gate is not None:
+        declare(spark, log_gate, root, producer, as_frames(log_records(spark, planned.logs)).schema)
+
+    def deliver(frames: DataFrame, batch: str) -> None:
+        result = transform(frames, flow.pipeline, "envelope", **options)
+        gates = [g for g in (log_gate, flow.sink.gate) if g is not None]
+        for gate in gates:
+            wait_open(spark, gate, root, closed_wait, query_id(spark, checkpoint))
+        if log_gate is not None:
+            publish(as_frames(log_records(spark, result.logs)), log_gate, root, producer, batch)
+        if flow.sink.kind == "blackhole":
+            blackhole_sink(result.df, batch)
+        elif not publish(as_frames(result.df), flow.sink.gate, root, producer, batch):
+            return  # it was there: nothing ran, so there is nothing to count
+        for step in result.logs:
+            step.report()
+
+    return follow_gate(spark, flow.tap.gate, root, deliver, checkpoint, trigger, f"flow_{safe_id(name)}", max_batches=max_batches)
 
 
 def _tap_parts(config: dict) -> tuple[dict, str, list, str | None]:
     source = config.get("source")
     if not isinstance(source, dict) or source.get("class") != "file":
-        raise FlowConfigError(f"Unknown tap source; known classes: file. Contents: {source}")
+        raise FlowConfigError(f"source: a tap reads the class 'file' only, got {source}")
     target = (source.get("props") or {}).get("target") or {}
     for key in ("directory", "mainPattern", "rollPattern"):
         if not isinstance(target.get(key), str):
-            raise FlowConfigError(f"Invalid file target: missing {key!r}. Contents: {target}")
+            raise FlowConfigError(f"source.props.target.{key}: expected a text, got {target}")
     stamps = config.get("preprocessing") if isinstance(config.get("preprocessing"), dict) else {}
     source_id = stamps.get("sourceId") if isinstance(stamps.get("sourceId"), str) else "undefined"
     tags = stamps.get("tags") if isinstance(stamps.get("tags"), list) else []
@@ -71,7 +103,7 @@ def _tap_gate(endpoint) -> str | None:
         return None
     value = props.get(key)
     if not isinstance(value, str) or not value.strip("/ "):
-        raise FlowConfigError(f"Invalid tap endpoint: missing {key!r}. Contents: {props}")
+        raise FlowConfigError(f"endpoint.props.{key}: expected the name of a gate, got {props}")
     return value.rstrip("/").rsplit("/", 1)[-1]
 
 
@@ -98,14 +130,14 @@ def run_tap(
     config: dict | str,
     root: str,
     trigger: dict | None = None,
-    closed_wait: float = 60,
+    closed_wait: float | None = None,
     **reader_options,
 ) -> StreamingQuery:
     """Start a tap: follow its files and put each line, in an envelope, into its gate.
 
     The checkpoint is the tap's cursor: it moves on when the gate has the records. A record's
     id is its ``seq``, which no other record of the tap has. While the gate is closed the tap
-    waits ``closed_wait`` seconds for it.
+    waits for it, or only ``closed_wait`` seconds.
     """
     config = load_config(config)
     _, _, _, gate = _tap_parts(config)
@@ -122,7 +154,7 @@ def run_tap(
     declare(spark, gate, root, producer, frames_of(lines).schema)
 
     def deliver(rows: DataFrame, batch: int) -> None:
-        wait_open(spark, gate, root, closed_wait)
+        wait_open(spark, gate, root, closed_wait, query_id(spark, checkpoint))
         publish(frames_of(rows), gate, root, producer, stream_batch(spark, checkpoint, batch))
 
     writer = lines.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).queryName(query_name)
