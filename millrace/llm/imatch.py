@@ -90,8 +90,9 @@ def likeness(a: Column, b: Column) -> Column:
     place = lambda f, i: F.substring(f, i * DIGITS + 1, F.lit(DIGITS))
     pairs = F.transform(at, lambda i: F.struct(place(a, i).alias("x"), place(b, i).alias("y")))
     used = F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    same = F.size(F.filter(used, lambda p: p["x"] == p["y"]))
-    return F.when(F.size(used) == 0, 1.0).otherwise(same / F.size(used))
+    same = lambda some: F.size(F.filter(some, lambda p: p["x"] == p["y"]))
+    # An array of one list, so that the list is made once.
+    return F.transform(F.array(used), lambda some: F.when(F.size(some) == 0, 1.0).otherwise(same(some) / F.size(some)))[0]
 
 
 # -- documents beside their followers -----------------------------------------------------
@@ -106,12 +107,12 @@ def _buckets(ids: DataFrame, quantiles: int, bucket_rows: int) -> tuple:
     if not bounds:
         return lambda doc_id: F.lit(0)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    upper = F.array(*[F.lit(b).cast("double") for b in [*bounds[1:], bounds[-1] + 1]])
+    upper = F.array(*[F.lit(float(b)) for b in [*bounds[1:], bounds[-1] + 1]])
 
     def bucket(doc_id: Column) -> Column:
         at = F.greatest(F.size(F.filter(edges, lambda b: b <= doc_id)), F.lit(1))
         low, high, here = F.element_at(edges, at).cast("double"), F.element_at(upper, at), doc_id.cast("double")
-        part = F.floor(F.least(F.greatest((here - low) / (high - low), F.lit(0.0)), F.lit(0.999999)) * per)
+        part = F.floor(F.least(F.greatest((here - low) / F.greatest(high - low, F.lit(1.0)), F.lit(0.0)), F.lit(0.999999)) * per)
         return F.coalesce((at - 1) * per + part.cast("int"), F.lit(0))
 
     return bucket
