@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import millrace as m
 from catalog.files import MAIN, SUMMARY_SQL, _log_folder, _log_lines, _summary
 from catalog.flows import FLAGSHIP, FLAGSHIP_SQL, flagship_columns
-from catalog.steps import drop, enrich, field, since_epoch, table
+from catalog.steps import drop, enrich, field, log, since_epoch, table
 from millrace.sources import storage
 
 QUERIES = {}
@@ -87,6 +87,67 @@ def fan_out(spark, sf):
     return both[0].unionAll(both[1]).groupBy("sink", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_id, event_type FROM events")
+def gate_compacted(spark, sf):
+    """A reader that has had a part of a gate when its days are compacted and the old folders
+    removed: each record comes to it once."""
+    root = storage.new_folder(spark, "root")
+    events = _event_stream(spark, sf, 6).select("event_id", "event_type")
+    _finish(m.write_gate(events, "in", root, checkpoint=f"{root}/cp-in", trigger=NOW))
+    parts = [m.read_gate(spark, "in", root, streaming=True, max_batches_per_trigger=2, checkpoint=f"{root}/cp")]
+    _finish(m.write_gate(parts[0], "out", root, checkpoint=f"{root}/cp", trigger=NOW))
+    m.compact_gate(spark, "in", root, before="9999-12-31")
+    m.clean_gate(spark, "in", root, keep_seconds=0)
+    rest = m.read_gate(spark, "in", root, streaming=True, checkpoint=f"{root}/cp")
+    _finish(m.write_gate(rest, "out", root, checkpoint=f"{root}/cp", trigger=NOW))
+    return m.read_gate(spark, "out", root).select("event.event_id", "event.event_type")
+
+
+@query(
+    """SELECT 'audit' AS logger, 'WARN' AS level, event_id, event_type FROM events WHERE event_type = 'error'
+       UNION ALL SELECT 'default', 'INFO', event_id, event_type FROM events WHERE event_type <> 'view'"""
+)
+def log_records(spark, sf):
+    """Every record that meets a ``log`` step, in a gate of its own beside the flow's sink."""
+    root = storage.new_folder(spark, "root")
+    m.write_gate(table(spark, sf, "events").select("event_id", "event_type"), "in", root, producer="p", batch="0")
+    config = {
+        "tap": {"class": "gate", "props": {"name": "in"}},
+        "pipeline": [
+            log(logger="audit", level="warn", when=field("event_type", is_="^error$")),
+            drop(field("event_type", is_="^view$")),
+            log(),
+        ],
+        "sink": {"class": "gate", "props": {"name": "out"}},
+    }
+    _finish(m.run_flow(spark, "logged", config, root, trigger=NOW, log_gate="log"))
+    seen = m.read_gate(spark, "log", root).select("event.logger", "event.level", F.from_json("event.record", "event_id long, event_type string").alias("r"))
+    return seen.select("logger", "level", "r.event_id", "r.event_type")
+
+
+@query("SELECT user_id, max_by(event_id, row(ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def latest_replay(spark, sf):
+    """A consumer that joins when half of the events are through: the last event of each user
+    as it is then, and the changes after it, make the last event of each user."""
+    root = storage.new_folder(spark, "root")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cut = events.agg(F.max("event_id")).first()[0] // 2
+    folder = storage.new_folder(spark, "events")
+    seen = []
+
+    def keep(rows, batch):
+        part = storage.new_folder(spark, "seen")
+        rows.withColumn("at", F.lit(len(seen))).write.parquet(part)
+        seen.append(part)
+
+    for k, half in enumerate((events.where(F.col("event_id") <= cut), events.where(F.col("event_id") > cut))):
+        half.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        _finish(m.publish_latest(stream, ["user_id"], ["ts", "event_id"], ["event_id", "ts"], "latest", root, f"{root}/cp-latest", trigger=NOW))
+        _finish(m.replay_latest(spark, "latest", root, f"{root}/cp-latest", ["user_id"], ["event_id", "ts"], keep, f"{root}/cp-late", NOW))
+    return m.latest_by_key(spark.read.parquet(*seen), ["user_id"], ["at"], ["event_id"])
+
+
 @query(FLAGSHIP_SQL)
 def flow_stream(spark, sf):
     """The flagship flow, gate to gate, as a running query."""

@@ -11,7 +11,7 @@ from millrace.sources.json_frames import from_json_frames, stamp_source, to_enve
 from millrace.sources.tail import TailDataSource, register_tail
 from millrace.streaming.delivery import blackhole_sink, fan_out, gate_sink, write_blackhole
 from millrace.streaming.gates import GateClosed, clean_gate, compact_gate, drop_duplicates, follow_gate, read_gate, write_gate
-from millrace.streaming.latest import conflate, latest_by_key
+from millrace.streaming.latest import conflate, latest_by_key, latest_snapshot, publish_latest, replay_latest
 from millrace.streaming.registry import FlowRegistry
 from millrace.streaming.run import run_flow, run_tap, tap_stream
 
@@ -37,12 +37,15 @@ __all__ = [
     "gate_sink",
     "last_file",
     "latest_by_key",
+    "latest_snapshot",
     "log_records",
     "parse_flow",
+    "publish_latest",
     "read_gate",
     "read_rolling",
     "register_instruction",
     "register_tail",
+    "replay_latest",
     "run_flow",
     "run_tap",
     "stamp_source",

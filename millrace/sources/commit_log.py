@@ -58,17 +58,17 @@ class Entry:
 @dataclass
 class State:
     """What a gate holds after commit ``number``; ``replaced`` are folders that no new reader
-    opens any more, with the time since when."""
+    opens any more, with the time since when and the number of their own commit."""
 
     number: int = 0
     live: dict[int, Entry] = field(default_factory=dict)
-    replaced: dict[str, float] = field(default_factory=dict)
+    replaced: dict[str, list] = field(default_factory=dict)
 
     def apply(self, entry: Entry) -> None:
         for old in entry.replaces:
             gone = self.live.pop(old, None)
             if gone is not None:
-                self.replaced[gone.path] = entry.time
+                self.replaced[gone.path] = [entry.time, gone.number]
         for path in entry.removed:
             self.replaced.pop(path, None)
         if entry.path:
@@ -217,8 +217,8 @@ class GateReader(DataSourceStreamReader):
         return CommitLog(self.options["path"], ArrowStore(self.options["path"]))
 
     def initialOffset(self) -> dict:
-        self.known = 0
-        return {COMMIT: 0}
+        self.known = int(self.options.get("after", 0))
+        return {COMMIT: self.known}
 
     def latestOffset(self) -> dict:
         head = self._log().head()

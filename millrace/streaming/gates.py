@@ -25,9 +25,11 @@ import logging
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import asdict
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,6 +209,21 @@ def _in_compacted(spark: SparkSession, log: CommitLog, after: int, producer: str
     return False
 
 
+@contextmanager
+def _whole_variants(spark: SparkSession, schema: T.StructType):
+    """Write VARIANT fields unshredded: readers outside Spark's own Parquet reader know no other form."""
+    key = "spark.sql.variant.writeShredding.enabled"
+    before = spark.conf.get(key, None)
+    if "variant" not in schema.simpleString() or before == "false":
+        yield
+        return
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def publish(df: DataFrame, name: str, root: str, producer: str, batch: int | str) -> bool:
     """Put one batch of frames into a gate, once. False if it is there already. ``batch``
     has to be a name that no other batch of the producer has."""
@@ -227,7 +244,8 @@ def publish(df: DataFrame, name: str, root: str, producer: str, batch: int | str
         return False
     path = f"data/ingest_date={day}/producer={sender}/batch={label}/attempt=a{uuid.uuid4().hex}"
     stamped = df.drop(*PLACE).withColumn(INGEST_TS, F.timestamp_micros(F.lit(int(now.timestamp() * 1e6))))
-    stamped.write.parquet(f"{log.gate}/{path}")
+    with _whole_variants(spark, stamped.schema):
+        stamped.write.parquet(f"{log.gate}/{path}")
     entry = Entry(0, day, path, storage.folder_size(spark, f"{log.gate}/{path}"), producer, batch)
     if _append(spark, log, entry, max(after, snapshot), same) is None:  # another attempt was faster
         storage.delete(spark, f"{log.gate}/{path}")
@@ -245,6 +263,7 @@ def write_gate(
     trigger: dict | None = None,
     query_name: str | None = None,
     closed_wait: float | None = None,
+    output_mode: str = "append",
 ) -> StreamingQuery | None:
     """Write records to a gate.
 
@@ -252,7 +271,8 @@ def write_gate(
     tried again (the same producer and name are the same batch). A stream needs a
     ``checkpoint`` and gives its query back; each of its micro-batches arrives exactly once,
     also after a restart. While the gate is closed a stream waits until it opens, or only
-    ``closed_wait`` seconds and then fails with :class:`GateClosed`.
+    ``closed_wait`` seconds and then fails with :class:`GateClosed`. ``output_mode`` is that of a
+    stream with state.
     """
     frames = as_frames(df)
     spark = df.sparkSession
@@ -267,7 +287,7 @@ def write_gate(
         wait_open(spark, name, root, closed_wait, query_id(spark, checkpoint))
         publish(rows, name, root, producer, stream_batch(spark, checkpoint, number))
 
-    writer = frames.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    writer = frames.writeStream.outputMode(output_mode).foreachBatch(deliver).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
@@ -357,13 +377,14 @@ def follow_gate(
     query_name: str | None = None,
     since: datetime.date | str | None = None,
     max_batches: int = 1000,
+    after: int = 0,
 ) -> StreamingQuery:
     """Call ``deliver(records, batch name)`` with each part of a gate's records, in the order of
     its commits and with at most ``max_batches`` of them.
 
     The records are a table that Spark's own Parquet reader reads, so conditions and columns
     reach the files; only the commit numbers are a stream. A part that comes again after
-    a failure has the same records and name.
+    a failure has the same records and name. A new reader starts after the commit ``after``.
     """
     log = gate_log(spark, name, root)
     span = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
@@ -377,7 +398,7 @@ def follow_gate(
                 frames = read_entries(spark, log.gate, entries, known_schema(spark, name, root), (low, high))
                 deliver(frames.drop(*PLACE), stream_batch(spark, checkpoint, f"{number}.{k}" if k else number))
 
-    commits = _stream(spark, log.gate, span, None, None, None, rows="span").load()
+    commits = _stream(spark, log.gate, span, None, None, None, rows="span", after=after).load()
     writer = commits.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
@@ -418,7 +439,8 @@ def _compact_day(spark: SparkSession, log: CommitLog, schema: T.StructType, stat
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     size = sum(e.size for e in entries)
     path = f"compacted/{day}/{uuid.uuid4().hex}"
-    rows.coalesce(max(1, -(-size // file_bytes))).write.parquet(f"{log.gate}/{path}")
+    with _whole_variants(spark, schema):
+        rows.coalesce(max(1, -(-size // file_bytes))).write.parquet(f"{log.gate}/{path}")
     replaced = sorted(e.number for e in entries)
     low, high = min([e.number for e in plain] + [e.low for e in packed]), max([e.number for e in plain] + [e.high for e in packed])
     entry = Entry(0, day, path, storage.folder_size(spark, f"{log.gate}/{path}"), low=low, high=high, replaces=replaced)
@@ -430,26 +452,34 @@ def _compact_day(spark: SparkSession, log: CommitLog, schema: T.StructType, stat
 
 def clean_gate(spark: SparkSession, name: str, root: str, keep_seconds: float = 7 * 86400) -> int:
     """Remove what no reader needs and is older than ``keep_seconds``: folders that were
-    replaced, attempts that no commit names, their notes, and the log before the snapshots. The
-    number of data folders removed. No batch may be tried again after so long a time."""
-    log, old = gate_log(spark, name, root), time.time() - keep_seconds
+    replaced, attempts that no commit names, their notes, and the log before a snapshot of that
+    age. The number of data folders removed. No writer may take so long for one batch, nor try one
+    again after so long a time."""
+    log = gate_log(spark, name, root)
     state = log.state()
     if state.number > log.newest_snapshot():
         storage.put_once(spark, log.snapshot_file(state.number), state.dump())
-    newest = log.newest_snapshot()
+    old = time.time() - keep_seconds
 
     def aged(path: str) -> bool:
-        return storage.exists(spark, path) and storage.modified(spark, path) < old
+        return storage.exists(spark, path) and storage.modified(spark, path) <= old
+
+    def number(path: str) -> int:
+        return int(path.rsplit("/", 1)[1].removesuffix(".json"))
 
-    gone = [path for path, since in state.replaced.items() if since < old]
+    snapshots = storage.matching(spark, f"{log.gate}/log/snapshots/[0-9]*.json")
+    # Writers begin at the newest snapshot, so nobody has looked before this one for as long.
+    limit = max((number(f) for f in snapshots if aged(f)), default=0)
     # The log goes first: a reader that does not find a commit looks at what there is now.
     for folder in storage.matching(spark, f"{log.gate}/log/[0-9]*"):
-        for file in storage.matching(spark, f"{folder}/[0-9]*.json"):
-            if int(file.rsplit("/", 1)[1][:-5]) <= newest - EVERY and aged(file):
-                storage.delete(spark, file)
-    for file in storage.matching(spark, f"{log.gate}/log/snapshots/*.json"):
-        if int(file.rsplit("/", 1)[1][:-5]) < newest and aged(file):
+        if number(folder) * EVERY <= limit:
+            for file in storage.matching(spark, f"{folder}/[0-9]*.json"):
+                if number(file) <= limit and aged(file):
+                    storage.delete(spark, file)
+    for file in snapshots:
+        if number(file) < limit:
             storage.delete(spark, file)
+    gone = [path for path, (since, own) in state.replaced.items() if since <= old and own <= limit]
     for path in gone:
         storage.delete(spark, f"{log.gate}/{path}")
     named = {e.path for e in state.live.values()} | set(state.replaced)
@@ -468,12 +498,28 @@ def clean_gate(spark: SparkSession, name: str, root: str, keep_seconds: float =
     return len(gone) + len(stray)
 
 
+def _first_of_each(keys: list[str]):
+    """Of the rows of each Arrow batch with the same keys, the first."""
+
+    def combine(batches):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            if any(pa.types.is_nested(c.type) for c in columns):
+                columns = [pa.array([repr(v) for v in c.to_pylist()]) if pa.types.is_nested(c.type) else c for c in columns]
+            names = [f"k{i}" for i in range(len(keys))]
+            table = pa.table([*columns, pa.array(range(len(batch)))], names=[*names, "at"])
+            firsts = table.group_by(names).aggregate([("at", "min")]).column("at_min").combine_chunks()
+            yield batch if len(firsts) == len(batch) else batch.take(firsts.sort())
+
+    return combine
+
+
 def drop_duplicates(
     df: DataFrame,
     keys: list[str] | None = None,
     watermark: str | None = None,
     time: str = INGEST_TS,
-    salts: int = 8,
+    combine: bool = True,
 ) -> DataFrame:
     """Keep one record per sender and id (``event.source.sourceId`` and ``event.id``, or
     the given columns). A stream has to say how long it remembers a key: ``watermark`` after
@@ -481,9 +527,10 @@ def drop_duplicates(
     are later than the watermark are dropped, which Spark counts in the query's progress as
     ``numRowsDroppedByWatermark``.
 
-    A table drops most copies before its shuffle. A stream has no such step, so it spreads
-    the copies of one record over ``salts`` tasks first, and only what is left of them
-    meets in one; 1 turns that off.
+    A table drops most copies before its shuffle. Spark has no such step for a stream, so here each
+    task drops the copies within each of its Arrow batches first: a record that is sent a
+    million times meets in one task as a hundred rows, and the stream keeps one state. ``combine``
+    turns that off where copies are rare, as it takes every record through Python.
     """
     own = keys is None
     if own:
@@ -492,11 +539,8 @@ def drop_duplicates(
     if df.isStreaming:
         if watermark is None:
             raise FlowConfigError("A stream needs a watermark: how long a key is remembered")
-        out = df.withWatermark(f"`{time}`", watermark)
-        if salts > 1:
-            out = out.withColumn("x:salt", F.spark_partition_id() % salts)
-            out = out.dropDuplicatesWithinWatermark([*keys, "x:salt"]).drop("x:salt")
-        out = out.dropDuplicatesWithinWatermark(keys)
+        out = df.mapInArrow(_first_of_each(keys), df.schema) if combine else df
+        out = out.withWatermark(f"`{time}`", watermark).dropDuplicatesWithinWatermark(keys)
     else:
         out = df.dropDuplicates(keys)
     return out.drop(*keys) if own else out

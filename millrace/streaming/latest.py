@@ -1,11 +1,18 @@
-"""The newest update of each subject, for all time or per tick."""
+"""The newest update of each subject, for all time or per tick, and its replay to who joins late."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from millrace.errors import FlowConfigError
 from millrace.functions.paths import quoted
+from millrace.sources import storage
+from millrace.streaming.gates import follow_gate, gate_log, query_id, write_gate
 
 
 def _newest(values: list[str], order: list[str]) -> list[Column]:
@@ -60,3 +67,77 @@ def conflate(
     )
     out = out.withColumn("tick_start", F.col("`x:tick`.start")).drop("x:tick")
     return _unpack(out, [*keys, "tick_start"], values)
+
+
+def publish_latest(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: list[str],
+    name: str,
+    root: str,
+    checkpoint: str,
+    producer: str = "latest",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the last row per key of a stream, and put each batch's changes into a gate. The state
+    of the query is the table of all last rows, which :func:`replay_latest` reads."""
+    if not df.isStreaming:
+        raise FlowConfigError("Latest values are published from a stream")
+    return write_gate(latest_by_key(df, keys, order, values), name, root, producer, checkpoint=checkpoint, trigger=trigger, output_mode="update")
+
+
+def latest_snapshot(spark: SparkSession, checkpoint: str, keys: list[str], values: list[str], batch: int | None = None) -> DataFrame:
+    """The last rows that a :func:`publish_latest` query held after a batch (its last whole one),
+    from its state store."""
+    batch = last_batch(spark, checkpoint) if batch is None else batch
+    state = spark.read.format("statestore").option("batchId", batch).load(checkpoint)
+    newest = F.col("value").getField(state.schema["value"].dataType.names[0])
+    picked = [newest.alias(values[0])] if len(values) == 1 else [newest.getField(v).alias(v) for v in values]
+    return state.select(*[F.col("key").getField(k).alias(k) for k in keys], *picked)
+
+
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """Number of the last batch that a query has finished."""
+    done = [int(p.rsplit("/", 1)[1]) for p in storage.matching(spark, f"{checkpoint}/commits/[0-9]*")]
+    if not done:
+        raise FlowConfigError(f"The query at {checkpoint} has finished no batch yet")
+    return max(done)
+
+
+def replay_latest(
+    spark: SparkSession,
+    name: str,
+    root: str,
+    published: str,
+    keys: list[str],
+    values: list[str],
+    deliver: Callable[[DataFrame, str], None],
+    checkpoint: str,
+    trigger: dict | None = None,
+    query_name: str | None = None,
+    producer: str = "latest",
+) -> StreamingQuery:
+    """Give a consumer that joins late the last row of every key as it is now (batch name
+    ``snapshot``), then each later change from the gate. ``published`` is the checkpoint of the
+    query that keeps the rows. Started anew, it goes on where it was: the snapshot comes once, or
+    again under its name if the consumer failed on it."""
+    note = f"{checkpoint.rstrip('/')}-joined"
+    columns = [*keys, *values]
+    if not storage.exists(spark, note):
+        last, query = last_batch(spark, published), query_id(spark, published)
+        # Commits that the snapshot has in it. Days that were compacted are older than it.
+        held = [e.high for e in gate_log(spark, name, root).state().live.values() if e.compacted]
+        for entry in gate_log(spark, name, root).state().live.values():
+            if entry.producer == producer and entry.batch.startswith(f"{query}.") and int(entry.batch.rsplit(".", 1)[1]) <= last:
+                held.append(entry.number)
+        storage.put_once(spark, note, json.dumps({"batch": last, "after": max(held, default=0)}))
+    joined = json.loads(storage.read_text(spark, note))
+    if not storage.exists(spark, f"{note}-done"):
+        deliver(latest_snapshot(spark, published, keys, values, joined["batch"]).select(*columns), "snapshot")
+        storage.create_once(spark, f"{note}-done", "")
+
+    def changes(frames: DataFrame, batch: str) -> None:
+        deliver(frames.select("event.*").select(*columns), batch)
+
+    return follow_gate(spark, name, root, changes, checkpoint, trigger, query_name, after=joined["after"])

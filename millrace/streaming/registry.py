@@ -15,6 +15,8 @@ from millrace.streaming import gates
 from millrace.streaming.run import checkpoint_path, run_flow
 
 ACTIVE, PASSIVE = "active", "passive"
+#: Options of a registry that are not those of its pipelines.
+RUN_OPTIONS = ("max_batches", "closed_wait", "log_gate")
 
 
 class FlowRegistry:
@@ -84,7 +86,13 @@ class FlowRegistry:
         return ACTIVE if query is not None and query.isActive else PASSIVE
 
     def info(self, name: str) -> dict:
-        return {"name": name, "config": self._config(name), "state": self.state(name)}
+        """Name, config and state; ``waiting`` names the closed gate that a running flow waits for."""
+        about = {"name": name, "config": self._config(name), "state": self.state(name)}
+        if about["state"] == ACTIVE:
+            sink = parse_flow(self._configs[name]).sink.gate
+            if sink is not None and not gates.is_open(self.spark, sink, self.root):
+                about["waiting"] = sink
+        return about
 
     def list(self) -> DataFrame:
         """``name, config, state`` of all flows."""
@@ -108,8 +116,9 @@ class FlowRegistry:
     def _check(self, config: dict) -> None:
         """Plan a config without starting it."""
         flow = parse_flow(config)
-        source = gates.read_gate(self.spark, flow.tap.gate, self.root, streaming=True)
-        apply_flow(source, flow.pipeline, "envelope", **self.options)
+        source = gates.read_entries(self.spark, "", [], gates.known_schema(self.spark, flow.tap.gate, self.root))
+        options = {k: v for k, v in self.options.items() if k not in RUN_OPTIONS}
+        apply_flow(source, flow.pipeline, "envelope", **options)
 
     # -- gates -------------------------------------------------------------------------
 
