@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 import millrace as m
@@ -70,20 +72,49 @@ def gz_scan(spark, sf):
     return _summary(m.read_rolling(spark, _log_folder(spark, sf), "^nothing$", ROLLED))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\xff]|\\s', '', 'g') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[^\\x00-\\xff]', '', 'g') AS text FROM documents")
 def charset_scan(spark, sf):
     """Lines in ISO-8859-1."""
-    folder = storage.new_folder(spark, "latin")
-    latin = F.regexp_replace("text", r"[^\x00-\xff]|\s", "")
-    rows = table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), latin).alias("value"))
-    rows.write.option("encoding", "UTF-8").text(folder)
-    utf8 = spark.read.text(folder)
-    encoded = storage.new_folder(spark, "latin1")
-    # The text writer hands bytes through as well.
-    utf8.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(encoded)
-    lines = m.read_rolling(spark, encoded, MAIN, "(?!)", charset="ISO-8859-1")
-    parts = F.split("value", "\t", 2)
-    return lines.select(parts[0].cast("bigint").alias("doc_id"), parts[1].alias("text"))
+    return _coded_lines(spark, sf, "ISO-8859-1", F.regexp_replace("text", r"[^\x00-\xff]", ""))
+
+
+@query("SELECT doc_id, text FROM documents")
+def charset_scan_utf16(spark, sf):
+    """Lines in UTF-16, whose line ends are two bytes."""
+    return _coded_lines(spark, sf, "UTF-16LE", F.col("text"))
+
+
+def _coded_lines(spark, sf, charset, text):
+    """Documents as JSON lines in a charset, written and read."""
+    folder = storage.new_folder(spark, "coded")
+    rows = table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", text.alias("text"))).alias("value"))
+    # The text writer hands bytes through, and writes the line end in the charset it is told.
+    coded = rows.select(F.encode("value", charset).cast("string").alias("value"))
+    coded.repartition(3).write.option("encoding", charset).option("lineSep", "\n").text(folder)
+    lines = m.read_rolling(spark, folder, MAIN, "(?!)", charset=charset)
+    return lines.select(F.from_json("value", "doc_id bigint, text string").alias("r")).select("r.*")
+
+
+@query("SELECT CAST(sum(length(text) + 2) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL")
+def tail_chunks_open(spark, sf):
+    """Pieces of files that have no line end at all."""
+    folder = storage.new_folder(spark, "open")
+    # The writer's line end is one byte; all others are spaces here.
+    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("."), F.translate("text", "\n\r", "  ")).alias("value"))
+    rows.repartition(2).write.option("lineSep", ".").text(folder)
+    return _tail(spark, folder, chunkChars=1000, sliceBytes=30_000).agg(F.sum(F.length("value")).alias("chars"))
+
+
+@query(SUMMARY_SQL.format("WHERE event_type = 'error'"))
+def tail_cursor(spark, sf):
+    """A saved cursor finds its file by seed and number after an older file has gone."""
+    folder, kept = _log_folder(spark, sf), storage.new_folder(spark, "index")
+    index = m.keep_inventory(spark, folder, MAIN, ROLLED, kept, seed=1)
+    main = m.last_file(index).first()
+    storage.delete(spark, f"{folder}/{m.first_file(index).first()['name']}")
+    cursor = json.dumps({"fileCursor": {"idx": {"seed": main["seed"], "rId": main["resourceId"]}, "pos": 0}})
+    name, chars = m.cursor_place(m.keep_inventory(spark, folder, MAIN, ROLLED, kept, seed=2), cursor)
+    return _summary(_tail(spark, folder, cursorFile=name, cursorChars=chars))
 
 
 @query(

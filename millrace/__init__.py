@@ -6,7 +6,17 @@ from millrace.operators.registry import register_instruction, unregister_instruc
 from millrace.options import FlowOptions
 from millrace.plans.flow import apply_flow, parse_flow, transform
 from millrace.plans.frame import Frame
-from millrace.sources.files import file_inventory, first_file, last_file, read_rolling, stream_rolling, with_next
+from millrace.sources.files import (
+    cursor_place,
+    file_inventory,
+    first_file,
+    keep_inventory,
+    kept_inventory,
+    last_file,
+    read_rolling,
+    stream_rolling,
+    with_next,
+)
 from millrace.sources.json_frames import from_json_frames, stamp_source, to_envelope, to_json_frames
 from millrace.sources.tail import TailDataSource, register_tail
 from millrace.streaming.delivery import blackhole_sink, fan_out, gate_sink, write_blackhole
@@ -28,6 +38,7 @@ __all__ = [
     "clean_gate",
     "compact_gate",
     "conflate",
+    "cursor_place",
     "drop_duplicates",
     "fan_out",
     "file_inventory",
@@ -35,6 +46,8 @@ __all__ = [
     "follow_gate",
     "from_json_frames",
     "gate_sink",
+    "keep_inventory",
+    "kept_inventory",
     "last_file",
     "latest_by_key",
     "latest_snapshot",

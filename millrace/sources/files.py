@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 
 from millrace.errors import FlowConfigError
 from millrace.operators.patterns import check_pattern
+from millrace.sources import storage
+from millrace.sources.tail import register_tail
 
 # Fixed value: by default, files of this many bytes or fewer are not worth a look.
 SMALLEST_FILE = 16
@@ -44,8 +47,12 @@ def _lines(df: DataFrame, main: str, roll: str, charset: str, smallest: int) ->
 def _check(spark: SparkSession, main: str, roll: str, charset: str) -> None:
     check_pattern(spark, main)
     check_pattern(spark, roll)
-    if charset.upper() not in LINE_CHARSETS:
-        raise FlowConfigError(f"Unknown charset {charset!r}; known charsets: {', '.join(LINE_CHARSETS)}")
+    try:
+        known = "\n\n".encode(charset) == 2 * "\n".encode(charset)
+    except LookupError:
+        known = False
+    if not known:
+        raise FlowConfigError(f"Charset {charset!r} is unknown or has no fixed line end: name the byte order of UTF-16 and UTF-32")
 
 
 def read_rolling(
@@ -56,11 +63,29 @@ def read_rolling(
     ``.gz`` files are unpacked; names that begin with a dot or ``_``, zip files and files of
     at most ``smallest`` bytes are left out, before they are opened. Order lines by ``rolled DESC, file_time, file_name`` for
     the order of the file index.
+
+    Spark's text reader splits at single bytes; charsets beyond its three (UTF-16 and UTF-32 with
+    their byte order, national ones) are read by the ``tail`` source, in slices that begin at whole
+    characters.
     """
     _check(spark, main, roll, charset)
+    if charset.upper() not in LINE_CHARSETS:
+        return _wide_lines(spark, directory, main, roll, charset, smallest)
     return _lines(spark.read.text(directory), main, roll, charset, smallest)
 
 
+def _wide_lines(spark: SparkSession, directory: str, main: str, roll: str, charset: str, smallest: int) -> DataFrame:
+    register_tail(spark)
+    options = {"path": directory, "mainPattern": main, "rollPattern": roll, "charset": charset, "smallestBytes": smallest, "startAt": "earliest", "settleSeconds": 0}
+    lines = spark.read.format("tail").options(**options).load()
+    files = spark.read.format("binaryFile").load(directory).select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_time")
+    )
+    return lines.join(files, "file").select(
+        "value", F.col("file").alias("file_name"), "file_size", "file_time", F.col("file").rlike(roll).alias("rolled"), F.col("start_pos").alias("block_start")
+    )
+
+
 def stream_rolling(
     spark: SparkSession,
     directory: str,
@@ -71,8 +96,10 @@ def stream_rolling(
     smallest: int = SMALLEST_FILE,
 ) -> DataFrame:
     """:func:`read_rolling` as a stream of files that are complete when they appear. Files
-    that still grow need the ``tail`` source."""
+    that still grow, and other charsets than Spark's three, need the ``tail`` source."""
     _check(spark, main, roll, charset)
+    if charset.upper() not in LINE_CHARSETS:
+        raise FlowConfigError(f"Files in {charset!r} are streamed by the tail source")
     reader = spark.readStream.format("text").option("maxFileAge", MAX_FILE_AGE)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -149,6 +176,42 @@ def file_inventory(
     )
 
 
+def kept_inventory(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The index as :func:`keep_inventory` has left it last; None before the first time."""
+    versions = sorted(p.rsplit("/", 1)[0] for p in storage.matching(spark, f"{folder}/*/_SUCCESS"))
+    return spark.read.schema(INVENTORY_SCHEMA).parquet(versions[-1]) if versions else None
+
+
+def keep_inventory(
+    spark: SparkSession, directory: str, main: str, roll: str, folder: str, seed: int | None = None, smallest: int = SMALLEST_FILE
+) -> DataFrame:
+    """Bring the index kept in ``folder`` up to date with a folder of log files, and give it. Files
+    keep their numbers as long as the oldest file that was known is still there, so a cursor
+    that names a file by ``seed`` and number finds it in another session and after others went."""
+    versions = sorted(p.rsplit("/", 2)[1] for p in storage.matching(spark, f"{folder}/*/_SUCCESS"))
+    previous = kept_inventory(spark, folder)
+    number = int(versions[-1]) + 1 if versions else 0
+    index = file_inventory(spark, directory, main, roll, _surviving(previous), seed, smallest)
+    index.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{number:012d}")
+    for old in versions[:-1]:
+        storage.delete(spark, f"{folder}/{old}")
+    return kept_inventory(spark, folder)
+
+
+def _surviving(previous: DataFrame | None) -> DataFrame | None:
+    """An index that stays readable while its folder is replaced."""
+    return None if previous is None else previous.sparkSession.createDataFrame(previous.collect(), INVENTORY_SCHEMA)
+
+
+def cursor_place(inventory: DataFrame, cursor: str) -> tuple[str, int] | None:
+    """Name of the file that a saved cursor ``{"fileCursor": {"idx": {"seed", "rId"}, "pos"}}`` names,
+    and how many characters of it were read; None if the index knows no such file."""
+    place = json.loads(cursor)["fileCursor"]
+    seed, number = int(place["idx"]["seed"]), int(place["idx"]["rId"])
+    row = inventory.where((F.col("seed") == seed) & (F.col("resourceId") == number)).select("name").first()
+    return None if row is None else (row["name"], int(place["pos"]))
+
+
 def first_file(inventory: DataFrame) -> DataFrame:
     """Oldest file of each folder's index."""
     return _edge(inventory, F.min_by)

@@ -2,16 +2,24 @@
 
 Spark's file source reads a path once. This one remembers a byte position per file, so
 appended lines are read where the last batch stopped, on the executors, in slices of a
-bounded size. A file is known by its name, its first line and a mark (a digest of the bytes
+bounded size. Positions are plain sizes: the driver does not look for line ends. A record
+belongs to the slice that its last byte lies in, so a task looks backwards from both ends of its
+slice for where a record ends, and a half-written line comes with the batch that has its end.
+A file is known by its name, its first line and a mark (a digest of the bytes
 before a position), which a task checks again before it reads. One that was renamed, or
 rolled and gzipped, is recognised by its first line and read on from where it was left.
 
 Options: ``path`` (folder), ``mainPattern``, ``rollPattern``, ``startAt`` (``newest``: from
 the start of the newest file, or ``earliest``), ``cursor`` (a saved cursor, see
 :func:`parse_cursor`), ``maxBytesPerTrigger``, ``maxFilesPerTrigger``, ``sliceBytes``,
-``chunkChars`` (pieces of so many characters instead of lines), ``charset``,
+``chunkChars`` (pieces of at most so many characters instead of lines, which wait for no line
+end), ``charset`` (with UTF-16 and UTF-32 the byte order is part of the name), ``cursorFile`` and
+``cursorChars`` (start in this file, behind so many characters),
 ``smallestBytes`` (files of so many bytes or fewer are left out),
-``settleSeconds`` (a file untouched for so long is complete), ``resumeFrom`` (offset JSON
+``settleSeconds`` (a file untouched for so long is complete), ``keepGoneSeconds`` (how long the
+place of a file is kept that is listed under no name), ``keepFinishedSeconds`` (files that were
+read whole and are older than this leave the offset, which so stays small; a file that old
+which turns up later is taken for one of them), ``resumeFrom`` (offset JSON
 of the last planned batch: without it the first batch after a restart has no caps and
 cannot follow a file that was renamed while the query was down and is still missing).
 
@@ -44,7 +52,8 @@ HEAD = 4096
 MARK = 256
 IDS = "#ids"  # in an offset, how many record numbers have been given away
 WHOLE = -1  # position of a gzipped file that is read to its end
-KEEP_GONE_SECONDS = 3600
+DONE = "#done"  # in an offset, the time up to which files were read whole and left it
+KEEP_GONE_SECONDS, KEEP_FINISHED_SECONDS = 86_400, 30 * 86_400
 # Looks at a file that is gone, and the time between them.
 ATTEMPTS, ATTEMPT_SECONDS = 3, 0.5
 # Room for the numbers of one gzipped file's lines: deflate expands at most 1032 times.
@@ -53,10 +62,11 @@ GZIP_RATIO, GZIP_LINES = 1032, 1 << 40
 
 @dataclass
 class Slice(InputPartition):
-    """Lines of one file that start in ``[start, end)``. The batch reads this file from
-    ``first`` to ``limit``; both ends are None for a gzipped file. ``mark`` is what has to
+    """Records of one file whose last byte lies in ``[start, end)``. The batch reads this file
+    from ``first`` to ``limit``; both ends are None for a gzipped file. ``mark`` is what has to
     stand before ``first`` and ``last`` what before ``limit`` (for a gzipped file: that of the
-    whole). Its records are numbered from ``base``, fewer than ``room`` of them."""
+    whole). Its records are numbered from ``base``, at most ``room`` of them. ``exact``: a record
+    begins at ``first``; ``closes``: one ends at ``limit``, with or without a line end."""
 
     path: str
     name: str
@@ -69,6 +79,8 @@ class Slice(InputPartition):
     room: int
     mark: str = ""
     last: str = ""
+    exact: bool = False
+    closes: bool = False
 
 
 @dataclass(frozen=True)
@@ -112,6 +124,9 @@ class Tail:
         self.chunk_chars = int(options.get("chunkChars", 0))
         self.charset = options.get("charset", "UTF-8")
         self.smallest = int(options.get("smallestBytes", SMALLEST_FILE))
+        self.keep_gone = float(options.get("keepGoneSeconds", KEEP_GONE_SECONDS))
+        self.keep_finished = float(options.get("keepFinishedSeconds", KEEP_FINISHED_SECONDS))
+        self.cursor_file, self.cursor_chars = options.get("cursorFile"), int(options.get("cursorChars", 0))
         self.settle = float(options.get("settleSeconds", 5))
         self.heads: dict[str, tuple] = {}
         self.held: dict[str, tuple] = {}
@@ -119,8 +134,16 @@ class Tail:
             raise ValueError(f"Unknown startAt {self.start_at!r}")
         if min(self.max_bytes, self.max_files, self.slice_bytes) < 1:
             raise ValueError("Caps and slices must be positive")
-        if "\n".encode(self.charset) != b"\n":
-            raise ValueError(f"Charset {self.charset!r} has no one-byte line ends")
+        self.end_mark = "\n".encode(self.charset)
+        self.unit = len(self.end_mark)  # bytes of a code unit
+        if self.unit not in (1, 2, 4) or "\n\n".encode(self.charset) != 2 * self.end_mark:
+            raise ValueError(f"Charset {self.charset!r} has no fixed line end; name the byte order of UTF-16 and UTF-32")
+        name = codecs.lookup(self.charset).name
+        # Whether the end of a character can be told from the bytes before it.
+        self.telling = self.unit > 1 or name in ("utf-8", "ascii") or len(bytes(range(256)).decode(self.charset, "replace")) == 256
+        self.utf8, self.utf16 = name == "utf-8", name.startswith("utf-16")
+        self.pieces = bool(self.chunk_chars) and self.telling
+        self.slice_bytes = max(self.unit, self.slice_bytes - self.slice_bytes % self.unit)
 
     def _fs(self):
         return pafs.FileSystem.from_uri(self.directory)
@@ -158,20 +181,21 @@ class Tail:
         except FileNotFoundError:
             return None  # rolled away between listing and opening
 
-    @staticmethod
-    def _head(store, path: str) -> str | None:
-        """None while the first line is not complete."""
+    def _head(self, store, path: str) -> str | None:
+        """None while the first line is not complete. For pieces, which have no lines, it is the
+        first bytes that any listed file has."""
         with store.open_input_file(path) as stream:
-            return Tail._head_in(stream, path)
+            return self._head_in(stream, path)
 
-    @staticmethod
-    def _head_in(stream, path: str) -> str | None:
+    def _head_in(self, stream, path: str) -> str | None:
         data = stream.read(HEAD)
         if path.endswith("gz"):
             try:
                 data = zlib.decompressobj(31).decompress(data, HEAD)
             except zlib.error:
                 return None
+        if self.pieces:
+            return _digest(data[: min(self.smallest, HEAD - 1) + 1])
         cut = data.find(b"\n")
         if cut < 0:
             return _digest(data) if len(data) == HEAD else None
@@ -205,26 +229,60 @@ class Tail:
     def _settled(self, file: Found) -> bool:
         return time.time() - file.mtime >= self.settle
 
-    def _line_end(self, file: Found, low: int) -> int:
-        """Position after the last complete line at or after ``low``."""
-        if file.size <= low:
-            return low
-        store, _ = self._fs()
-        with store.open_input_file(file.path) as stream:
-            high = file.size
-            while high > low:
-                start = max(low, high - (64 << 10))
-                stream.seek(start)
-                cut = stream.read(high - start).rfind(b"\n")
-                if cut >= 0:
-                    return start + cut + 1
-                high = start
-        return low
+    # -- where records end ---------------------------------------------------------------
+
+    def _find_last(self, data: bytes, at: int) -> int:
+        """Place behind the last line end in ``data``, which stands at ``at`` in its file; -1: none."""
+        cut = data.rfind(self.end_mark)
+        while cut >= 0 and (at + cut) % self.unit:
+            cut = data.rfind(self.end_mark, 0, cut + self.unit - 1)
+        return cut + self.unit if cut >= 0 else -1
+
+    def _partial(self, data: bytes, at: int) -> int:
+        """How many of the last bytes before place ``at`` of a file belong to a character that
+        goes on behind it."""
+        if self.unit > 1:
+            odd = at % self.unit
+            unit = data[len(data) - odd - 2 : len(data) - odd] if self.utf16 else b""
+            if len(unit) == 2 and 0xD8 <= unit[1 if self.end_mark[0] else 0] < 0xDC:
+                return odd + 2
+            return odd
+        if self.utf8:
+            for k in range(1, min(3, len(data)) + 1):
+                lead = data[-k]
+                if lead & 0xC0 != 0x80:
+                    return k if k < (4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1) else 0
+        return 0
+
+    def _boundary(self, path: str, pos: int, opened=None) -> int:
+        """The last place at or before ``pos`` where a record ends: a line, or for pieces a character."""
+        if pos <= 0:
+            return 0
+        if self.pieces:
+            before = b"".join(self._blocks(path, max(0, pos - 6), pos, opened))
+            return pos - self._partial(before, pos)
+        if path.endswith("gz"):
+            at = last = 0
+            for data in self._blocks(path, 0, pos):
+                cut = self._find_last(data, at)
+                last = at + cut if cut >= 0 else last
+                at += len(data)
+            return last
+        high, window = pos - pos % self.unit, 16 << 10
+        while high > 0:
+            low = max(0, high - window)
+            cut = self._find_last(b"".join(self._blocks(path, low, high, opened)), low)
+            if cut >= 0:
+                return low + cut
+            high, window = low, min(BLOCK, 4 * window)
+        return 0
 
     # -- offsets: {file name: {"head", "pos", "mark"}} --------------------------------
 
-    def _entry(self, file: Found, pos: int) -> dict:
-        return {"head": file.head, "pos": pos, "mark": self._mark(file.path, pos)}
+    def _entry(self, file: Found, pos: int, exact: bool = False) -> dict:
+        """``exact``: a record ends at the position, whatever stands before it."""
+        entry = {"head": file.head, "pos": pos, "mark": self._mark(file.path, pos)}
+        return {**entry, "exact": True} if exact else entry
 
     def _holds(self, path: str, entry: dict) -> bool:
         """Whether a file has the text before an entry's position. One that was read whole is
@@ -252,12 +310,12 @@ class Tail:
             return own
         folder = path.rsplit("/", 1)[0]
         for other, entry in offset.items():
-            if other in (name, IDS) or entry["head"] != head:
+            if other == name or other.startswith("#") or entry["head"] != head:
                 continue
             stays = present.get(other) == head and self._holds(f"{folder}/{other}", entry)
             if not stays and self._holds(path, entry):
                 return entry
-        return {"head": head, "pos": 0, "mark": ""}
+        return {"head": head, "pos": 0, "mark": "", "exact": True}
 
     def initial(self) -> dict:
         files = self.listing()
@@ -269,9 +327,13 @@ class Tail:
             # A cursor into a file that is gone stands for the first known one.
             at = number if number < len(files) else 0
             pos = self._byte_position(files[at], chars) if number < len(files) else 0
-        offset = {f.name: self._entry(f, WHOLE if f.gzipped else self._line_end(f, 0)) for f in files[:at]}
+        if self.cursor_file is not None:
+            named = [k for k, f in enumerate(files) if f.name == self.cursor_file]
+            at = named[0] if named else 0
+            pos = self._byte_position(files[at], self.cursor_chars) if named else 0
+        offset = {f.name: self._entry(f, WHOLE if f.gzipped else f.size, not f.gzipped) for f in files[:at]}
         if pos:
-            offset[files[at].name] = self._entry(files[at], pos)
+            offset[files[at].name] = self._entry(files[at], pos, True)
         return offset
 
     def _byte_position(self, file: Found, chars: int) -> int:
@@ -297,40 +359,76 @@ class Tail:
             time.sleep(min(self.settle, 1))
             files = self.listing()
         present = {f.name: f.head for f in files}
+        done = (known or {}).get(DONE, {"pos": 0.0})["pos"]
         bytes_left, files_left = self.max_bytes, self.max_files
-        offset = {}
+        wanted: list[tuple[Found, dict, int, bool]] = []
         for file in files:
             try:
+                if file.mtime <= done and file.name not in (known or {}):
+                    continue  # read whole long ago
                 before = self._known(file.name, file.head, file.path, known or {}, present)
-                pos = before["pos"]
-                end = self._end(file, pos, file is files[-1])
-                if known is not None and end != pos:
-                    if files_left <= 0 or bytes_left <= 0:
-                        end = pos
-                    elif not file.gzipped:
-                        end = self._cut(file, pos, bytes_left, end)
-                if end != pos:
-                    files_left -= 1
-                    bytes_left -= file.size if file.gzipped else end - pos
-                if end != 0:
-                    old = (known or {}).get(file.name)
-                    same = old is not None and (old["head"], old["pos"]) == (file.head, end) and self._holds(file.path, old)
-                    if same or file.gzipped and end == pos:
-                        offset[file.name] = {k: before[k] for k in ("head", "pos", "mark")}
-                    else:
-                        offset[file.name] = self._entry(file, end)
             except FileNotFoundError:
                 continue  # gone meanwhile; the next listing has it under its new name
+            pos, exact = before["pos"], before.get("exact", False)
+            end = self._end(file, pos)
+            changed = end != pos or not file.gzipped and not exact and self._closed(file, file is files[-1])
+            if known is not None and changed:
+                if files_left <= 0 or bytes_left <= 0:
+                    end, changed = pos, False
+                elif not file.gzipped:
+                    end = min(end, pos + bytes_left) if end > pos else end
+            if changed:
+                files_left -= 1
+                bytes_left -= file.size if file.gzipped else max(0, end - pos)
+            closed = not file.gzipped and end == file.size and (changed and self._closed(file, file is files[-1]) or exact and not changed)
+            wanted.append((file, before, end, closed))
+        offset = {}
+        with ThreadPoolExecutor(16) as pool:
+            for (file, *_), entry in zip(wanted, pool.map(lambda w: self._next(known or {}, *w), wanted)):
+                if entry is not None:
+                    offset[file.name] = entry
         heads = {entry["head"] for entry in offset.values()}
         for name, entry in (known or {}).items():
-            if name == IDS:
+            if name.startswith("#"):
                 continue
             # A file between two names keeps its place for a while.
             if name not in offset and entry["head"] not in heads:
                 since = entry.get("gone", int(time.time()))
-                if time.time() - since < KEEP_GONE_SECONDS:
+                if time.time() - since < self.keep_gone:
                     offset[name] = {**entry, "gone": since}
-        return offset
+        return self._forgotten(offset, known or {}, {f.name: f for f in files}, done)
+
+    def _next(self, known: dict, file: Found, before: dict, end: int, closed: bool) -> dict | None:
+        """The offset's entry for a file that is read up to ``end``."""
+        if end == 0:
+            return None
+        try:
+            old = known.get(file.name)
+            same = old is not None and (old["head"], old["pos"]) == (file.head, end) and self._holds(file.path, old)
+            if same or file.gzipped and end == before["pos"]:
+                entry = {k: before[k] for k in ("head", "pos", "mark")}
+                return {**entry, "exact": True} if closed or before.get("exact") else entry
+            return self._entry(file, end, closed)
+        except FileNotFoundError:
+            return None
+
+    def _forgotten(self, offset: dict, known: dict, files: dict[str, Found], done: float) -> dict:
+        """The offset without files that were read whole long ago; one time stands for them. What
+        this batch still reads of a file has to be in its offset."""
+        limit = time.time() - self.keep_finished
+        old = [
+            n
+            for n, e in offset.items()
+            if n in files and files[n].mtime < limit and known.get(n) == e and (e["pos"] == WHOLE or e.get("exact") and e["pos"] == files[n].size)
+        ]
+        newest = max((files[n].mtime for n in old), default=0.0)
+        # Files that are as old and not read whole keep all of that time from being given up.
+        waiting = [f.mtime for n, f in files.items() if n not in old and f.mtime <= newest]
+        if waiting:
+            old = [n for n in old if files[n].mtime < min(waiting)]
+        done = max([done, *(files[n].mtime for n in old)])
+        kept = {n: e for n, e in offset.items() if n not in old}
+        return {**kept, DONE: {"head": "", "pos": done}} if done else kept
 
     def numbered(self, known: dict | None, offset: dict) -> dict:
         """The offset with the record numbers given away up to it. The first ones lie above
@@ -338,57 +436,47 @@ class Tail:
         if known is not None and IDS in known:
             last = known[IDS]["pos"] + sum(s.room for s in self.plan(known, offset))
         else:  # where the batch starts is not known here: room for all there is
-            last = time.time_ns() + sum(f.size * (GZIP_RATIO if f.gzipped else 1) + 1 for f in self.listing())
+            last = time.time_ns() + sum(f.size * (GZIP_RATIO if f.gzipped else 1) + f.size // self.slice_bytes + 2 for f in self.listing())
         return {**offset, IDS: {"head": "", "pos": last}}
 
-    def _end(self, file: Found, pos: int, newest: bool) -> int:
+    def _end(self, file: Found, pos: int) -> int:
         if pos == WHOLE:
             return WHOLE
         if file.gzipped:
             return WHOLE if self._settled(file) else pos
-        if not newest and self._settled(file):
-            return file.size
-        return self._line_end(file, pos)
-
-    def _cut(self, file: Found, pos: int, room: int, end: int) -> int:
-        """First line end at or after ``pos + room``, so that a long line still moves."""
-        at = pos + room
-        if at >= end:
-            return end
-        for data in self._blocks(file.path, at - 1, end):
-            cut = data.find(b"\n")
-            if cut >= 0:
-                return at + cut
-            at += len(data)
-        return end
+        return file.size
+
+    def _closed(self, file: Found, newest: bool) -> bool:
+        """Whether nothing more is written to a file, so that its last line needs no end."""
+        return not newest and self._settled(file)
 
     # -- planning, on the driver --------------------------------------------------------
 
     def plan(self, start: dict, end: dict) -> list[Slice]:
         store, root = self._fs()
-        present = {name: entry["head"] for name, entry in end.items() if "gone" not in entry and name != IDS}
+        present = {name: entry["head"] for name, entry in end.items() if "gone" not in entry and not name.startswith("#")}
         slices: list[Slice] = []
         base = 0
         for name, entry in end.items():
-            if "gone" in entry or name == IDS:
+            if "gone" in entry or name.startswith("#"):
                 continue
             head, high = entry["head"], entry["pos"]
             path = f"{root.rstrip('/')}/{name}"
             before = self._known(name, head, path, start, present)
-            low = before["pos"]
-            if low in (WHOLE, high):
+            low, exact, closes = before["pos"], before.get("exact", False), entry.get("exact", False)
+            if low == WHOLE or low == high and (exact or not closes):
                 continue
             if high == WHOLE:
                 size = store.get_file_info(path).size
                 room = GZIP_LINES if size is None else min(size * GZIP_RATIO + 1, GZIP_LINES)
-                slices.append(Slice(path, name, head, low, low, None, None, base, room, before["mark"], entry["mark"]))
+                slices.append(Slice(path, name, head, low, low, None, None, base, room, before["mark"], entry["mark"], exact))
                 base += room
                 continue
-            low, mark = (0, "") if low > high else (low, before["mark"])  # written anew
-            for cut in range(low, high, self.slice_bytes):
+            low, mark, exact = (0, "", True) if low > high else (low, before["mark"], exact)  # written anew
+            for cut in range(low, max(high, low + 1), self.slice_bytes):
                 stop = min(cut + self.slice_bytes, high)
-                slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut, mark, entry["mark"]))
-                base += stop - cut
+                slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut + 1, mark, entry["mark"], exact, closes))
+                base += stop - cut + 1
         if IDS in end:  # a stream's batch has the numbers right before its offset's
             first = end[IDS]["pos"] - base
             if first + base >= 1 << 63:
@@ -477,18 +565,6 @@ class Tail:
                 return False
         return True
 
-    def _first_line(self, path: str, part: Slice, opened) -> int:
-        """First line start in the slice: at its very edge only after a line end."""
-        if part.start == part.first:
-            return part.start
-        at = part.start - 1
-        for data in self._blocks(path, at, part.limit, opened):
-            cut = data.find(b"\n")
-            if cut >= 0:
-                return at + cut + 1
-            at += len(data)
-        return at
-
     def _continues(self, path: str, part: Slice) -> bool:
         """Whether a gzipped file has, before the position, what the plain one had there."""
         low = max(0, part.start - MARK)
@@ -506,25 +582,31 @@ class Tail:
             yield from self._lines_in(path, opened, part)
 
     def _lines_in(self, path: str, opened, part: Slice):
-        at = self._first_line(path, part, opened)
-        if part.end is None and part.start > 0 and not self._continues(path, part):
+        at, end = part.start, part.end
+        if end is None and at > 0 and not self._continues(path, part):
             at = 0  # another file with the same first line
+        if at != part.first or not part.exact:
+            at = self._boundary(path, at, opened)
+        if end is not None and not (part.closes and end == part.limit):
+            end = self._boundary(path, end, opened)
+        if end is not None and at >= end:
+            return
         held: list[bytes] = []
-        for data in self._blocks(path, at, part.limit, opened):
-            cut = data.rfind(b"\n") + 1
-            if not cut:
+        for data in self._blocks(path, at, end, opened):
+            size = sum(map(len, held))
+            if self.pieces:
+                cut = len(data) - self._partial(data, at + size + len(data))
+            else:
+                cut = self._find_last(data, at + size)
+            if cut <= 0:
                 held.append(data)
                 continue
             whole = b"".join([*held, data[:cut]])
             held = [data[cut:]] if cut < len(data) else []
-            if part.end is not None and at + len(whole) >= part.end:
-                if at < part.end:  # up to the line that holds the slice's last byte
-                    yield at, whole[: whole.index(b"\n", part.end - 1 - at) + 1]
-                return
             yield at, whole
             at += len(whole)
         rest = b"".join(held)
-        if rest and (part.end is None or at < part.end):
+        if rest:
             yield at, rest
 
     def records(self, part: Slice):
@@ -538,8 +620,8 @@ class Tail:
                 if number > part.room:
                     raise ValueError(f"{part.path} has too many lines")
             else:
-                # Slices of a file are numbered by position, as one row of bytes.
-                seqs = starts + (at - part.start)
+                # By the position of a record's end, which lies in one slice only.
+                seqs = ends + (at - part.start)
             yield pa.RecordBatch.from_arrays(
                 [values, pa.repeat(pa.scalar(part.name, pa.string()), len(values)), pa.array(starts + at), pa.array(ends + at), pa.array(seqs + part.base)],
                 names=["value", "file", "start_pos", "end_pos", "seq"],
@@ -547,6 +629,8 @@ class Tail:
 
     def _rows(self, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Texts of lines without their ends, and where they start and end."""
+        if self.unit > 1:
+            return self._wide_rows(data)
         raw = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(raw == 10) + 1
         if not len(ends) or ends[-1] < len(raw):
@@ -564,11 +648,25 @@ class Tail:
                 pass
         return pa.array([row.decode(self.charset, "replace") for row in binary.to_pylist()], pa.string()), starts, ends
 
+    def _wide_rows(self, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The same for code units of two or four bytes."""
+        kind = f"{'<' if self.end_mark[0] else '>'}u{self.unit}"
+        codes = np.frombuffer(data[: len(data) - len(data) % self.unit], kind)
+        ends = np.flatnonzero(codes == 10) + 1
+        if not len(ends) or ends[-1] * self.unit < len(data):
+            ends = np.append(ends, -(-len(data) // self.unit))
+        ends = np.minimum(ends * self.unit, len(data))
+        starts = np.concatenate(([0], ends[:-1]))
+        texts = [data[a:b].decode(self.charset, "replace").removesuffix("\n").removesuffix("\r").removeprefix("\ufeff") for a, b in zip(starts, ends)]
+        return pa.array(texts, pa.string()), starts, ends
+
     def _chunks(self, data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """Neighbouring lines as pieces of at most ``chunk_chars`` characters. A piece
-        starts inside the slice, since its first line does."""
-        text = data.decode(self.charset, "surrogateescape")
-        pieces = [text[i : i + self.chunk_chars].encode(self.charset, "surrogateescape") for i in range(0, len(text), self.chunk_chars)]
+        """Pieces of at most ``chunk_chars`` characters."""
+        errors = "surrogateescape" if self.unit == 1 else "surrogatepass"
+        odd = len(data) % self.unit  # a broken last character
+        text = data[: len(data) - odd].decode(self.charset, errors)
+        pieces = [text[i : i + self.chunk_chars].encode(self.charset, errors) for i in range(0, len(text), self.chunk_chars)]
+        pieces += [data[len(data) - odd :]] if odd else []
         ends = np.cumsum([len(p) for p in pieces])
         return pa.array([p.decode(self.charset, "replace") for p in pieces], pa.string()), ends - [len(p) for p in pieces], ends
 

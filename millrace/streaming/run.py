@@ -11,6 +11,7 @@ from millrace.operators.log import log_records
 from millrace.operators.patterns import check_pattern
 from millrace.plans.flow import load_config, parse_flow, transform
 from millrace.sources import storage
+from millrace.sources.files import cursor_place, keep_inventory
 from millrace.sources.json_frames import stamp_source, to_envelope
 from millrace.sources.tail import register_tail
 from millrace.streaming.delivery import blackhole_sink, write_blackhole
@@ -107,9 +108,16 @@ def _tap_gate(endpoint) -> str | None:
     return value.rstrip("/").rsplit("/", 1)[-1]
 
 
-def tap_stream(spark: SparkSession, config: dict | str, checkpoint: str | None = None, **reader_options) -> DataFrame:
+def tap_stream(
+    spark: SparkSession, config: dict | str, checkpoint: str | None = None, cursor: str | None = None, catalogue: str | None = None, **reader_options
+) -> DataFrame:
     """A tap's records, stamped with their source: ``value``, ``source``, ``file``,
-    ``start_pos``, ``end_pos``, ``seq``."""
+    ``start_pos``, ``end_pos``, ``seq``.
+
+    A new tap may start at a saved ``cursor``. Its file is looked up in the index that is kept in
+    the folder ``catalogue`` (:func:`millrace.keep_inventory`), which is brought up to date
+    first; a file that is not there any more stands for the first known one.
+    """
     target, source_id, tags, _ = _tap_parts(load_config(config))
     for key in ("mainPattern", "rollPattern"):
         check_pattern(spark, target[key])
@@ -118,6 +126,13 @@ def tap_stream(spark: SparkSession, config: dict | str, checkpoint: str | None =
     reader = reader.option("mainPattern", target["mainPattern"]).option("rollPattern", target["rollPattern"])
     for key, value in reader_options.items():
         reader = reader.option(key, value)
+    if cursor is not None and catalogue is None:
+        raise FlowConfigError("A cursor names a file by its number: give the folder of the file index")
+    if catalogue is not None:
+        known = keep_inventory(spark, target["directory"], target["mainPattern"], target["rollPattern"], catalogue)
+        if cursor is not None:
+            name, chars = cursor_place(known, cursor) or ("", 0)
+            reader = reader.option("cursorFile", name).option("cursorChars", chars)
     resume = storage.last_offset(spark, checkpoint) if checkpoint else None
     if resume is not None:
         reader = reader.option("resumeFrom", resume)

@@ -1,4 +1,5 @@
 import gzip
+import json
 import os
 import time
 
@@ -405,3 +406,159 @@ def test_packed_file_shifted_after_planning(logs):
     os.rename(os.path.join(logs, "app-1.log.gz"), os.path.join(logs, "app-2.log.gz"))
     put(logs, "app-1.log.gz", header + "2,info,newer text\n", age=60)
     assert [v for part in parts for batch in source.records(part) for v in batch.column("value").to_pylist()] == [header.strip(), "1,info,old text"]
+
+
+@pytest.mark.parametrize("charset", ["UTF-16LE", "UTF-16BE", "UTF-32LE", "UTF-32BE"])
+@pytest.mark.parametrize("slice_bytes", [7, 64, 1 << 20])
+def test_code_units_of_more_bytes(logs, charset, slice_bytes):
+    # Line ends of one byte inside characters: U+0A00, U+000A's bytes the other way round, U+0D0A.
+    lines = [f"l {i} ਊ਀ഊ \U0001f600 " + "Ċ" * (i % 9) for i in range(40)] + ["", "crlf\r", "last"]
+    text = "\n".join(lines) + "\n"
+    put(logs, "app.log", text.encode(charset))
+    source = tail(logs, charset=charset, sliceBytes=str(slice_bytes))
+    rows = read(source, {}, source.latest({}))
+    assert [r["value"] for r in rows] == [x.removesuffix("\r") for x in lines]
+    data = text.encode(charset)
+    assert all(data[r["start_pos"] : r["end_pos"]].decode(charset).rstrip("\r\n") == r["value"] for r in rows)
+    assert len({r["seq"] for r in rows}) == len(rows)
+    for size in ("1", "50", "100000"):
+        pieces = tail(logs, charset=charset, sliceBytes=str(slice_bytes), chunkChars=size)
+        got = values(pieces, {}, pieces.latest({}))
+        assert "".join(got) == text and max(map(len, got)) <= int(size)
+
+
+def test_byte_order_mark_is_no_text(logs):
+    put(logs, "app.log", "﻿first line\nsecond\n".encode("UTF-16LE"))
+    source = tail(logs, charset="UTF-16LE")
+    assert values(source, {}, source.latest({})) == ["first line", "second"]
+
+
+@pytest.mark.parametrize("charset", ["UTF-8", "ISO-8859-1", "UTF-16LE", "windows-1252"])
+def test_pieces_come_without_a_line_end(logs, charset):
+    """A file that grows by single bytes and has no line end: each character comes once."""
+    text = "no line end, é ü ß " + ("\U0001f600 中" if charset.startswith("UTF") else "") + " and more"
+    data = text.encode(charset)
+    source = tail(logs, charset=charset, chunkChars="5")
+    offset, got = {}, ""
+    for k in range(20, len(data) + 1):
+        put(logs, "app.log", data[:k])
+        after = source.latest(offset)
+        got += "".join(values(source, offset, after))
+        offset = after
+    assert got == text
+    assert source.plan(offset, source.latest(offset)) == []
+
+
+def test_driver_looks_for_no_line_ends(logs, monkeypatch):
+    from millrace.sources.tail import Tail
+
+    monkeypatch.setattr(Tail, "_boundary", lambda *a: pytest.fail("a line end was looked for"))
+    put(logs, "app.log", "a line that is long\nhalf")
+    source = tail(logs, maxBytesPerTrigger="25")
+    one = source.latest({})
+    put(logs, "app.log", " a line\n" + "x" * 100, mode="a")
+    two = source.latest(one)
+    source.plan(one, two)
+    assert two["app.log"]["pos"] == 49
+
+
+def test_lines_longer_than_batches_and_slices(logs):
+    lines = ["x" * 300, "y" * 50, "", "z" * 1000]
+    put(logs, "app.log", "\n".join(lines) + "\n")
+    source = tail(logs, maxBytesPerTrigger="40", sliceBytes="16")
+    offset, rows = {}, []
+    while True:
+        after = source.latest(offset)
+        if after == offset:
+            break
+        rows += read(source, offset, after)
+        offset = after
+    assert [r["value"] for r in rows] == lines and len({r["seq"] for r in rows}) == len(rows)
+
+
+def test_last_line_comes_when_its_file_is_rolled(logs):
+    """Read to its end while it was the newest; without a line end, and never touched again."""
+    source = tail(logs, settleSeconds="0.2")
+    put(logs, "app.log", "a line that is long\nno end", age=5)
+    one = source.latest({})
+    assert values(source, {}, one) == ["a line that is long"]
+    os.rename(os.path.join(logs, "app.log"), os.path.join(logs, "app-1.log"))
+    put(logs, "app.log", "a new log that is long\n", age=2)
+    two = source.latest(one)
+    assert values(source, one, two) == ["no end", "a new log that is long"]
+    assert source.plan(two, source.latest(two)) == []
+
+
+def test_offset_does_not_grow_with_finished_files(logs):
+    sizes = []
+    for n in (5, 60):
+        for k in range(n):
+            put(logs, f"app-{k:03d}.log", f"file {k} and its only line\n", age=100_000 - k)
+        put(logs, "app.log", "the newest of the files\nhalf")
+        source = tail(logs, keepFinishedSeconds="50000")
+        one = source.latest({})
+        assert len(values(source, {}, one)) == n + 1 and len(one) == n + 1
+        two = source.latest(one)
+        assert values(source, one, two) == []
+        sizes.append(len(two))
+        put(logs, "app.log", " a line\n", mode="a")
+        three = source.latest(two)
+        assert values(source, two, three) == ["half a line"] and set(three) == {"app.log", "#done"}
+    assert sizes[0] == sizes[1] == 2
+
+
+def test_gone_files_are_kept_as_long_as_wanted(logs):
+    put(logs, "app.log", "one of the lines\ntwo\n")
+    for seconds, more in (("3600", ["three"]), ("0", ["one of the lines", "two", "three"])):
+        source = tail(logs, keepGoneSeconds=seconds)
+        one = source.latest({})
+        os.rename(os.path.join(logs, "app.log"), os.path.join(logs, "away.tmp"))
+        two = source.latest(one)
+        os.rename(os.path.join(logs, "away.tmp"), os.path.join(logs, "app-1.log"))
+        put(logs, "app-1.log", "three\n", mode="a")
+        assert values(source, two, source.latest(two)) == more
+        os.remove(os.path.join(logs, "app-1.log"))
+        put(logs, "app.log", "one of the lines\ntwo\n")
+
+
+def test_cursor_by_seed_and_number(spark, logs, tmp_path):
+    kept = str(tmp_path / "index")
+    names = ["app-1.log", "app-2.log", "app.log"]
+    for k, name in enumerate(names):
+        put(logs, name, f"the lines of file {k}\nsecond\n", age=30 - k)
+    assert m.kept_inventory(spark, kept) is None
+    first = m.keep_inventory(spark, logs, "^app[.]log$", "^app-", kept, seed=7)
+    assert [(r.seed, r.resourceId, r.name) for r in first.orderBy("resourceId").collect()] == [(7, k, n) for k, n in enumerate(names)]
+    os.remove(os.path.join(logs, "app-1.log"))
+    put(logs, "app-3.log", "the lines of file 3\nsecond\n", age=25)
+    again = m.keep_inventory(spark, logs, "^app[.]log$", "^app-", kept, seed=8)
+    assert [(r.seed, r.resourceId, r.name) for r in again.orderBy("resourceId").collect()] == [(7, 1, "app-2.log"), (7, 2, "app-3.log"), (7, 3, "app.log")]
+    cursor = lambda seed, number, pos=0: json.dumps({"fileCursor": {"idx": {"seed": seed, "rId": number}, "pos": pos}})
+    assert m.cursor_place(again, cursor(7, 2, 5)) == ("app-3.log", 5)
+    assert m.cursor_place(again, cursor(7, 0)) is None and m.cursor_place(again, cursor(9, 2)) is None
+    config = {
+        "source": {"class": "file", "props": {"target": {"directory": logs, "mainPattern": "^app[.]log$", "rollPattern": "^app-"}}},
+        "endpoint": {"class": "gate", "props": {"name": "g"}},
+    }
+    root = str(tmp_path / "root")
+    with pytest.raises(m.FlowConfigError):
+        m.tap_stream(spark, config, cursor=cursor(7, 2))
+    for name, place, want in (("a", cursor(7, 2, 20), ["second", "second", "the lines of file 2"]), ("b", cursor(9, 2), ["second"] * 3 + ["the lines of file 1", "the lines of file 2", "the lines of file 3"])):
+        config["endpoint"]["props"]["name"] = name
+        m.run_tap(spark, name, config, root, {"availableNow": True}, cursor=place, catalogue=kept, settleSeconds=0).awaitTermination()
+        assert sorted(r.value for r in m.read_gate(spark, name, root).select("event.value").collect()) == want
+
+
+def test_rolling_files_in_wide_charsets(spark, logs):
+    put(logs, "app-1.log", "älter und länger ਊ\nzwei\n".encode("UTF-16BE"), age=5)
+    put(logs, "app.log", "neu, mit Text 中\n".encode("UTF-16BE"))
+    rows = m.read_rolling(spark, logs, "^app[.]log$", "^app-", charset="UTF-16BE").collect()
+    assert sorted((r.value, r.file_name, r.rolled, r.file_size) for r in rows) == [
+        ("neu, mit Text 中", "app.log", False, 32), ("zwei", "app-1.log", True, 48), ("älter und länger ਊ", "app-1.log", True, 48),
+    ]
+    put(logs, "euro.log", "preis 5 € und mehr\n".encode("windows-1252"))
+    assert [r.value for r in m.read_rolling(spark, logs, "euro", "(?!)", charset="windows-1252").collect()] == ["preis 5 € und mehr"]
+    with pytest.raises(m.FlowConfigError):
+        m.read_rolling(spark, logs, "a", "b", charset="no-such-charset")
+    with pytest.raises(m.FlowConfigError):
+        m.stream_rolling(spark, logs, "a", "b", charset="UTF-16BE")
