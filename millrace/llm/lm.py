@@ -185,8 +185,8 @@ def _count(part: pa.Table) -> pa.Table:
     grams = [np.cumsum(unpack(g), dtype=np.uint64) for g in part.column("grams").to_pylist()]
     times = [unpack(t) for t in part.column("times").to_pylist()]
     every, back = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, back, np.concatenate(times))
+    # Sums of doubles are exact up to 2**53.
+    total = np.bincount(back, weights=np.concatenate(times), minlength=len(every)).astype(np.int64)
     edges = np.cumsum([len(g) for g in grams])[:-1]
     replies = [pack(_narrow(total[b])) for b in np.split(back, edges)]
     return pa.table({"chunk": pa.array(chunks, pa.string()), "part": pa.array([number] * len(chunks), pa.int32()), "n": pa.array([n] * len(chunks), pa.int32()), "data": pa.array(replies, pa.binary()), "ids": pa.nulls(len(chunks), pa.list_(pa.string()))})
@@ -241,7 +241,9 @@ def _score(order: int, alpha: float, total: int):
         for n, gram, here in block.grams(order):
             found, counts = tables[n - 1]
             own = np.zeros(n_words, np.int64)
-            own[here] = counts[np.searchsorted(found, gram[here])].astype(np.int64) - 1
+            # Looked up in order, neighbours in the table come one after the other.
+            order_here = np.flatnonzero(here)[np.argsort(gram[here])]
+            own[order_here] = counts[np.searchsorted(found, gram[order_here])].astype(np.int64) - 1
             depth[here] = n
             # The context of the n-gram that ends here is the (n - 1)-gram that ends a word before.
             context = shorter if n == 1 else np.concatenate((shorter[:1], shorter[:-1]))
@@ -262,12 +264,35 @@ def _score(order: int, alpha: float, total: int):
     return score
 
 
+#: Bytes that stand between words, as ``bytes.split()`` has it.
+_BETWEEN = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def words_in(texts: pa.Array) -> int:
+    """Words of all texts: where a byte of a word follows one that is not, or a text begins."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or ends[0] == ends[-1]:
+        return 0
+    between = _BETWEEN[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    starts = ~between
+    starts[1:] &= between[:-1]
+    begin = ends[:-1][np.diff(ends) > 0] - ends[0]
+    starts[begin] = ~between[begin]
+    return int(starts.sum())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.record_batch([pa.array([sum(words_in(b.column(0).slice(at, 1024)) for b in batches for at in range(0, len(b), 1024))], pa.int64())], ["n"])
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Per document: ``doc_id, n_words, micro`` (sum of log scores, in millionths), and
     ``n0`` ... ``n{order}``: words scored by n-grams of each length (0: seen nowhere else)."""
     slim = docs.select("doc_id", "text")
     kind = dict(slim.dtypes)["doc_id"]
-    total = slim.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
+    total = slim.select("text").mapInArrow(_counted, "n long").agg(F.sum("n")).first()[0] or 0
     bits = min(16, max(4, (total // PART_GRAMS).bit_length()))
     asked = slim.mapInArrow(_ask(order, chunk_words, bits), "part int, chunk string, n int, grams binary, times binary")
     row = "chunk string, part int, n int, data binary, ids array<string>"

@@ -114,6 +114,15 @@ def test_scores_against_brute_force(spark, small, order, size):
     assert all(abs(r[2] - w[1]) <= w[0] for r, w in zip(rows, want))  # a millionth a word, at rounding edges
 
 
+def test_counting_words(small):
+    import pyarrow as pa
+
+    texts = [r.text for r in small.collect()] + ["", None, " ", "a", "a b", " a", "b ", "\x0b\x0c\ta\n\rb", "é\u00a0ü\u2003x", None]
+    want = sum(len(lm.split_words(t)) for t in texts)
+    assert lm.words_in(pa.array(texts, pa.string())) == want == sum(lm.words_in(pa.array(texts).slice(k, 7)) for k in range(0, len(texts), 7))
+    assert lm.words_in(pa.array([], pa.string())) == 0 and lm.words_in(pa.array([None, ""], pa.string())) == 0
+
+
 def test_scores_of_odd_rows(spark, hostile, nothing):
     rows = lm.lm_scores(hostile).collect()
     assert len(rows) == hostile.count() and all(r.micro == 0 for r in rows if not r.n_words) and all(r.micro < 0 for r in rows if 0 < r.n_words < 100)
