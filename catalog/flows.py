@@ -406,6 +406,22 @@ def grok_fold(spark, sf):
     return m.apply_flow(table(spark, sf, "documents"), steps).select("doc_id", "initials")
 
 
+@query(
+    """SELECT event_id, CASE WHEN n % 2 = 1 THEN event_type END AS plain, CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) END AS k,
+              CASE WHEN n % 2 = 0 THEN n || '+' || n END AS twice
+       FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS n FROM events)"""
+)
+def grok_structure(spark, sf):
+    """A match makes an object of a field that stays a text in other records."""
+    steps = [grok("props", r": (\d*[02468])\}", "n", "event_type.k,event_type.twice", "${n},${event_type.k}+${event_type.k}", "s,s")]
+    out = m.apply_flow(table(spark, sf, "events").select("event_id", "event_type", "props"), steps, "json")
+    pick = lambda path: F.get_json_object("event", path)
+    k = pick("$.event_type.k")
+    return out.select(
+        pick("$.event_id").cast("bigint").alias("event_id"), F.when(k.isNull(), pick("$.event_type")).alias("plain"), k.alias("k"), pick("$.event_type.twice").alias("twice")
+    )
+
+
 @query(
     r"""SELECT doc_id, nullif(regexp_extract(text, '(?m)^(\w)', 1), '') AS initial FROM documents"""
 )
@@ -477,6 +493,26 @@ def json_roundtrip(spark, sf):
     return back.select("body.event_id", "body.props.k", "body.event_type", "body.props.sub")
 
 
+@query(
+    """SELECT event_id, event_type AS kind, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_type || '!' AS label,
+              CASE WHEN event_type = 'error' THEN 'yes' END AS bad FROM events"""
+)
+def json_schemaless(spark, sf):
+    """JSON text without a declared schema: fields are looked up, set and printed all the same."""
+    body = F.to_json(F.struct("event_id", F.struct(F.col("event_type").alias("kind"), F.from_json("props", "k bigint").alias("props")).alias("about")))
+    frames = m.from_json_frames(table(spark, sf, "events").select(body.alias("v")), "v", "variant")
+    steps = [
+        enrich(("v.label", "${v.about.kind}!")),
+        enrich(("v.about.bad", "yes"), when=field("v.about.kind", is_="^error$")),
+    ]
+    out = m.apply_flow(frames, steps, "json")
+    pick = lambda path: F.get_json_object("event", f"$.v.{path}")
+    return out.select(
+        pick("event_id").cast("bigint").alias("event_id"), pick("about.kind").alias("kind"), pick("about.props.k").cast("bigint").alias("k"),
+        pick("label").alias("label"), pick("about.bad").alias("bad"),
+    )
+
+
 @query(
     """SELECT event_id, CAST(user_id AS DOUBLE) AS of_number, CAST(0 AS DOUBLE) AS of_text,
               CAST(CASE WHEN user_id = 7 THEN 1 ELSE 0 END AS DOUBLE) AS of_flag, CAST(0 AS DOUBLE) AS of_array

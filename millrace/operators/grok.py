@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.coerce import same_type
-from millrace.functions.paths import Path, overlaps, parse_path
+from millrace.errors import FlowConfigError
+from millrace.functions.paths import Path, dotted, overlaps, parse_path
 from millrace.functions.templates import parse_template
 from millrace.operators.conditions import required_text
 from millrace.operators.enrich import Setting, apply_setting
 from millrace.operators.patterns import check_pattern
 from millrace.plans.frame import Frame
-from millrace.plans.scope import OVERFLOW_TYPE, Leaf, Scope, check_type, convert, unify
+from millrace.plans.scope import OVERFLOW_TYPE, VARIANT, Leaf, Scope, check_type, convert, is_variant, unify
 
 
 # Stands around the groups of a match while they are cut out of a text.
@@ -228,9 +229,9 @@ def _gather(after: Scope, scope: Scope, path: Path, setting: Setting, found: Fou
 
 
 def _fold(frame: Frame, settings: list[Setting], found: Found) -> Frame:
+    frame, loose = _loosened(frame, settings)
     scope, matches = frame.scope, found.lists
-    _reject_clashes(scope, settings)
-    types, changed = _stable_types(scope, settings, matches)
+    types, changed = _stable_types(scope, settings, matches, loose)
     dynamic = scope.overflow is not None or any(_fixed_path(s) is None for s in settings)
     options = scope.options
 
@@ -257,7 +258,7 @@ def _fold(frame: Frame, settings: list[Setting], found: Found) -> Frame:
             faults=state["faults"] if options.track_faults else None,
         )
         for setting in settings:
-            inside = apply_setting(inside, setting, None)
+            inside = _set_in_fold(inside, setting, loose)
         return pack(inside.leaves, inside.overflow, inside.faults)
 
     start = pack(scope.leaves, scope.overflow, scope.faults)
@@ -278,16 +279,34 @@ def _fold(frame: Frame, settings: list[Setting], found: Found) -> Frame:
     return frame.commit(scope, after)
 
 
-def _reject_clashes(scope: Scope, settings: list[Setting]) -> None:
-    # Types have to be the same before and after any match.
-    scope = replace(scope, strict=True)
-    for setting in settings:
-        path = _fixed_path(setting)
-        if path is not None:
-            scope = scope.assign(path, F.lit(""), setting.code, F.lit(True))
+def _set_in_fold(scope: Scope, setting: Setting, loose: set[Path]) -> Scope:
+    """One set; a field without a fixed shape stays one whatever it is set to."""
+    scope, path = apply_setting(scope, setting, None), _fixed_path(setting)
+    if path not in loose or is_variant(scope.leaves[path].dtype):
+        return scope
+    return replace(scope, leaves={**scope.leaves, path: Leaf(convert(scope.leaves[path], VARIANT), VARIANT)})
 
 
-def _stable_types(scope: Scope, settings: list[Setting], matches) -> tuple[dict[Path, T.DataType], list[Path]]:
+def _loosened(frame: Frame, settings: list[Setting]) -> tuple[Frame, set[Path]]:
+    """The frame with every field whose structure a match may change as one value without a
+    fixed shape, so that it has the same type before and after any match. Sets below such a
+    field patch it; a set of the field itself replaces it."""
+    scope = frame.scope
+    paths = [p for p in map(_fixed_path, settings) if p is not None]
+    # Sets of a map's keys leave it the map it is.
+    other = [q for q in (*scope.leaves, *paths) if q not in scope.leaves or not isinstance(scope.leaves[q].dtype, T.MapType)]
+    tops = {min(p, q, key=len) for p in paths for q in other if p != q and overlaps(p, q)}
+    loose = [t for t in tops if t in scope.leaves and is_variant(scope.leaves[t].dtype)]
+    for top in sorted(tops - set(loose)):
+        if any(other != top and other == top[: len(other)] for other in tops):
+            continue  # a part of one that is loosened as a whole
+        if scope.overflow is not None:
+            raise FlowConfigError(f"{dotted(top)!r}: a match cannot change the shape of a field beside fields whose names come from data")
+        scope = scope.loosened(top)
+    return frame.commit(frame.scope, scope), {p for p in paths if p in scope.leaves and is_variant(scope.leaves[p].dtype)}
+
+
+def _stable_types(scope: Scope, settings: list[Setting], matches, loose: set[Path]) -> tuple[dict[Path, T.DataType], list[Path]]:
     """Types that fields can hold before and after any match, and the fields a match
     changes. Only the types of the trial expressions are looked at."""
     types = {path: leaf.dtype for path, leaf in scope.leaves.items()}
@@ -295,7 +314,7 @@ def _stable_types(scope: Scope, settings: list[Setting], matches) -> tuple[dict[
         before = {path: Leaf(F.lit(None).cast(dtype), dtype) for path, dtype in types.items()}
         trial = replace(scope, leaves=before, ctx={**scope.ctx, **{name: F.lit("") for name in matches}})
         for setting in settings:
-            trial = apply_setting(trial, setting, None)
+            trial = _set_in_fold(trial, setting, loose)
         grown = {
             path: unify(types[path], leaf.dtype, scope.options.number) if path in types else leaf.dtype
             for path, leaf in trial.leaves.items()

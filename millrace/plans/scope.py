@@ -140,7 +140,6 @@ class Scope:
     ctx_map: Column | None = None
     overflow: Column | None = None
     faults: Column | None = None
-    strict: bool = False
 
     # -- lookups ---------------------------------------------------------------
 
@@ -324,11 +323,11 @@ class Scope:
             return self._put_in_map(holder, path[-1], value, code, cond)
         clashes = [p for p in self.leaves if p != path and overlaps(p, path)]
         if clashes and cond is not None:
-            if self.strict or self.overflow is not None:
+            if self.overflow is not None:
                 raise FlowConfigError(
-                    f"{dotted(path)!r}: a match cannot replace {dotted(clashes[0])!r}, which has another shape, in some records only"
+                    f"{dotted(path)!r}: a set cannot replace {dotted(clashes[0])!r}, which has another shape, in some records only, beside fields whose names come from data"
                 )
-            return self._loosened(min([path, *clashes], key=len)).put(path, value, code, cond)
+            return self.loosened(min([path, *clashes], key=len)).put(path, value, code, cond)
         if len(code) == 2:
             # A plain value above the path is replaced, not appended to.
             above = any(p == path[: len(p)] for p in clashes)
@@ -365,9 +364,9 @@ class Scope:
                 return path[:cut]
         return None
 
-    def _loosened(self, top: Path) -> "Scope":
+    def loosened(self, top: Path) -> "Scope":
         """Scope in which a field and all below it are one value without a fixed shape."""
-        leaf = self._typed(top)
+        leaf = self._typed(top) or Leaf(F.lit(None).cast(VARIANT), VARIANT)
         if is_variant(leaf.dtype):
             column = leaf.column
         elif isinstance(leaf.dtype, (T.StructType, T.MapType)):  # by way of JSON, which leaves absent fields out

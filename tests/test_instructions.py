@@ -476,3 +476,35 @@ def test_numbers_are_copied_without_a_detour(spark, apply):
     ]
     df = m.apply_flow(spark.createDataFrame(rows, "n long, a string"), [enrich(("m", "${n}", "n"))])
     assert "RLIKE" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_change_the_structure_of_fields(apply):
+    rows = [("x1", "t", 1), ("y", "u", 2), ("x2x3", "v", 3)]
+    steps = [grok("k", r"x(\d)", "d", "a.n,a.all,a.again", "${d},${a.all}${d},${a.n}", "n,s,s")]
+    assert apply(rows, "k string, a string, i int", steps) == [
+        {"k": "x1", "a": {"n": 1, "all": "1", "again": "1"}, "i": 1},
+        {"k": "y", "a": "u", "i": 2},
+        {"k": "x2x3", "a": {"n": 3, "all": "23", "again": "3"}, "i": 3},
+    ]
+    # An object becomes a plain value, other records keep theirs.
+    nested = [("x1", ("p", 1)), ("y", ("q", 2)), ("x", None)]
+    steps = [grok("k", r"x(\d)", "d", "o,copy", "${d},${o}", "s,s")]
+    assert apply(nested, "k string, o struct<s: string, n: int>", steps) == [
+        {"k": "x1", "o": "1", "copy": "1"},
+        {"k": "y", "o": {"s": "q", "n": 2}},
+        {"k": "x"},
+    ]
+    # Both in one step: the field, then what is below it; and nothing of it was there before.
+    steps = [grok("k", r"x(\d)", "d", "z,z.w,z.v", "${d},${z}-,${z.w}", "s,s,s")]
+    assert apply([("x1",), ("y",)], "k string", steps) == [{"k": "x1", "z": {"w": "1-", "v": "1-"}}, {"k": "y"}]
+    # Later steps and array fields go on with it.
+    steps = [grok("k", r"x(\d)", "d", "a.n,b", "${d},${a.n}", "s,as"), enrich(("c", "<${a.n}|${a}>"))]
+    assert [r["c"] for r in apply([("x1x2", "t"), ("y", "u")], "k string, a string", steps)][1] == "<|u>"
+
+
+def test_matches_keep_maps_and_reject_shapes_beside_made_names(apply, spark):
+    out = m.apply_flow(spark.sql("SELECT 'x1x2' AS k, map('p', 'q') AS a"), [grok("k", r"x(\d)", "d", "a.n,b", "${d},${a.n}${a.n}", "s,s")], "json")
+    assert json.loads(out.first().event) == {"k": "x1x2", "a": {"p": "q", "n": "2"}, "b": "22"}
+    steps = [enrich(("${k}", "v")), grok("k", r"x(\d)", "d", "a.n,a.m", "${d},${a.n}", "s,s")]
+    with pytest.raises(m.FlowConfigError, match="beside fields"):
+        apply([("x1", "t")], "k string, a string", steps)
