@@ -77,7 +77,9 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opti
 _BOUND = frozenset("ul ol dl table select article section div body html td th blockquote main".split())
 
 _MARKUP = re.compile(r"<!--|<!|<\?|</?[A-Za-z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|$)""", re.I)
+#: One attribute after the other, each with its value, so that no value is taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NAMES = re.compile("class|id|role|hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PIECE = re.compile(r"[^a-z]+")
 
@@ -106,14 +108,21 @@ def _tag_end(page: str, at: int) -> int:
         at = other + 1
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
+def attributes_of(text: str) -> list[tuple[str, str]]:
+    """Names, lowered, and values of the attributes that say what an element is for."""
+    if not text or not _NAMES.search(text):
+        return []
+    found = ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text))
+    return [(name, value) for name, value in found if name in ("class", "id", "role", "hidden", "aria-hidden")]
+
+
+def is_boilerplate(tag: str, attributes: list[tuple[str, str]]) -> bool:
     """Whether an element is boilerplate whatever it holds."""
     if tag in BOILERPLATE:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "role" and value.lower() in ROLES:
@@ -121,16 +130,15 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
-def mark_of(tag: str, attributes: str) -> int:
+def mark_of(tag: str, attributes: list[tuple[str, str]]) -> int:
     """What class and id say: 0, or the strongest of WEAK (a mark with the state of a layout),
     STRONG and LISTING. Denied marks (``has-sidebar``) say nothing."""
-    if not attributes or tag in ("html", "body") or tag in CONTENT and "comment" not in attributes.lower():
+    named = [value for name, value in attributes if name in ("class", "id")]
+    if not named or tag in ("html", "body") or tag in CONTENT and all("comment" not in value.lower() for value in named):
         return 0
     found = 0
-    for m in _ATTRIBUTE.finditer(attributes):
-        if m[1].lower() not in ("class", "id"):
-            continue
-        for token in (m[2] or m[3] or m[4] or "").split():
+    for value in named:
+        for token in value.split():
             pieces = [p for p in _PIECE.split(_CAMEL.sub("-", token).lower()) if p]
             for k, piece in enumerate(pieces):
                 if piece in DENY:
@@ -198,8 +206,9 @@ def read_page(page: str) -> list[tuple]:
             opened[node.tag] -= 1
             node = node.parent
         attributes = page[mark.end() : close - 1]
-        bad = node.bad or is_boilerplate(tag, attributes)
-        child = Node(tag, node, bad, len(out), 0 if bad else mark_of(tag, attributes))
+        known = attributes_of(attributes)
+        bad = node.bad or is_boilerplate(tag, known)
+        child = Node(tag, node, bad, len(out), 0 if bad else mark_of(tag, known))
         nodes.append(child)
         out.append((None, tag, child))
         if tag in RAW:

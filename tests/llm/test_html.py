@@ -78,3 +78,15 @@ def test_layout_wrappers_keep_their_page():
         assert text_of(f"<div>{want[:5]}<p>{BODY}</p></div><div class='{name}'><p>{BODY * 5}</p></div>") == want, name
         assert text_of(f"{inner}<div class='{name}'><article><p>{BODY * 5}</p></article></div>") == want, name
     assert text_of(f"<div class=comments><article><p>{BODY}</p></article></div>") == ""
+
+
+def test_values_are_no_names():
+    inner = f"<article><h1>Title</h1><p>{BODY}</p></article>"
+    want = f"Title\n{BODY.strip()}"
+    for attribute in (
+        "data-hidden='false'", "title='the hidden truth'", "data-id='sidebar'", "data-role='banner'", 'style="content: hidden"', "alt='role=banner'",
+        "aria-label='hidden menu'", "data-x=hidden", "title = \"a class='sidebar' of its own\"", "data-aria-hidden=true", "x='1' data-class=nav", "href=/hidden/id",
+    ):
+        assert text_of(f"<body><div {attribute}>{inner}</div><footer>f</footer></body>") == want, attribute
+    for attribute in ("hidden", "HIDDEN", "title='x' hidden", "data-a=1 role='banner'", "aria-hidden = \"true\"", "hidden=''", "x=\"a'b\" hidden"):
+        assert text_of(f"<body>{inner}<div {attribute}><p>{BODY * 5}</p></div></body>") == want, attribute
