@@ -151,11 +151,20 @@ class LanguageModel:
         return lang, max(0.0, min(1.0, sure * surer))
 
 
-def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 7) -> LanguageModel:
+def likely_ids(docs: DataFrame, per_lang: int, seed: int) -> DataFrame:
+    """``doc_id, lang, _h``: ids of labelled documents, of each language some more than are wanted.
+
+    They are cut by their hash where they are read, before any of them meet by language: the sizes
+    of languages that need a cut are broadcast, a row for each of over ``2 * per_lang`` documents."""
     ids = docs.select("doc_id", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
     ids = ids.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
-    sizes = ids.groupBy("lang").agg(F.count("*").alias("_rows"))
-    likely = ids.join(sizes, "lang").where(low_hash(F.col("_h"), 2.0 * per_lang / F.col("_rows")))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 2 * per_lang)
+    cut = ids.join(F.broadcast(sizes), "lang", "left")
+    return cut.where(F.col("_rows").isNull() | low_hash(F.col("_h"), 2.0 * per_lang / F.col("_rows"))).drop("_rows")
+
+
+def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 7) -> LanguageModel:
+    likely = likely_ids(docs, per_lang, seed)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = likely.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_lang).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])

@@ -114,3 +114,17 @@ def test_rare_language_leaves_its_family_its_rows(spark):
     fresh = [(" ".join(pick.choices(words[lang], k=6)), lang) for lang in ("en", "de", "fr", "es") for _ in range(100)]
     right = sum(langid.family_of(model.predict(text)[0]) == langid.family_of(lang) for text, lang in fresh) / len(fresh)
     assert right > 0.97
+
+
+def test_languages_are_cut_before_their_ids_meet(spark, monkeypatch):
+    """With a language that has most rows, no exchange by language sees more than the sample and some."""
+    docs = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "fr").otherwise("en").alias("lang"), F.concat(F.lit("some text of number "), F.col("id").cast("string")).alias("text"))
+    rows = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) != 0).groupBy("lang").count()
+    assert {r.lang for r in rows.collect()} == {"en", "fr"}
+    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, rows: rows))
+    sample = langid.fit_languages(docs, per_lang=100)
+    assert Counter(lang for _, lang in sample) == {"en": 100, "fr": 100}
+    ids = langid.likely_ids(docs, 100, 7)
+    assert ids.count() < 600
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
