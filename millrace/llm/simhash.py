@@ -236,19 +236,18 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame, distance: int, segments: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` per document, and ``(fp, root)`` per distinct fingerprint with its
-    smallest id ``least``."""
-    marked = written(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "simhash-fingerprints")
+def _rooted(marked: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``(fp, least, root)`` per distinct fingerprint of ``(doc_id, fp)`` rows, with its smallest id."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links_of(distinct.select("fp"), distance, segments), "simhash-links")
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return marked, rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
     """Per document: ``doc_id, fp, component_id``, the last being the smallest id reachable."""
-    marked, rooted = _grouped(docs, distance, segments, shingle)
+    marked = written(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "simhash-fingerprints")
+    rooted = _rooted(marked, distance, segments)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # A root has as many rows as it has distinct fingerprints, not documents.
     named = rooted.join(ids, "root").select("fp", "component_id")
@@ -262,16 +261,19 @@ def hex_of(fp: Column) -> Column:
 def keep_one(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group of near duplicates, with the columns it had: the one with
     the smallest id (rows without id come last), then with the smallest fingerprint; of rows
-    alike in both, the one with the smallest text and other columns.
+    alike in both, the one with the smallest text and other columns. The documents are written
+    with their fingerprints once, and read again when it is known which stay.
     """
-    marked, rooted = _grouped(docs, distance, segments, shingle)
+    whole = written(with_fingerprint(docs, "__own", shingle=shingle), "simhash-texts")
+    marked = whole.select("doc_id", F.col("__own").alias("fp"))
+    rooted = _rooted(marked, distance, segments)
     rank = F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("id"), "fp")
     chosen = rooted.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
     alike = marked.groupBy(F.col("doc_id").alias("__id2"), F.col("fp").alias("__fp2")).count().where("count > 1")
     same = (F.col("__fp") == F.col("__fp2")) & F.col("__id").eqNullSafe(F.col("__id2"))
     chosen = written(chosen.join(alike, same, "left").select("__id", "__fp", F.col("count").isNotNull().alias("__many")), "simhash-kept")
     there = (F.col("__own") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    held = with_fingerprint(docs, "__own", shingle=shingle).join(chosen, there)
+    held = whole.join(chosen, there)
     single = held.where("NOT __many").select(*docs.columns)
     if chosen.where("__many").isEmpty():
         return single
