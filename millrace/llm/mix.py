@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD, written
 
+SPACE_AND_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Documents of one sorted range of a leaf, about.
 BIN = 4096
 LEVELS = ("domain", "lang", "source")
@@ -129,6 +130,17 @@ def mix(docs: DataFrame, domain: Column, budget: int | None = None, budget_perce
     return chosen.select(*docs.columns, F.col("__domain").alias("mix_domain"), F.col("__epoch").alias("mix_epoch"), F.col("__tokens").alias("mix_tokens"), take.cast("long").alias("mix_take"))
 
 
+def cut_words(text: Column, take: Column) -> Column:
+    """A text up to the end of its ``take``-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(SPACE_AND_WORD), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), take.cast("int")), "")
+
+
+def taken(mixed: DataFrame) -> DataFrame:
+    """Rows of :func:`mix` with no more of their texts than their leaves' quotas take."""
+    return mixed.withColumn("text", F.when(F.col("mix_take") < F.col("mix_tokens"), cut_words(F.col("text"), F.col("mix_take"))).otherwise(F.col("text")))
+
+
 def _cuts(slim: DataFrame, leaves: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     """Per leaf: whole ``epochs``, the order ``key`` at which the next one's prefix ends, and
     the tokens ``spare`` that each document there still gives."""
