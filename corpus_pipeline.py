@@ -4,7 +4,8 @@
 2. ``simhash``: of each group of near duplicates one document stays.
 3. ``decontaminate``: contaminated documents go; windows of benchmark items in others are cut.
 4. ``pii``: personal data is masked; every document stays.
-5. ``mix``: sources in the target weights; a row for each epoch a document is in.
+5. ``mix``: sources in the target weights; a row for each epoch a document is in, its text
+   cut where a leaf's prefix ends.
 
 Every stage but the last returns the columns of ``documents``. Stages are written as Parquet
 to the shared folder and read again. SQL cannot express the learned stages, so there is no
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import read_table, written
 from millrace.llm.decontaminate import decontaminate
+from millrace.llm.mix import taken
 from millrace.llm.pii import mask_pii
 from millrace.llm.queries import mixed
 from millrace.llm.simhash import keep_one
@@ -40,7 +42,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs)
+    return taken(mixed(docs))
 
 
 STAGES = [
