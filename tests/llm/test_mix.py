@@ -91,3 +91,30 @@ def test_odd_rows(hostile, nothing):
     assert all(0 < r.mix_take <= r.mix_tokens for r in rows)
     assert m.mix(nothing, m.source_group()).count() == 0
     assert m.mix(hostile, m.source_group(), budget=0).count() == 0
+
+
+def test_texts_are_cut_where_the_prefix_ends(spark):
+    texts = [" one  two\tthree\n\nfour five ", "a b c d e f g", "ß é\x0bü", "x" * 10]
+    docs = spark.createDataFrame([(k, texts[k % 4], "en", f"src{k % 3}") for k in range(60)], "doc_id long, text string, lang string, source string")
+    whole = m.mix(docs, m.source_group(), budget_percent=40, max_epochs=2)
+    rows = m.taken(whole).collect()
+    assert [r.mix_take for r in rows] == [len(r.text.encode().split()) for r in rows]
+    leaves = defaultdict(int)
+    for r in rows:
+        leaves[r.source] += len(r.text.split())
+    total = sum(len(texts[k % 4].split()) for k in range(60))
+    assert sum(leaves.values()) == total * 40 // 100 and max(leaves.values()) - min(leaves.values()) <= 2
+    cut = spark.createDataFrame([(t, k) for t in texts for k in range(0, 9)], "text string, n long").select("text", "n", m.cut_words(F.col("text"), F.col("n")).alias("cut")).collect()
+    for r in cut:
+        assert r.text.startswith(r.cut) and r.cut.split() == r.text.split()[: r.n]
+
+
+def test_the_pipeline_takes_what_the_quotas_say(spark):
+    import corpus_pipeline
+    from millrace.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = corpus_pipeline.mix(spark, docs, None).collect()
+    words = sum(len((r.text or "").encode().split()) for r in docs.collect())
+    # Rows alike in id and text round up; ids are unique here.
+    assert sum(len(r.text.encode().split()) for r in out) == words * queries.MIX_PERCENT // 100
