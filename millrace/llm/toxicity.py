@@ -45,6 +45,16 @@ IDENTITY_GROUPS = (
     ("immigrants", "natives"),
     ("disabled", "deaf", "blind"),
     ("old", "young"),
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden", "buddhisten"),
+    ("schwule", "lesben"),
+    ("afrikaner", "europäer", "amerikaner", "asiaten"),
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes"),
+    ("africains", "européens", "américains", "asiatiques"),
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos", "budistas"),
+    ("africanos", "europeos", "americanos", "asiáticos"),
 )
 
 #: Weight of the squared weights in the loss.
@@ -68,14 +78,14 @@ def features(words: set[str]) -> set[str]:
 
 
 def unlike_rows(rows: list[tuple[str, int]], sketches: int = 4) -> list[tuple[str, int]]:
-    """One row of each group of near copies in a sample, so that a text copied often is no
-    more evidence than one: a row goes if it shares one of its ``sketches`` smallest shingle
-    hashes (each by a seed) with an earlier row."""
+    """One row of each group of near copies of one label in a sample, so that a text copied often
+    is no more evidence than one: a row goes if it shares one of its ``sketches`` smallest shingle
+    hashes (each by a seed) with an earlier row of its label. 0 keeps all."""
     kept, taken = [], set()
     for text, label in sorted(rows):
         words = text.lower().encode("utf-8", "surrogatepass").split()
         shingles = {b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
-        marks = {(seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in range(sketches)}
+        marks = {(label, seed, min(xxhash.xxh64_intdigest(s, seed) for s in shingles)) for seed in range(sketches)}
         if not marks & taken:
             kept.append((text, label))
         taken |= marks
@@ -147,9 +157,10 @@ class _Sample:
         return x
 
 
-def fit_rows(rows: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, max_features: int = 2000, fairness: float = 10.0, penalty: float = PENALTY) -> ToxicityModel:
-    """A model from labelled texts; ``prior`` is the share of label 1 it shall assume."""
-    rows = unlike_rows(rows)
+def fit_rows(rows: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, max_features: int = 2000, fairness: float = 10.0, penalty: float = PENALTY, sketches: int = 4) -> ToxicityModel:
+    """A model from labelled texts; ``prior`` is the share of label 1 it shall assume, ``sketches``
+    that of :func:`unlike_rows`."""
+    rows = unlike_rows(rows, sketches)
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
         return ToxicityModel({}, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
@@ -176,11 +187,11 @@ def fit_rows(rows: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS,
     return ToxicityModel({v: float(c) for v, c in zip(vocabulary, w) if c}, bias)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, groups=IDENTITY_GROUPS, max_features: int = 2000, fairness: float = 10.0) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, groups=IDENTITY_GROUPS, max_features: int = 2000, fairness: float = 10.0, sketches: int = 4) -> ToxicityModel:
     sample, counts = labelled_texts(docs, labels, "toxic", per_class)
     rows = [(r["text"], r["_label"]) for r in sample.toLocalIterator()]  # 2 * per_class texts at most
     known = sum(counts.values())
-    return fit_rows(rows, counts.get(1, 0) / known if known else 0.5, groups, max_features, fairness)
+    return fit_rows(rows, counts.get(1, 0) / known if known else 0.5, groups, max_features, fairness, sketches=sketches)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
