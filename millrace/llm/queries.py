@@ -10,7 +10,7 @@ from millrace.llm.decontaminate import contamination_report
 from millrace.llm.html import extracted
 from millrace.llm.imatch import DIGITS, EMPTY, MAX_IDF, MIN_IDF, SUBSETS, imatch_report
 from millrace.llm.langid import fit_languages, predicted_languages
-from millrace.llm.licenses import NOTICE_PERCENT, SENTENCE_END, TEMPLATES, TERM, THRESHOLD, TRIGGER, license_scan
+from millrace.llm.licenses import NOTICE_PERCENT, SPDX, TEMPLATES, TERM, THRESHOLD, TRIGGER, WRAP, license_scan
 from millrace.llm.lm import lm_scores
 from millrace.llm.mix import mix, source_group
 from millrace.llm.pii import pii_report
@@ -136,6 +136,7 @@ def _fill_sql(name: str, children: str, parent: list[str], level: str) -> str:
 
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SENTENCES = "string_split(regexp_replace({0}, '[.][ \\t]+', '.' || chr(10), 'g'), chr(10))"
 _LINES = [*TEMPLATES, *((name, f"SPDX-License-Identifier: {name}") for name in sorted({t[0] for t in TEMPLATES}))]
 
 
@@ -192,7 +193,8 @@ WITH files AS (
          coalesce(CAST(doc_id AS VARCHAR), 'none') AS name FROM documents
 ), lines AS (
   SELECT dir, name, len(regexp_extract_all(low, '[^\\x20\\x09-\\x0D]+')) AS n_words, notice
-  FROM (SELECT dir, name, {_LOW.format("text")} AS low FROM files), unnest(string_split(regexp_replace(low, '[.][ \\t]+', '.' || chr(10), 'g'), chr(10))) AS t(notice)
+  FROM (SELECT dir, name, {_LOW.format("text")} AS low FROM files), unnest(list_distinct(list_concat(
+    {_SENTENCES.format("low")}, {_SENTENCES.format("regexp_replace(low, '" + WRAP + "', ' \\1', 'g')")}))) AS t(notice)
   WHERE regexp_matches(notice, '{TRIGGER}')
 ), template(license, line) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _LINES)}
 ), ours AS (
@@ -215,7 +217,11 @@ WITH files AS (
 ), own AS (
   SELECT * FROM (
     SELECT dir, name, license, score, n_words, size, row_number() OVER (PARTITION BY dir, name ORDER BY score DESC, license, size DESC, n_words) AS k
-    FROM (SELECT *, len(regexp_extract_all(notice, '[^\\x20\\x09-\\x0D]+')) AS size FROM lines JOIN matched USING (notice))
+    FROM (
+      SELECT dir, name, n_words, license, score, len(regexp_extract_all(notice, '[^\\x20\\x09-\\x0D]+')) AS size FROM lines JOIN matched USING (notice)
+      UNION ALL
+      SELECT dir, name, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), unnest(regexp_extract_all(text, '{SPDX}', 1)), 10000, 2 FROM files
+    )
   ) WHERE k = 1
 ), by_dir AS (
   SELECT dir, license FROM (

@@ -64,6 +64,38 @@ def test_licences_come_from_the_nearest_directory(spark):
     assert licenses.license_scan(table.where("false")).count() == 0
 
 
+def test_headers_titles_and_tags(spark):
+    gpl = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int x;"""
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n"
+    files = {
+        "gpl.c": (gpl, "GPL-3.0"),
+        "gpl2.c": (gpl.replace("3", "2"), "GPL-2.0"),
+        "lgpl.c": (gpl.replace("program", "library").replace("General", "Lesser General").replace("3", "2.1"), "LGPL-2.1"),
+        "agpl.c": (gpl.replace("General", "Affero General"), "AGPL-3.0"),
+        "bsd.py": (bsd + "x = 1\n", "BSD-3-Clause"),
+        "a/LICENSE": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Somebody\n", "GPL-3.0"),
+        "b/LICENSE": ("\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS", "Apache-2.0"),
+        "c/LICENSE": ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"),
+        "d.h": ("// SPDX-License-Identifier: LGPL-2.1-only\n", "LGPL-2.1-only"),
+        "e.h": ("/* spdx-license-identifier: ISC */ int y;", "ISC"),
+        "f.h": ("// SPDX-License-Identifier: Made-Up-1.0.\n", "Made-Up-1.0"),
+        "g/LICENSE": ("ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "ISC"),
+        "h.py": ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n", "Apache-2.0"),
+        "i.js": ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy", "MPL-2.0"),
+        "j.txt": ("prose before\nReleased under the MIT License.\nprose behind it", "MIT"),
+        "k.txt": ("this text speaks of a licence\nand of nothing else at all, in many words", None),
+    }
+    table = spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string")
+    got = {r.path: r.own_license for r in licenses.license_scan(table).collect()}
+    assert got == {p: want for p, (_, want) in files.items()}
+
+
 def test_licence_cosines(spark):
     """Against vectors worked out by hand in Python."""
     notices = ["licensed under the apache license, version 2.0.", "licensed under a license", "all rights reserved worldwide"]
