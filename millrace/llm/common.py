@@ -29,8 +29,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, from a table in the shared folder: computed once, and with no lineage
-    that a lost executor could make Spark run again."""
-    folder = new_folder(df.sparkSession, label)
+    that a lost executor could make Spark run again. All tables of one application are in one
+    folder below the shared one, which may go when the application has ended."""
+    folder = new_folder(df.sparkSession, f"{df.sparkSession.sparkContext.applicationId}/{label}")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
