@@ -1,6 +1,6 @@
 """Document fingerprints by I-Match over randomised lexicons, in DataFrame functions only.
 
-Terms are runs of letters and digits (and of all characters beyond ASCII), with A-Z lowered. The
+Terms are runs of letters and digits (and of all characters beyond ASCII) of the lowered text. The
 lexicon holds the terms whose inverse document frequency lies in a band: ``min_idf`` to
 ``max_idf`` bits, that is terms that one document in ``2 ** min_idf`` or fewer and one in
 ``2 ** max_idf`` or more hold (two documents at least). Frequent terms say nothing about a
@@ -34,9 +34,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LETTERS_LOW, LETTERS_UP, written
+from millrace.llm.common import written
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_IDF, MAX_IDF = 3, 9
 #: ``(shift, bits, subsets)``: of the codes' bit field, values below ``subsets`` are a subset
 #: each. The first is the whole lexicon.
@@ -48,7 +48,7 @@ QUANTILES, BUCKET_ROWS, MOST_BUCKETS = 256, 2000, 1 << 17
 
 def terms(text: Column) -> Column:
     """Distinct terms of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(text, LETTERS_UP, LETTERS_LOW), F.lit(TERM), F.lit(0)))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), BETWEEN)), "")
 
 
 def code(text: Column) -> Column:
@@ -65,17 +65,17 @@ def lexicon(docs: DataFrame, text: str = "text", min_idf: int = MIN_IDF, max_idf
 
 
 def signature(codes: Column) -> Column:
-    """Fingerprint of sorted codes: the places of all subsets, one after the other."""
+    """Fingerprint of sorted codes: a list of the places of all subsets."""
     parts = []
     for shift, bits, subsets in SUBSETS:
         field = lambda c, s=shift, b=bits: F.shiftright(c, s).bitwiseAND(F.lit((1 << b) - 1).cast("long"))
         if not bits:
-            parts.append(_place(codes))
+            parts.append(F.array(_place(codes)))
             continue
         numbers = F.sequence(F.lit(0).cast("long"), F.lit(subsets - 1).cast("long"))
         own = F.filter(codes, lambda c: field(c) < subsets)
         # An array of one list, so that the list is made once and not for each subset.
-        dealt = F.transform(F.array(own), lambda some: F.array_join(F.transform(numbers, lambda j: _place(F.filter(some, lambda c: field(c) == j))), ""))
+        dealt = F.transform(F.array(own), lambda some: F.transform(numbers, lambda j: _place(F.filter(some, lambda c: field(c) == j))))
         parts.append(dealt[0])
     return F.concat(*parts)
 
@@ -85,14 +85,12 @@ def _place(some: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets that agree, of those that one of two fingerprints has terms of."""
-    at = F.sequence(F.lit(0), F.lit(PLACES - 1))
-    place = lambda f, i: F.substring(f, i * DIGITS + 1, F.lit(DIGITS))
-    pairs = F.transform(at, lambda i: F.struct(place(a, i).alias("x"), place(b, i).alias("y")))
-    used = F.filter(pairs, lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
-    same = lambda some: F.size(F.filter(some, lambda p: p["x"] == p["y"]))
+    """Share of the places that agree in two fingerprints, of those that are not empty in both."""
+    # 0: empty in both, 1: alike, 2: not.
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x != y, 2).when(x == EMPTY, 0).otherwise(1))
     # An array of one list, so that the list is made once.
-    return F.transform(F.array(used), lambda some: F.when(F.size(some) == 0, 1.0).otherwise(same(some) / F.size(some)))[0]
+    share = F.transform(F.array(F.filter(pairs, lambda p: p > 0)), lambda used: F.when(F.size(used) == 0, 1.0).otherwise(F.size(F.filter(used, lambda p: p == 1)) / F.size(used)))
+    return share[0]
 
 
 # -- documents beside their followers -----------------------------------------------------
@@ -141,13 +139,13 @@ def beside_followers(docs: DataFrame, text: str = "text", quantiles: int = QUANT
 
 
 def fingerprinted(texts: DataFrame, keys: list[str], names: list[str], words: DataFrame) -> DataFrame:
-    """A fingerprint column for each text column of ``names``; ``keys`` are unique. No further
+    """A fingerprint, as a list of places, for each text column of ``names``; ``keys`` are unique. No further
     shuffle if the rows are partitioned by one of the keys."""
     # Each text has a first term '' that is in the lexicon, so that none is lost; that row alone carries what is kept.
     kept = [c for c in texts.columns if c not in keys and c not in names]
     parts = F.array(*[F.struct(F.lit(k).alias("which"), terms(F.col(n)).alias("terms")) for k, n in enumerate(names)])
     rows = texts.select(*keys, *kept, F.explode(parts).alias("t")).select(*keys, *kept, "t.which", "t.terms")
-    whole = F.when(F.size("terms") > 0, code(F.array_join(F.array_sort("terms"), " ")))
+    whole = F.when(F.size("terms") > 0, code(F.array_join(F.sort_array("terms"), " ")))
     rows = rows.withColumn("whole", whole).select(*keys, *kept, "which", "whole", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
     is_first = F.col("term") == ""
     rows = rows.withColumn("key", F.xxhash64("term")).select(*keys, "which", "key", *[F.when(is_first, F.col(c)).alias(c) for c in ("whole", *kept)], is_first.alias("head"))
@@ -166,7 +164,7 @@ def fingerprints(docs: DataFrame, text: str = "text", min_idf: int = MIN_IDF, ma
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = written(lexicon(texts, "text", min_idf, max_idf), "lexicon")
     distinct = texts.select(F.md5("text").alias("digest"), F.col("text").alias("fingerprint")).dropDuplicates(["digest"])
-    return fingerprinted(distinct, ["digest"], ["fingerprint"], words)
+    return fingerprinted(distinct, ["digest"], ["fingerprint"], words).select("digest", F.array_join("fingerprint", "").alias("fingerprint"))
 
 
 def imatch_report(docs: DataFrame, min_idf: int = MIN_IDF, max_idf: int = MAX_IDF, quantiles: int = QUANTILES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -186,8 +184,8 @@ def imatch_report(docs: DataFrame, min_idf: int = MIN_IDF, max_idf: int = MAX_ID
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        F.array_join("fingerprint", "").alias("fingerprint"),
+        F.array_join("edited_fingerprint", "").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
     )

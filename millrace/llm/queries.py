@@ -333,7 +333,7 @@ WITH d AS MATERIALIZED (
          concat(substr(text, 1, length(text) - length(text) // 2), substr(follower, 1, length(text) // 2)) AS edited, next_r
   FROM (SELECT *, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS follower, coalesce(lead(r) OVER (ORDER BY r), 1) AS next_r FROM d)
 ), bag AS MATERIALIZED (
-  SELECT r, kind, list_distinct(regexp_extract_all({_LOW.format("t")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  SELECT r, kind, list_distinct(regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
   FROM (SELECT r, 0 AS kind, text AS t FROM e UNION ALL SELECT r, 1, edited FROM e)
 ), term AS MATERIALIZED (
   SELECT r, kind, unnest(w) AS term FROM bag

@@ -16,7 +16,7 @@ def md5(text):
 
 
 def terms(text):
-    return set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)))
+    return set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
 
 
 def code(text):
