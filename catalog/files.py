@@ -84,6 +84,12 @@ def charset_scan_utf16(spark, sf):
     return _coded_lines(spark, sf, "UTF-16LE", F.col("text"))
 
 
+def _dealt_documents(spark, sf):
+    """Documents in partitions of an even size, so that more of them make more files, not larger
+    ones. A file may hold a single short one, so none is too small to be read."""
+    return table(spark, sf, "documents").hint("rebalance", F.col("doc_id"))
+
+
 def _coded_lines(spark, sf, charset, text):
     """Documents as JSON lines in a charset, written and read."""
     folder = storage.new_folder(spark, "coded")
@@ -100,9 +106,9 @@ def tail_chunks_open(spark, sf):
     """Pieces of files that have no line end at all."""
     folder = storage.new_folder(spark, "open")
     # The writer's line end is one byte; all others are spaces here.
-    rows = table(spark, sf, "documents").where("text IS NOT NULL").select(F.concat(F.lit("."), F.translate("text", "\n\r", "  ")).alias("value"))
-    rows.repartition(2).write.option("lineSep", ".").text(folder)
-    return _tail(spark, folder, chunkChars=1000, sliceBytes=30_000).agg(F.sum(F.length("value")).alias("chars"))
+    rows = _dealt_documents(spark, sf).where("text IS NOT NULL").select(F.concat(F.lit("."), F.translate("text", "\n\r", "  ")).alias("value"))
+    rows.write.option("lineSep", ".").text(folder)
+    return _tail(spark, folder, chunkChars=1000, sliceBytes=30_000, smallestBytes=0).agg(F.sum(F.length("value")).alias("chars"))
 
 
 @query(SUMMARY_SQL.format("WHERE event_type = 'error'"))

@@ -2,8 +2,8 @@
 
 Spark's file source reads a path once. This one remembers a byte position per file, so
 appended lines are read where the last batch stopped, on the executors, in slices of a
-bounded size. Positions are plain sizes: the driver does not look for line ends. A record
-belongs to the slice that its last byte lies in, so a task looks backwards from both ends of its
+bounded size; where slices are small, a task reads several that follow each other. Positions are
+plain sizes: the driver does not look for line ends. A record belongs to the slice that its last byte lies in, so a task looks backwards from both ends of its
 slice for where a record ends, and a half-written line comes with the batch that has its end.
 A file is known by its name, its first line and a mark (a digest of the bytes
 before a position), which a task checks again before it reads. One that was renamed, or
@@ -56,6 +56,8 @@ DONE = "#done"  # in an offset, the time up to which files were read whole and l
 KEEP_GONE_SECONDS, KEEP_FINISHED_SECONDS = 86_400, 30 * 86_400
 # Looks at a file that is gone, and the time between them.
 ATTEMPTS, ATTEMPT_SECONDS = 3, 0.5
+# A batch has about so many tasks, unless they would read more than so many bytes.
+TASKS, TASK_BYTES = 256, 128 << 20
 # Room for the numbers of one gzipped file's lines: deflate expands at most 1032 times.
 GZIP_RATIO, GZIP_LINES = 1032, 1 << 40
 
@@ -66,7 +68,8 @@ class Slice(InputPartition):
     from ``first`` to ``limit``; both ends are None for a gzipped file. ``mark`` is what has to
     stand before ``first`` and ``last`` what before ``limit`` (for a gzipped file: that of the
     whole). Its records are numbered from ``base``, at most ``room`` of them. ``exact``: a record
-    begins at ``first``; ``closes``: one ends at ``limit``, with or without a line end."""
+    begins at ``first``; ``closes``: one ends at ``limit``, with or without a line end. With a
+    ``step`` these are several slices of so many bytes (the last may have fewer)."""
 
     path: str
     name: str
@@ -81,6 +84,16 @@ class Slice(InputPartition):
     last: str = ""
     exact: bool = False
     closes: bool = False
+    step: int = 0
+
+    def slices(self):
+        """Its slices one by one. Each has a record number more than bytes."""
+        if not self.step:
+            yield self
+            return
+        for k, cut in enumerate(range(self.start, max(self.end, self.start + 1), self.step)):
+            stop = min(cut + self.step, self.end)
+            yield replace(self, start=cut, end=stop, base=self.base + k * (self.step + 1), room=stop - cut + 1, step=0)
 
 
 @dataclass(frozen=True)
@@ -473,26 +486,46 @@ class Tail:
                 base += room
                 continue
             low, mark, exact = (0, "", True) if low > high else (low, before["mark"], exact)  # written anew
-            for cut in range(low, max(high, low + 1), self.slice_bytes):
-                stop = min(cut + self.slice_bytes, high)
-                slices.append(Slice(path, name, head, low, cut, stop, high, base, stop - cut + 1, mark, entry["mark"], exact, closes))
-                base += stop - cut + 1
+            room = self._room(high - low)
+            slices.append(Slice(path, name, head, low, low, high, high, base, room, mark, entry["mark"], exact, closes, self.slice_bytes))
+            base += room
         if IDS in end:  # a stream's batch has the numbers right before its offset's
             first = end[IDS]["pos"] - base
             if first + base >= 1 << 63:
                 raise ValueError("The tap has no record numbers left")
             slices = [replace(s, base=s.base + first) for s in slices]
-        return slices
+        return self._tasks(slices)
+
+    def _count(self, size: int) -> int:
+        return max(1, -(-size // self.slice_bytes))
+
+    def _room(self, size: int) -> int:
+        return size + self._count(size)
+
+    def _tasks(self, files: list[Slice]) -> list[Slice]:
+        """What each task reads: slices of one file, as many as keep the number of tasks from growing
+        with that of small slices. Neither records nor their numbers depend on it."""
+        count = sum(self._count(f.end - f.start) for f in files if f.step)
+        span = self.slice_bytes * max(1, min(-(-count // TASKS), TASK_BYTES // self.slice_bytes))
+        tasks: list[Slice] = []
+        for file in files:
+            if not file.step:
+                tasks.append(file)
+                continue
+            for cut in range(file.start, max(file.end, file.start + 1), span):
+                stop = min(cut + span, file.end)
+                base = file.base + (cut - file.start) // file.step * (file.step + 1)
+                tasks.append(replace(file, start=cut, end=stop, base=base, room=self._room(stop - cut)))
+        return tasks
 
     # -- reading, on the executors ---------------------------------------------------------
 
     def _blocks(self, path: str, start: int, end: int | None, opened=None):
         """Bytes of ``[start, end)``, all of them, or else an error. A gzipped file has to be
         unpacked up to there; of a plain one, ``opened`` is the open file."""
-        store, _ = self._fs()
         at = start
         if not path.endswith("gz"):
-            with nullcontext(opened) if opened else store.open_input_file(path) as stream:
+            with nullcontext(opened) if opened else self._fs()[0].open_input_file(path) as stream:
                 stream.seek(start)
                 while end is None or at < end:
                     data = stream.read(BLOCK if end is None else min(BLOCK, end - at))
@@ -504,6 +537,7 @@ class Tail:
                     yield data
             return
         skip = start
+        store, _ = self._fs()
         with store.open_input_stream(path, compression="gzip") as stream:
             while end is None or at < end:
                 data = stream.read(BLOCK)
@@ -574,14 +608,9 @@ class Tail:
             return False  # shorter than that
         return part.mark in ("", _digest(before))
 
-    def lines(self, part: Slice):
+    def _lines_in(self, path: str, opened, part: Slice):
         """``(position, bytes)`` of whole lines, some blocks at a time; a line of any length
         is put together once."""
-        path, opened = self._locate(part)
-        with opened or nullcontext():
-            yield from self._lines_in(path, opened, part)
-
-    def _lines_in(self, path: str, opened, part: Slice):
         at, end = part.start, part.end
         if end is None and at > 0 and not self._continues(path, part):
             at = 0  # another file with the same first line
@@ -610,9 +639,15 @@ class Tail:
             yield at, rest
 
     def records(self, part: Slice):
-        """Arrow batches of a slice."""
+        """Arrow batches of a task's slices, read by one handle."""
+        path, opened = self._locate(part)
+        with opened or nullcontext():
+            for one in part.slices():
+                yield from self._records_in(path, opened, one)
+
+    def _records_in(self, path: str, opened, part: Slice):
         number = 0
-        for at, data in self.lines(part):
+        for at, data in self._lines_in(path, opened, part):
             values, starts, ends = self._chunks(data) if self.chunk_chars else self._rows(data)
             if part.end is None:
                 seqs = np.arange(number, number + len(values))

@@ -293,6 +293,27 @@ def test_chunks(logs):
         assert "".join(got) == text + "bad � byte\n" and max(map(len, got)) <= int(size)
 
 
+@pytest.mark.parametrize("options", [{}, {"chunkChars": "7"}])
+def test_many_small_slices_share_tasks(logs, monkeypatch, options):
+    from millrace.sources import tail as module
+
+    put(logs, "app-1.log", "".join(f"lïne {i}\n" for i in range(3000)), age=9)
+    put(logs, "app.log", "".join(f"main {i}\n" for i in range(50)) + "half a line")
+    source = tail(logs, sliceBytes="20", **options)
+    known = {module.IDS: {"head": "", "pos": 1000}}
+    after = source.numbered(known, source.latest({}))
+    parts, rows = source.plan(known, after), read(source, known, after)
+    assert 200 < len(parts) <= module.TASKS + 2 and sum(1 for p in parts for _ in p.slices()) > 1000
+    assert [p.base + p.room for p in parts] == [*(p.base for p in parts[1:]), after[module.IDS]["pos"]] and parts[0].base == 1000
+    # The same as with a task for each slice, record numbers included.
+    monkeypatch.setattr(module, "TASKS", 1 << 40)
+    assert len(source.plan(known, after)) > 1000 and read(source, known, after) == rows
+    # Slices as large as a task may be stay alone.
+    monkeypatch.setattr(module, "TASKS", 1)
+    monkeypatch.setattr(module, "TASK_BYTES", 40)
+    assert max(p.end - p.start for p in source.plan(known, after)) == 40
+
+
 def test_saved_cursor(logs):
     assert parse_cursor('{"fileCursor":{"idx":{"seed":1,"rId":2},"pos":3}}') == (2, 3)
     put(logs, "app-1.log", "an older line, long enough\n", age=20)
@@ -549,6 +570,44 @@ def test_cursor_by_seed_and_number(spark, logs, tmp_path):
         assert sorted(r.value for r in m.read_gate(spark, name, root).select("event.value").collect()) == want
 
 
+@pytest.mark.parametrize("name", ["tail_chunks_open"])
+def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
+    """No task writes or reads a fixed share of the table."""
+    import catalog
+
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat_ws('', transform(sequence(1, 8), x -> sha2(string(10 * id + x), 512))) AS text")
+    rows.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = tmp_path / "files"
+    monkeypatch.setattr(catalog.files.storage, "new_folder", lambda spark, label: str(folder))
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(list(folder.glob("part-*.txt"))) > 4
+        if name == "tail_chunks_open":
+            assert got[0].chars == 400 * (8 * 128 + 2)
+        else:
+            assert sorted(map(tuple, got)) == sorted(map(tuple, rows.collect()))
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("name", ["tail_chunks_open"])
+def test_short_documents_are_read(spark, tmp_path, name):
+    """A file with one short document is read like any other, however the rows are dealt."""
+    import catalog
+
+    spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "ü")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == ([(8,)] if name == "tail_chunks_open" else [(1, "a"), (2, ""), (3, None), (4, "ü")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rolling_files_in_wide_charsets(spark, logs):
     put(logs, "app-1.log", "älter und länger ਊ\nzwei\n".encode("UTF-16BE"), age=5)
     put(logs, "app.log", "neu, mit Text 中\n".encode("UTF-16BE"))
