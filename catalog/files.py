@@ -93,11 +93,11 @@ def _dealt_documents(spark, sf):
 def _coded_lines(spark, sf, charset, text):
     """Documents as JSON lines in a charset, written and read."""
     folder = storage.new_folder(spark, "coded")
-    rows = table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", text.alias("text"))).alias("value"))
+    rows = _dealt_documents(spark, sf).select(F.to_json(F.struct("doc_id", text.alias("text"))).alias("value"))
     # The text writer hands bytes through, and writes the line end in the charset it is told.
     coded = rows.select(F.encode("value", charset).cast("string").alias("value"))
-    coded.repartition(3).write.option("encoding", charset).option("lineSep", "\n").text(folder)
-    lines = m.read_rolling(spark, folder, MAIN, "(?!)", charset=charset)
+    coded.write.option("encoding", charset).option("lineSep", "\n").text(folder)
+    lines = m.read_rolling(spark, folder, MAIN, "(?!)", charset=charset, smallest=0)
     return lines.select(F.from_json("value", "doc_id bigint, text string").alias("r")).select("r.*")
 
 

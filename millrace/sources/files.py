@@ -81,7 +81,8 @@ def _wide_lines(spark: SparkSession, directory: str, main: str, roll: str, chars
     files = spark.read.format("binaryFile").load(directory).select(
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_time")
     )
-    return lines.join(files, "file").select(
+    # A row a file; dealt by file, all lines of one would go to one task.
+    return lines.join(F.broadcast(files), "file").select(
         "value", F.col("file").alias("file_name"), "file_size", "file_time", F.col("file").rlike(roll).alias("rolled"), F.col("start_pos").alias("block_start")
     )
 

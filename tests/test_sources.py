@@ -570,7 +570,18 @@ def test_cursor_by_seed_and_number(spark, logs, tmp_path):
         assert sorted(r.value for r in m.read_gate(spark, name, root).select("event.value").collect()) == want
 
 
-@pytest.mark.parametrize("name", ["tail_chunks_open"])
+def test_lines_in_wide_charsets_are_not_dealt_by_file(spark, logs):
+    put(logs, "app.log", "a line, 中\n".encode("UTF-16LE") * 9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large files
+    try:
+        rows = m.read_rolling(spark, logs, MAIN, ROLL, charset="UTF-16LE")
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert [(r.value, r.file_name, r.file_size) for r in rows.collect()] == [("a line, 中", "app.log", 180)] * 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16"])
 def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
     """No task writes or reads a fixed share of the table."""
     import catalog
@@ -594,7 +605,7 @@ def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
             spark.conf.unset(key)
 
 
-@pytest.mark.parametrize("name", ["tail_chunks_open"])
+@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16"])
 def test_short_documents_are_read(spark, tmp_path, name):
     """A file with one short document is read like any other, however the rows are dealt."""
     import catalog
