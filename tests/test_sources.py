@@ -581,7 +581,7 @@ def test_lines_in_wide_charsets_are_not_dealt_by_file(spark, logs):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16"])
+@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16", "charset_scan"])
 def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
     """No task writes or reads a fixed share of the table."""
     import catalog
@@ -605,7 +605,7 @@ def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
             spark.conf.unset(key)
 
 
-@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16"])
+@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16", "charset_scan"])
 def test_short_documents_are_read(spark, tmp_path, name):
     """A file with one short document is read like any other, however the rows are dealt."""
     import catalog
