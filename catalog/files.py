@@ -15,6 +15,9 @@ ORACLE = {}
 
 LINE = "event_id bigint, event_type string, props string"
 MAIN, ROLLED = r"^part-.*[.]txt$", r"^part-.*[.]txt[.]gz$"
+# Bytes of a table for each partition that it is dealt to. Up to so many partitions Spark knows the sizes
+# of their blocks exactly.
+PART_BYTES, MOST_PARTS = 32 << 20, 2000
 
 
 def query(sql: str | None = None):
@@ -87,7 +90,11 @@ def charset_scan_utf16(spark, sf):
 def _dealt_documents(spark, sf):
     """Documents in partitions of an even size, so that more of them make more files, not larger
     ones. A file may hold a single short one, so none is too small to be read."""
-    return table(spark, sf, "documents").hint("rebalance", F.col("doc_id"))
+    # Spark splits a partition between the tasks that wrote it: with few of them (one row group is one
+    # task) there have to be enough partitions from the start.
+    parts = min(MOST_PARTS, storage.folder_size(spark, f"{sf}/documents.parquet") // PART_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
+    return table(spark, sf, "documents").hint("rebalance", parts, F.col("doc_id"))
 
 
 def _coded_lines(spark, sf, charset, text):

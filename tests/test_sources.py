@@ -605,6 +605,28 @@ def test_more_documents_make_more_files(spark, tmp_path, monkeypatch, name):
             spark.conf.unset(key)
 
 
+@pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16", "charset_scan"])
+def test_documents_of_one_row_group_make_more_files(spark, tmp_path, monkeypatch, name):
+    """One task reads them, so no partition can be split after the shuffle."""
+    import catalog
+
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat_ws('', transform(sequence(1, 8), x -> sha2(string(10 * id + x), 512))) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = tmp_path / "files"
+    monkeypatch.setattr(catalog.files.storage, "new_folder", lambda spark, label: str(folder))
+    monkeypatch.setattr(catalog.files, "PART_BYTES", 16 << 10, raising=False)
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(list(folder.glob("part-*.txt"))) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert [tuple(r) for r in got] == [(400 * (8 * 128 + 2),)] if name == "tail_chunks_open" else sorted(map(tuple, got)) == sorted(map(tuple, rows.collect()))
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("name", ["tail_chunks_open", "charset_scan_utf16", "charset_scan"])
 def test_short_documents_are_read(spark, tmp_path, name):
     """A file with one short document is read like any other, however the rows are dealt."""
